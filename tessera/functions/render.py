@@ -69,66 +69,84 @@ def _has_schedule(begin, end, days) -> Column:
     return begin.isNotNull() & end.isNotNull() & F.coalesce(F.length(days) > 0, F.lit(False))
 
 
-def course_text(crn="crn", campus="campus_description", title="course_title",
-                subject_course="subject_course", faculty="faculty_name",
-                description="course_description", term="term", begin="begin_time",
-                end="end_time", days="days", prerequisites="prerequisites") -> Column:
+COURSE_FIELDS = dict(crn="crn", campus="campus_description", title="course_title",
+                     subject_course="subject_course", faculty="faculty_name",
+                     description="course_description", term="term", begin="begin_time",
+                     end="end_time", days="days", prerequisites="prerequisites")
+
+
+def _course_stage(df, f):
+    """Shared first projections: cleaned times, blanks as NULL, formatted times.
+
+    Each value is computed once in its own projection and later read by
+    reference; nesting the expressions instead would copy them many times into
+    the generated code."""
+    s1 = df.select("*",
+                   clean_time(f["begin"]).alias("_b"), clean_time(f["end"]).alias("_e"),
+                   blank_to_null(f["days"]).alias("_d"), blank_to_null(f["faculty"]).alias("_fac"),
+                   blank_to_null(f["description"]).alias("_desc"))
+    return s1.select("*", F.coalesce(format_time("_b"), F.lit("None")).alias("_fb"),
+                     F.coalesce(format_time("_e"), F.lit("None")).alias("_fe"),
+                     _has_schedule(F.col("_b"), F.col("_e"), F.col("_d")).alias("_sched"))
+
+
+_TEMP = ["_b", "_e", "_d", "_fac", "_desc", "_fb", "_fe", "_sched"]
+
+
+def add_course_text(df, out: str = "text", **fields):
     """Six lowercased sections separated by a blank line."""
-    e = lambda c: F.coalesce(_c(c), F.lit(""))
-    b, en = clean_time(begin), clean_time(end)
-    d = blank_to_null(days)
-    fmt = lambda x: F.coalesce(format_time(x), F.lit("None"))
-    schedule = F.when(_has_schedule(b, en, d),
-                      F.concat(F.lit("Days: "), d, F.lit("\nTime: "), fmt(b), F.lit(" to "), fmt(en),
-                               F.lit("\n"))).otherwise(F.lit("Schedule: Flexible/Self-paced\n"))
-    fac = blank_to_null(faculty)
-    desc = blank_to_null(description)
+    f = {**COURSE_FIELDS, **fields}
+    e = lambda c: F.coalesce(F.col(f[c]), F.lit(""))
+    s = _course_stage(df, f)
+    schedule = F.when(F.col("_sched"),
+                      F.concat(F.lit("Days: "), F.col("_d"), F.lit("\nTime: "), F.col("_fb"),
+                               F.lit(" to "), F.col("_fe"), F.lit("\n"))
+                      ).otherwise(F.lit("Schedule: Flexible/Self-paced\n"))
     text = F.concat(
-        F.lit("=== COURSE METADATA ===\nCourse Code: "), e(subject_course), F.lit("\nCRN: "), e(crn),
-        F.lit("\nTitle: "), e(title), F.lit("\n\n"),
-        F.lit("=== LOCATION ===\nCampus: "), e(campus), F.lit("\nFormat: "), delivery_format(campus),
-        F.lit("\n\n"),
+        F.lit("=== COURSE METADATA ===\nCourse Code: "), e("subject_course"), F.lit("\nCRN: "), e("crn"),
+        F.lit("\nTitle: "), e("title"), F.lit("\n\n"),
+        F.lit("=== LOCATION ===\nCampus: "), e("campus"), F.lit("\nFormat: "),
+        delivery_format(f["campus"]), F.lit("\n\n"),
         F.lit("=== SCHEDULE ===\n"), schedule, F.lit("\n"),
-        F.lit("=== INSTRUCTOR ===\nProfessor: "), F.coalesce(fac, F.lit("Not specified")), F.lit("\n\n"),
-        F.lit("=== COURSE DETAILS ===\nTerm: "), e(term), F.lit("\nPrerequisites: "),
-        prereq_text(prerequisites), F.lit("\n\n"),
-        F.lit("=== DESCRIPTION ===\n"), F.coalesce(desc, F.lit("No description available")), F.lit("\n"),
+        F.lit("=== INSTRUCTOR ===\nProfessor: "), F.coalesce(F.col("_fac"), F.lit("Not specified")),
+        F.lit("\n\n"),
+        F.lit("=== COURSE DETAILS ===\nTerm: "), e("term"), F.lit("\nPrerequisites: "),
+        prereq_text(f["prerequisites"]), F.lit("\n\n"),
+        F.lit("=== DESCRIPTION ===\n"), F.coalesce(F.col("_desc"), F.lit("No description available")),
+        F.lit("\n"),
     )
-    return F.lower(text)
+    return s.select("*", F.lower(text).alias(out)).drop(*_TEMP)
 
 
-def course_sentence(crn="crn", campus="campus_description", title="course_title",
-                    subject_course="subject_course", faculty="faculty_name",
-                    description="course_description", term="term", begin="begin_time",
-                    end="end_time", days="days", prerequisites="prerequisites") -> Column:
+def add_course_sentence(df, out: str = "text", **fields):
     """One prose sentence + description + prerequisites, whitespace collapsed."""
-    e = lambda c: F.coalesce(_c(c), F.lit(""))
-    lc = F.lower(e(campus))
+    f = {**COURSE_FIELDS, **fields}
+    e = lambda c: F.coalesce(F.col(f[c]), F.lit(""))
+    s = _course_stage(df, f)
+    lc = F.lower(e("campus"))
     campus_part = (F.when(lc == "online", F.lit("is an online course"))
                    .when(lc == "no campus, no room needed", F.lit("is a self-paced course"))
-                   .otherwise(F.concat(F.lit("is offered at "), e(campus))))
-    b, en = clean_time(begin), clean_time(end)
-    d = blank_to_null(days)
-    fmt = lambda x: F.coalesce(format_time(x), F.lit("None"))
-    schedule = F.when(_has_schedule(b, en, d),
-                      F.concat(F.lit("with classes scheduled "), d, F.lit(" from "), fmt(b),
-                               F.lit(" to "), fmt(en)))
-    fac = blank_to_null(faculty)
-    teacher = F.when(fac.isNotNull(), F.concat(F.lit("taught by Professor "), fac))
+                   .otherwise(F.concat(F.lit("is offered at "), e("campus"))))
+    schedule = F.when(F.col("_sched"),
+                      F.concat(F.lit("with classes scheduled "), F.col("_d"), F.lit(" from "),
+                               F.col("_fb"), F.lit(" to "), F.col("_fe")))
+    teacher = F.when(F.col("_fac").isNotNull(), F.concat(F.lit("taught by Professor "), F.col("_fac")))
     head = F.concat(
-        F.concat_ws(" ", F.concat(e(subject_course), F.lit(" (CRN: "), e(crn), F.lit("), "), e(title),
-                                  F.lit(",")),
-                    campus_part, F.concat(F.lit("for "), e(term)), schedule, teacher),
+        F.concat_ws(" ", F.concat(e("subject_course"), F.lit(" (CRN: "), e("crn"), F.lit("), "),
+                                  e("title"), F.lit(",")),
+                    campus_part, F.concat(F.lit("for "), e("term")), schedule, teacher),
         F.lit("."))
-    desc = blank_to_null(description)
-    desc_part = F.when(desc.isNotNull(), F.concat(F.lit(" "), collapse_ws(desc))).otherwise(F.lit(""))
-    p = _c(prerequisites)
-    body = F.translate(F.regexp_replace(p, r"^[\[\]]+|[\[\]]+$", ""), "'\"", "")
+    desc_part = F.when(F.col("_desc").isNotNull(),
+                       F.concat(F.lit(" "), collapse_ws("_desc"))).otherwise(F.lit(""))
+    p = F.col(f["prerequisites"])
+    s = s.select("*", F.translate(F.regexp_replace(p, r"^[\[\]]+|[\[\]]+$", ""), "'\"", "")
+                 .alias("_pb"))
     pre = (F.when(p.isNull() | (p == "[]") | (F.trim(p) == ""),
                   F.lit(" This course is open to all students with no prerequisites required."))
-           .when(body != "", F.concat(F.lit(" Prerequisites for this course: "), body, F.lit(".")))
+           .when(F.col("_pb") != "", F.concat(F.lit(" Prerequisites for this course: "), F.col("_pb"),
+                                              F.lit(".")))
            .otherwise(F.lit("")))
-    return collapse_ws(F.concat(head, desc_part, pre))
+    return s.select("*", collapse_ws(F.concat(head, desc_part, pre)).alias(out)).drop(*_TEMP, "_pb")
 
 
 def review_text(crn="crn", course_name="course_name", instructor="instructor", subject="subject",

@@ -74,7 +74,9 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
     n_docs = docs.select(id_col).count()
     tf = term_counts(docs, id_col, text_col, ngram_max)
-    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # cf (collection frequency) reads tf, so this branch keeps the same tf
+    # aggregate as the weight branch and the shuffle of tf is reused, not redone.
+    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
              .withColumn("idf", idf_expr(n_docs)))
     w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(id_col)

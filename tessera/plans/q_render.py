@@ -29,12 +29,12 @@ def time_format(spark, sf_dir):
 
 @register("course_text", sql=f"SELECT crn, {course_text_sql()} AS text FROM {COURSES_SQL}")
 def course_text(spark, sf_dir):
-    return courses(spark, sf_dir).select("crn", render.course_text().alias("text"))
+    return render.add_course_text(courses(spark, sf_dir)).select("crn", "text")
 
 
 @register("course_sentence", sql=f"SELECT crn, {course_sentence_sql()} AS text FROM {COURSES_SQL}")
 def course_sentence(spark, sf_dir):
-    return courses(spark, sf_dir).select("crn", render.course_sentence().alias("text"))
+    return render.add_course_sentence(courses(spark, sf_dir)).select("crn", "text")
 
 
 @register("review_text", sql=f"SELECT crn, {review_text_sql()} AS text FROM {REVIEWS_SQL}")

@@ -8,6 +8,7 @@ tests)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -83,8 +84,8 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-_SHUFFLING_NODES = ("Aggregate", "Join", "Repartition", "Window", "Sort", "Deduplicate",
-                    "GlobalLimit", "Union", "Expand")
+_SHUFFLE_RE = re.compile(r"Exchange (hashpartitioning|RoundRobinPartitioning|SinglePartition|"
+                         r"rangepartitioning|UnknownPartitioning)")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -92,10 +93,11 @@ def spread(df: DataFrame) -> DataFrame:
 
     Small inputs (one file, one row group) scan as a single task; a round-robin
     repartition then costs little. Large inputs already have more partitions
-    than cores and are returned unchanged (no extra shuffle)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(op in plan for op in _SHUFFLING_NODES):
-        return df  # already comes out of a shuffle with its own partition count
+    than cores, and frames coming out of a shuffle have the shuffle's partition
+    count: both are returned unchanged (no extra shuffle)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if _SHUFFLE_RE.search(plan):
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
