@@ -158,10 +158,11 @@ def collection_rows(df: DataFrame, id_col: str, text_col: str, vec_col: str) ->
 def read_collection(spark, path: str) -> DataFrame:
     """Read a collection, or an empty one with the schema when absent."""
     schema = "id string, text string, metadata struct<index:bigint>, embedding array<float>"
-    try:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jpath):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - absent path
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def add_to_collection(path: str, rows: DataFrame) -> int:

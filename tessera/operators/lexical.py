@@ -94,24 +94,28 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query_vectors(index: TfidfIndex, queries: DataFrame, qid: str = "query_id",
-                  qtext: str = "query", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """(qid, term, qw): L2-normalised query weights over in-vocabulary grams."""
+                  qtext: str = "query", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
+    """(qid, term, qw): L2-normalised query weights over in-vocabulary grams.
+
+    Returns the frame and whether it is proven small: the check runs on the
+    query-side counts only (cheap), and the weighted rows are a subset of them."""
     qtf = term_counts(queries.select(qid, qtext).where(F.col(qtext).isNotNull()), qid, qtext,
                       index.ngram_max)
-    if fits(qtf, max_broadcast_rows):
+    small = fits(qtf, max_broadcast_rows)
+    if small:
         qtf = F.broadcast(qtf)
     qv = qtf.join(index.vocab.select("term", "idf"), "term").withColumn(
         "qw", F.col("tf") * F.col("idf"))
     qn = Window.partitionBy(qid)
     return qv.select(qid, "term",
-                     (F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(qn))).alias("qw"))
+                     (F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(qn))).alias("qw")), small
 
 
 def score(index: TfidfIndex, queries: DataFrame, qid: str = "query_id", qtext: str = "query",
           digits: int = 6, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(qid, doc_id, score) for every doc sharing at least one gram with the query."""
-    qv = query_vectors(index, queries, qid, qtext, max_broadcast_rows)
-    if fits(qv, max_broadcast_rows):
+    qv, small = query_vectors(index, queries, qid, qtext, max_broadcast_rows)
+    if small:
         qv = F.broadcast(qv)
     id_col = index.id_col
     return (index.postings.select(id_col, "term", "w").join(qv, "term")

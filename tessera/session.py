@@ -37,6 +37,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
+    return spark
+
+
+# Runtime SQL settings the plans here rely on. Constraint propagation is off:
+# the rendering and tokenizing expressions are large, and inferring constraints
+# over them costs more optimizer time (seconds per action) than the inferred
+# IS NOT NULL filters save; the filters that matter are written explicitly.
+RUNTIME_CONF = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings and make sure a checkpoint folder is named."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
