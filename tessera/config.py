@@ -94,7 +94,7 @@ REVIEW_TEMPLATE = (
 PROMPT_WITH_CONTEXT = "Context:\n{context}\n\nQuery: {query}\n\nAnswer:"
 
 # Report line markers, in classification order (first match wins).
-REPORT_TERM_MARKER = "Spring 2025"
+REPORT_TERM_MARKER = "(Spring 2024)"
 REPORT_MARKERS = [
     ("course_name", None),
     ("instructor", "Instructor: "),
