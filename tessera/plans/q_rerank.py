@@ -8,7 +8,7 @@ from tessera.config import COURSE_K, COURSE_LABEL, FINAL_K, RERANK_MAX_TOKENS, R
 from tessera.operators import lexical, rerank
 from tessera.plans import pipelines
 from tessera.plans.q_dense import REVIEW_DOCS_SQL, hash_features_sql, review_docs
-from tessera.plans.q_filters import COURSE_DOCS_SQL, ENHANCED_Q_SQL, course_docs
+from tessera.plans.q_filters import COURSE_DOCS_SQL, course_docs, enhanced_q_sql
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import bigrams_sql, sq, tfidf_ctes, tokens_sql
 from tessera.sources.tables import benchmark_queries, course_queries, course_queries_sql, load
@@ -16,9 +16,9 @@ from tessera.sources.tables import benchmark_queries, course_queries, course_que
 CQ = course_queries_sql()
 
 
-def course_retrieve_sql(k: int) -> str:
+def course_retrieve_sql(k: int, q_sql: str = CQ) -> str:
     """CTEs ending in cr(query_id, doc_id, score, rank, text)."""
-    return f"""eq AS {ENHANCED_Q_SQL}, cd AS {COURSE_DOCS_SQL},
+    return f"""eq AS {enhanced_q_sql(q_sql)}, cd AS {COURSE_DOCS_SQL},
 {tfidf_ctes('cd', 'doc_id', 'text', 'eq', 'query_id', 'query')},
 c_ranked AS (SELECT qid, doc_id, score,
   row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0),
@@ -109,6 +109,24 @@ def review_pipeline(spark, sf_dir):
     return res.select("query_id", "doc_id", "rerank_score", "rank")
 
 
+def integrated_sql(q_sql: str) -> str:
+    """CTEs ending in fr(query_id, doc_id, source, text, rerank_score, rank2)."""
+    return f"""{course_retrieve_sql(COURSE_K, q_sql)},
+{review_retrieve_sql('rv', REVIEW_K, REVIEW_DOCS_SQL, q_sql, 'v')},
+c_src AS (SELECT cr.query_id, cr.doc_id, cr.rank AS retrieval_rank, q.query, cr.text
+  FROM cr JOIN {q_sql} q ON q.query_id = cr.query_id),
+{rerank_sql('crr', 'c_src')},
+r_src AS (SELECT rv.query_id, rv.doc_id, rv.rank AS retrieval_rank, q.query, rv.text
+  FROM rv JOIN {q_sql} q ON q.query_id = rv.query_id),
+{rerank_sql('rrr', 'r_src')},
+fused AS (
+  SELECT query_id, doc_id, 'course' AS source, 0 AS src_order, rank2 AS retrieval_rank, query,
+    {sq(COURSE_LABEL)} || text AS text FROM crr WHERE rank2 <= {FINAL_K}
+  UNION ALL
+  SELECT query_id, doc_id, 'review', 1, rank2, query, {sq(REVIEW_LABEL)} || text FROM rrr WHERE rank2 <= {FINAL_K}),
+{rerank_sql('fr', 'fused', 'src_order,')}"""
+
+
 @register("integrated_topk", sql=f"""
 WITH {course_retrieve_sql(COURSE_K)},
 {review_retrieve_sql('rv', REVIEW_K, REVIEW_DOCS_SQL, CQ, 'v')},
