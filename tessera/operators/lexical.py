@@ -193,3 +193,37 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
 
 __all__ = ["TfidfIndex", "fit_tfidf", "query_vectors", "score", "search", "pad_zero_scores",
            "term_counts", "bm25_search", "words"]
+
+
+def bm25_doc_terms(text, sections=None, weights=None) -> "Column":
+    """R14 document tokens: for each known section present in the lowercased text,
+    the whitespace tokens between its header and the next '===', repeated
+    int(weight) times (intended section names, Q8)."""
+    from tessera.config import BM25_SECTION_KEYS, BM25_SECTION_WEIGHTS, BM25_SECTIONS
+    sections = sections or BM25_SECTIONS
+    weights = weights or {s: BM25_SECTION_WEIGHTS[BM25_SECTION_KEYS[s]] for s in sections}
+    t = F.lower(F.col(text) if isinstance(text, str) else text)
+    parts = []
+    for s in sections:
+        marker = f"=== {s} ==="
+        body = F.element_at(F.split(F.element_at(F.split(t, marker), 2), "==="), 1)
+        toks = words(F.coalesce(body, F.lit("")))
+        rep = int(weights[s])
+        parts.append(F.when(F.instr(t, marker) > 0, F.flatten(F.array_repeat(toks, rep)))
+                     .otherwise(F.array().cast("array<string>")))
+    return F.concat(*parts)
+
+
+def bm25_query_terms(query, parts, part_weights=None) -> "Column":
+    """R14 query tokens: each found part's words repeated int(weight) times, then
+    the lowercased query's whitespace words."""
+    from tessera.config import BM25_QUERY_PART_WEIGHTS
+    part_weights = part_weights or BM25_QUERY_PART_WEIGHTS
+    p = F.col(parts) if isinstance(parts, str) else parts
+    arrs = []
+    for f in ["course", "professor", "term", "campus"]:
+        rep = int(part_weights.get(f, 1.0))
+        arrs.append(F.when(p[f].isNotNull(), F.flatten(F.array_repeat(words(p[f]), rep)))
+                    .otherwise(F.array().cast("array<string>")))
+    q = F.col(query) if isinstance(query, str) else query
+    return F.concat(*arrs, words(q))
