@@ -176,3 +176,23 @@ def add_to_collection(path: str, rows: DataFrame) -> int:
     obs = Observation("added")
     new.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return int(obs.get["n"])
+
+
+def lsh_knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
+            vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
+            bucket_length: float = 1.0, num_tables: int = 8, max_distance: float = 2.0,
+            seed: int = 7, digits: int = 6) -> DataFrame:
+    """Approximate k-NN. Random-projection LSH puts vectors into buckets; the
+    candidate join is an equi-join on (table, bucket), then candidates are
+    re-scored exactly (squared L2) and ranked. Pairs beyond ``max_distance`` or in
+    no shared bucket are missed: that is the approximation."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    c = corpus.select(F.col(id_col).alias("_id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
+    q = queries.select(F.col(qid).alias("_q"), array_to_vector(F.col(qvec).cast("array<double>")).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+                                       numHashTables=num_tables, seed=seed).fit(c)
+    pairs = model.approxSimilarityJoin(q, c, max_distance, distCol="d")
+    cand = pairs.select(F.col("datasetA._q").alias(qid), F.col("datasetB._id").alias(id_col),
+                        F.round(F.col("d") * F.col("d"), digits).alias("distance"))
+    return top_k(cand, qid, [F.col("distance"), F.col(id_col)], k)

@@ -22,6 +22,7 @@ _MODULES = [
     "tessera.plans.q_dataset",
     "tessera.plans.q_stages",
     "tessera.plans.q_eval",
+    "tessera.plans.q_stream",
 ]
 
 
