@@ -43,8 +43,8 @@ def ban_substrings(text, needles=BANNED_SUBSTRINGS, mode: str = "substring") ->
         hits = F.filter(F.array(*[F.lit(n.lower()) for n in needles]), lambda n: F.instr(t, n) > 0)
     elif mode == "word":
         hits = F.filter(F.array(*[F.lit(n.lower()) for n in needles]),
-                        lambda n: t.rlike(F.concat(F.lit("(^|[^\\p{L}\\p{N}_])"), n,
-                                                   F.lit("($|[^\\p{L}\\p{N}_])"))))
+                        lambda n: F.regexp_like(t, F.concat(F.lit("(^|[^\\p{L}\\p{N}_])"), n,
+                                                            F.lit("($|[^\\p{L}\\p{N}_])"))))
     else:
         raise ValueError(mode)
     found = F.size(hits) > 0
