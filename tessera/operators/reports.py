@@ -119,7 +119,7 @@ def lines_from_text(df: DataFrame, doc_col: str, text_col: str, page_break: str
 
 def read_report_dir(spark, path: str, glob: str = "*.txt") -> DataFrame:
     """S5 + F5: one report per file; the doc key is the file name without extension."""
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    raw = (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
            .select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.[^.]+$", 1).alias("doc"),
                    F.col("value").alias("text")))
     return lines_from_text(raw, "doc", "text")
