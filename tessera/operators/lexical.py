@@ -9,7 +9,8 @@ query terms outside the vocabulary are dropped.
 Plan shape (what to look for in ``explain``):
 * tf: map-side partial count per (doc, term), one shuffle of postings;
 * df: partial count per term (skew-free: a hot term is pre-aggregated);
-* idf join on term: sort-merge join, AQE splits a hot term's partition;
+* idf join on term: shuffled hash join built on the vocabulary (unique keys),
+  the postings side streams; AQE splits a hot term's partition;
 * norm: window by doc_id (bounded by document length), which leaves the
   postings hash-partitioned by doc_id;
 * search: broadcast of the (size-checked) query postings, then the
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import BM25_B, BM25_EPSILON, BM25_K1
-from tessera.functions.text import explode_nonempty, with_grams, words
+from tessera.functions.text import explode_nonempty, with_grams, words  # noqa: F401
 from tessera.operators.topk import top_k
-from tessera.session import DEFAULT_BROADCAST_ROWS, fits, materialize, spread
+from tessera.session import DEFAULT_BROADCAST_ROWS, fits, materialize, spread  # noqa: F401
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
@@ -78,7 +79,11 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # aggregate as the weight branch and the shuffle of tf is reused, not redone.
     vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
              .withColumn("idf", idf_expr(n_docs)))
-    w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # Shuffled hash join with the vocabulary as the build side: its keys are
+    # unique, so a build partition is vocabulary / partitions and never skewed;
+    # the (possibly skewed) postings side streams through without a sort.
+    w = tf.join(vocab.select("term", "idf").hint("shuffle_hash"), "term").withColumn(
+        "w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(id_col)
     w = (w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
          .withColumn("n_terms", F.count(F.lit(1)).over(per_doc)))

@@ -16,7 +16,7 @@ from tessera.config import (CONTEXT_MAX_ITERATIONS, DEFAULT_COURSE_K, DEFAULT_RE
                             MAX_ATTEMPTS, MSG_CONTEXT_MAX, MSG_CONTEXT_PARSE, MSG_INTENT_PARSE,
                             MSG_RESPONSE_MISSING, MSG_RESPONSE_PARSE, MSG_RESPONSE_PARSE_ERROR,
                             MSG_STRATEGY_DEFAULT, MSG_VALIDATION_PARSE)
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, materialize
 
 S, B, I, D = T.StringType(), T.BooleanType(), T.IntegerType(), T.DoubleType()
 ARR = T.ArrayType(S)
@@ -104,15 +104,18 @@ def enhancement(state: DataFrame, outputs: DataFrame, attempt: int = 0) -> DataF
                     F.coalesce(p["review_db_query"], F.col("query")).alias("review_db_query"))
 
 
-def strategy(state: DataFrame, outputs: DataFrame, attempt: int = 0) -> DataFrame:
-    """Per-query k for each source; any failure -> 5/5 balanced."""
+def strategy(state: DataFrame, outputs: DataFrame, attempt: int = 0, cap: int | None = None) -> DataFrame:
+    """Per-query k for each source; any failure -> 5/5 balanced.
+    G8: with ``cap`` (adjusted retrieval), each k is limited to the cap."""
     x = state.join(outputs_of(outputs, "strategy", attempt), "query_id", "left")
     p = parse("response", STRATEGY)
     ok = p["course_k"].isNotNull() & p["review_k"].isNotNull()
     keep = [c for c in state.columns if c not in ("course_k", "review_k", "strategy_reasoning")]
-    return x.select(*keep,
-                    F.when(ok, p["course_k"]).otherwise(F.lit(DEFAULT_COURSE_K)).alias("course_k"),
-                    F.when(ok, p["review_k"]).otherwise(F.lit(DEFAULT_REVIEW_K)).alias("review_k"),
+    ck = F.when(ok, p["course_k"]).otherwise(F.lit(DEFAULT_COURSE_K))
+    rk = F.when(ok, p["review_k"]).otherwise(F.lit(DEFAULT_REVIEW_K))
+    if cap is not None:
+        ck, rk = F.least(ck, F.lit(cap)), F.least(rk, F.lit(cap))
+    return x.select(*keep, ck.alias("course_k"), rk.alias("review_k"),
                     F.when(ok, p["reasoning"]).otherwise(F.lit(MSG_STRATEGY_DEFAULT)).alias("strategy_reasoning"))
 
 
@@ -143,9 +146,9 @@ def retry_loop(state: DataFrame, outputs: DataFrame, retrieve, max_attempts: int
     """At most ``max_attempts`` rounds of (strategy -> retrieve -> context
     verdict); a query leaves the loop when unanswerable, sufficient, or at the
     last attempt. Each round only processes still-open queries; finished rows
-    of all rounds are unioned. Every round's open set is checkpointed to the
-    shared checkpoint folder so lineage stays short and a lost executor only
-    recomputes one round.
+    of all rounds are unioned. Every round is written as a Parquet table in the
+    shared checkpoint folder and read back, so lineage stays short and a lost
+    executor only recomputes one round.
 
     ``retrieve(open_state) -> DataFrame(query_id, n_retrieved)``."""
     ensure_checkpoint_dir(state.sparkSession)
@@ -158,7 +161,7 @@ def retry_loop(state: DataFrame, outputs: DataFrame, retrieve, max_attempts: int
         v = context_verdict(s, outputs, attempt, max_iterations).withColumn("attempts", F.lit(attempt + 1))
         stop = F.coalesce(F.col("unanswerable"), F.lit(False)) | ~F.col("needs_improvement") | \
             F.lit(attempt >= max_attempts - 1)
-        v = v.withColumn("_stop", stop).checkpoint()
+        v = materialize(v.withColumn("_stop", stop), f"retry-round-{attempt}")
         done.append(v.where("_stop").drop("_stop"))
         open_q = v.where(~F.col("_stop")).drop("_stop", "n_retrieved", "is_sufficient", "unanswerable",
                                                 "needs_improvement", "context_note", "attempts")

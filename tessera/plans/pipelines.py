@@ -111,3 +111,35 @@ def prompts(ranked: DataFrame, queries: DataFrame, text_col: str = "text") -> Da
     ctx = context_lists(ranked, "query_id", "rank", text_col)
     return queries.join(ctx, "query_id", "left").select("query_id", "query", "docs",
                                                         prompt("query", "docs").alias("prompt"))
+
+
+METHODS = ("tfidf", "bm25", "dense")
+
+
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int, method: str = "tfidf") -> DataFrame:
+    """One retrieval entry point, ``(query_id, doc_id, rank, method)`` for any method.
+    tfidf = R4 (enhanced query + parts post-filter); bm25 = R14 (section weights,
+    post-filter on course/professor/term); dense = hashed-embedding cosine k-NN."""
+    if method == "tfidf":
+        out = course_retrieve(corpus, queries, k)
+    elif method == "bm25":
+        q = queries.withColumn("parts", filters.query_parts("query"))
+        d = corpus.select("doc_id", lexical.bm25_doc_terms("text").alias("terms"))
+        qt = q.select("query_id", lexical.bm25_query_terms("query", "parts").alias("q_terms"))
+        hits = lexical.bm25_search(d, qt, k)
+        hits = _bounded(queries, k)(hits.join(_bounded(queries, 1)(q.select("query_id", "parts")), "query_id"))
+        out = filters.post_filter(hits.join(corpus, "doc_id"), "text", "parts", ("course", "professor", "term"))
+    elif method == "dense":
+        out = review_retrieve(corpus, queries, k)
+    else:
+        raise ValueError(f"method must be one of {METHODS}")
+    return out.select("query_id", "doc_id", "rank", F.lit(method).alias("method"))
+
+
+def compare(corpus: DataFrame, queries: DataFrame, k: int, methods=METHODS) -> DataFrame:
+    """R15 side-by-side: the union of every method's results, tagged by method."""
+    res = [retrieve(corpus, queries, k, m) for m in methods]
+    out = res[0]
+    for r in res[1:]:
+        out = out.unionByName(r)
+    return out

@@ -23,6 +23,7 @@ _MODULES = [
     "tessera.plans.q_stages",
     "tessera.plans.q_eval",
     "tessera.plans.q_stream",
+    "tessera.plans.q_more",
 ]
 
 

@@ -22,9 +22,11 @@ FMT = T.StructType([T.StructField("meetingTime", MEETING_TIME),
 MEETING_SCHEMA = T.StructType([T.StructField("fmt", T.ArrayType(FMT))])
 
 
-def read_sections(spark: SparkSession, path: str, subject: str | None = None) -> DataFrame:
-    """S3: one row per section of every landed listing; a missing ``data`` is []."""
-    raw = spark.read.schema(LISTING_SCHEMA).option("multiLine", True).json(path)
+def read_sections(spark: SparkSession, path: str, subject: str | None = None,
+                  multiline: bool = False) -> DataFrame:
+    """S3: one row per section of every landed listing; a missing ``data`` is [].
+    ``multiline=True`` for one pretty-printed response per file, else JSON lines."""
+    raw = spark.read.schema(LISTING_SCHEMA).option("multiLine", multiline).json(path)
     rows = raw.select(F.explode(F.coalesce(F.col("data"), F.array().cast(T.ArrayType(SECTION))))
                       .alias("s")).select("s.*")
     if subject:
@@ -86,3 +88,24 @@ def meeting_json_from_part(part: DataFrame, supplier: DataFrame) -> DataFrame:
                   (size % 5 == 0).alias("friday"))
     js = F.to_json(F.struct(F.array(F.struct(mt.alias("meetingTime"), fac.alias("faculty"))).alias("fmt")))
     return j.select(F.col("p_partkey").cast("string").alias("crn"), js.alias("json"))
+
+
+LISTING_PAGE = 50
+
+
+def listing_json_from_part(part: DataFrame) -> DataFrame:
+    """Landed section-listing responses derived from ``part`` (test input): one
+    response per page of at most LISTING_PAGE sections, like a paginated API."""
+    k = F.col("p_partkey")
+    sec = F.struct(k.cast("string").alias("courseReferenceNumber"), F.col("p_name").alias("courseTitle"),
+                   F.concat(F.lit("CS"), (F.lit(1000) + k % 9000).cast("string")).alias("subjectCourse"),
+                   F.when(k % 4 == 0, "Online").when(k % 4 == 1, "No campus, no room needed")
+                   .when(k % 4 == 2, "Boston").otherwise("Oakland, CA").alias("campusDescription"),
+                   F.lit("CS").alias("subject"), F.lit("Spring 2025").alias("term"))
+    return (part.select(F.floor(k / LISTING_PAGE).alias("page"), sec.alias("s"))
+            .groupBy("page").agg(F.collect_list("s").alias("data")))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """K3/K4: JSON lines sink."""
+    df.write.mode("overwrite").json(path)

@@ -144,3 +144,48 @@ def test_verdict_failed_scanner_order(spark):
     v = guard.verdict(df, guard.input_scanners(F.col("t"))).first()
     assert v.guard_valid is False
     assert v.guard_reason == "Failed scanners: PromptInjection, TokenLimit"
+
+
+def test_strategy_cap(spark):
+    q = spark.createDataFrame([(1, "q")], "query_id long, query string")
+    out = spark.createDataFrame([(1, "strategy", 0, '{"course_k": 40, "review_k": 2}')],
+                                "query_id long, stage string, attempt int, response string")
+    r = stages.strategy(q, out, 0, cap=15).first()
+    assert (r.course_k, r.review_k) == (15, 2)
+
+
+def test_html_table_rows(spark):
+    from tessera.functions import html as H
+    page = ('<section aria-labelledby="courseDescription"> Intro to <b>AI</b> &amp; ML </section>'
+            '<table class="basePreqTable"><thead><tr><th>x</th></tr></thead><tbody>'
+            '<tr><td>And</td><td>(</td><td></td><td></td><td>CS</td><td>5010</td></tr>'
+            '<tr><td></td><td></td><td></td><td></td><td> MATH </td><td>1341</td></tr></tbody></table>')
+    df = spark.createDataFrame([(page,)], "h string")
+    r = df.select(H.element_text("h", "section", "aria-labelledby", "courseDescription").alias("d"),
+                  H.table_rows("h", "basePreqTable", {"and_or": 0, "subject": 4, "course_number": 5})
+                  .alias("rows")).first()
+    assert r.d == "Intro to AI & ML"
+    assert [tuple(x) for x in r.rows] == [("And", "CS", "5010"), ("", "MATH", "1341")]
+
+
+def test_pad_zero_scores(spark):
+    from tessera.operators import lexical
+    docs = spark.createDataFrame([(1, "apple pie"), (2, "banana"), (3, "cherry"), (4, "date")],
+                                 "doc_id long, text string")
+    q = spark.createDataFrame([(10, "apple")], "query_id long, query string")
+    idx = lexical.fit_tfidf(docs)
+    hits = lexical.search(idx, q, 3)
+    padded = lexical.pad_zero_scores(hits, idx, q, 3).orderBy("rank").collect()
+    assert [(r.doc_id, r.rank) for r in padded] == [(1, 1), (2, 2), (3, 3)]
+    assert padded[1].score == 0.0
+
+
+def test_retrieve_switch(spark):
+    from tessera.plans import pipelines
+    docs = spark.createDataFrame(
+        [(1, "=== course metadata ===\ntitle: algorithms\n\n=== location ===\ncampus: boston\n"),
+         (2, "=== course metadata ===\ntitle: compilers\n\n=== location ===\ncampus: online\n")],
+        "doc_id long, text string")
+    q = spark.createDataFrame([(1, "Algorithms in Boston?")], "query_id long, query string")
+    out = pipelines.compare(docs, q, 1).collect()
+    assert {(r.method, r.doc_id) for r in out} == {("tfidf", 1), ("bm25", 1), ("dense", 1)}
