@@ -182,10 +182,11 @@ def test_pad_zero_scores(spark):
 
 def test_retrieve_switch(spark):
     from tessera.plans import pipelines
+    titles = ["algorithms", "compilers", "databases", "networks", "graphics"]
+    campus = ["boston", "online", "online", "oakland", "online"]
     docs = spark.createDataFrame(
-        [(1, "=== course metadata ===\ntitle: algorithms\n\n=== location ===\ncampus: boston\n"),
-         (2, "=== course metadata ===\ntitle: compilers\n\n=== location ===\ncampus: online\n")],
-        "doc_id long, text string")
+        [(i + 1, f"=== course metadata ===\ntitle: {t}\n\n=== location ===\ncampus: {c}\n")
+         for i, (t, c) in enumerate(zip(titles, campus))], "doc_id long, text string")
     q = spark.createDataFrame([(1, "Algorithms in Boston?")], "query_id long, query string")
     out = pipelines.compare(docs, q, 1).collect()
     assert {(r.method, r.doc_id) for r in out} == {("tfidf", 1), ("bm25", 1), ("dense", 1)}
