@@ -16,7 +16,7 @@ from tessera.config import (CONTEXT_MAX_ITERATIONS, DEFAULT_COURSE_K, DEFAULT_RE
                             MAX_ATTEMPTS, MSG_CONTEXT_MAX, MSG_CONTEXT_PARSE, MSG_INTENT_PARSE,
                             MSG_RESPONSE_MISSING, MSG_RESPONSE_PARSE, MSG_RESPONSE_PARSE_ERROR,
                             MSG_STRATEGY_DEFAULT, MSG_VALIDATION_PARSE)
-from tessera.session import ensure_checkpoint_dir, materialize
+from tessera.session import ensure_checkpoint_dir
 
 S, B, I, D = T.StringType(), T.BooleanType(), T.IntegerType(), T.DoubleType()
 ARR = T.ArrayType(S)
@@ -99,9 +99,15 @@ def enhancement(state: DataFrame, outputs: DataFrame, attempt: int = 0) -> DataF
     """Enhanced sub-queries (attempt 0) or refined ones (later attempts)."""
     x = state.join(outputs_of(outputs, "enhancement", attempt), "query_id", "left")
     p = parse("response", ENHANCEMENT)
-    return x.select(*[c for c in state.columns if c not in ("course_db_query", "review_db_query")],
-                    F.coalesce(p["course_db_query"], F.col("query")).alias("course_db_query"),
-                    F.coalesce(p["review_db_query"], F.col("query")).alias("review_db_query"))
+    prev_c = F.col("course_db_query") if "course_db_query" in state.columns else F.col("query")
+    prev_r = F.col("review_db_query") if "review_db_query" in state.columns else F.col("query")
+    it = F.col("enhancement_iteration") if "enhancement_iteration" in state.columns else F.lit(-1)
+    keep = [c for c in state.columns if c not in ("course_db_query", "review_db_query",
+                                                   "enhancement_iteration")]
+    return x.select(*keep,
+                    F.coalesce(p["course_db_query"], prev_c).alias("course_db_query"),
+                    F.coalesce(p["review_db_query"], prev_r).alias("review_db_query"),
+                    (it + F.when(p.isNotNull(), 1).otherwise(0)).alias("enhancement_iteration"))
 
 
 def strategy(state: DataFrame, outputs: DataFrame, attempt: int = 0, cap: int | None = None) -> DataFrame:
@@ -146,22 +152,25 @@ def retry_loop(state: DataFrame, outputs: DataFrame, retrieve, max_attempts: int
     """At most ``max_attempts`` rounds of (strategy -> retrieve -> context
     verdict); a query leaves the loop when unanswerable, sufficient, or at the
     last attempt. Each round only processes still-open queries; finished rows
-    of all rounds are unioned. Every round is written as a Parquet table in the
-    shared checkpoint folder and read back, so lineage stays short and a lost
-    executor only recomputes one round.
+    of all rounds are unioned. Every round is checkpointed (reliably) into the
+    shared checkpoint folder, so lineage stays short and a lost executor only
+    recomputes one round.
 
     ``retrieve(open_state) -> DataFrame(query_id, n_retrieved)``."""
     ensure_checkpoint_dir(state.sparkSession)
     open_q = state
     done = []
     for attempt in range(max_attempts):
+        if attempt > 0 and "course_db_query" in open_q.columns:
+            open_q = enhancement(open_q, outputs, attempt)  # G5: feedback refinement
         s = strategy(open_q, outputs, attempt)
         s = s.join(retrieve(s), "query_id", "left").withColumn(
             "n_retrieved", F.coalesce("n_retrieved", F.lit(0)))
         v = context_verdict(s, outputs, attempt, max_iterations).withColumn("attempts", F.lit(attempt + 1))
         stop = F.coalesce(F.col("unanswerable"), F.lit(False)) | ~F.col("needs_improvement") | \
             F.lit(attempt >= max_attempts - 1)
-        v = materialize(v.withColumn("_stop", stop), f"retry-round-{attempt}")
+        # Reliable checkpoint into the shared checkpoint folder: short lineage per round.
+        v = v.withColumn("_stop", stop).checkpoint()
         done.append(v.where("_stop").drop("_stop"))
         open_q = v.where(~F.col("_stop")).drop("_stop", "n_retrieved", "is_sufficient", "unanswerable",
                                                 "needs_improvement", "context_note", "attempts")

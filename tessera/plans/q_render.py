@@ -74,3 +74,11 @@ def csv_roundtrip(spark, sf_dir):
     back = files.read_courses(spark, path)
     assert n >= 0
     return back
+
+
+@register("reviews_csv_roundtrip", sql=f"SELECT * FROM {REVIEWS_SQL}")
+def reviews_csv_roundtrip(spark, sf_dir):
+    """K1 + S2: review rows (multi-line texts, quotes) written as CSV and read back."""
+    path = work_path(spark, "reviews-csv")
+    files.write_csv(reviews(spark, sf_dir), path, files.REVIEW_HEADERS)
+    return files.read_reviews(spark, path)
