@@ -31,9 +31,17 @@ from tessera.operators.topk import top_k
 from tessera.session import DEFAULT_BROADCAST_ROWS, fits, materialize, spread  # noqa: F401
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
-    """(id, term, tf): raw gram counts per row (map-side partial counts)."""
+DOC_SENTINEL = "\u0000"  # one per document: its document frequency is N
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2,
+                sentinel: bool = False) -> DataFrame:
+    """(id, term, tf): raw gram counts per row (map-side partial counts).
+    ``sentinel=True`` adds one NUL term per row, so counting rows rides along
+    with the document-frequency aggregation instead of a separate job."""
     g = with_grams(spread(df), id_col, text_col, "g", ngram_max)
+    if sentinel:
+        g = g.select(id_col, F.concat(F.array(F.lit(DOC_SENTINEL)), F.col("g")).alias("g"))
     return (g.select(id_col, explode_nonempty("g", "term")).where(F.col("term").isNotNull())
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
@@ -43,7 +51,7 @@ class TfidfIndex:
     postings: DataFrame
     vocab: DataFrame
     norms: DataFrame
-    n_docs: int
+    n_docs: int | None  # None: not counted yet (see doc_count)
     id_col: str = "doc_id"
     ngram_max: int = 2
 
@@ -52,10 +60,16 @@ class TfidfIndex:
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         self.norms.write.mode("overwrite").parquet(f"{path}/norms")
         spark = self.postings.sparkSession
-        spark.createDataFrame([(self.n_docs, self.id_col, self.ngram_max)],
+        spark.createDataFrame([(self.doc_count(), self.id_col, self.ngram_max)],
                               "n_docs long, id_col string, ngram_max int") \
             .write.mode("overwrite").json(f"{path}/meta")
 
+    def doc_count(self) -> int:
+        """Documents that have at least one gram (one action, only when saving)."""
+        if self.n_docs is None:
+            self.n_docs = int(self.norms.count())
+        return self.n_docs
+
     @staticmethod
     def load(spark, path: str) -> "TfidfIndex":
         meta = spark.read.json(f"{path}/meta").first()
@@ -71,14 +85,20 @@ def idf_expr(n_docs: int, df_col="df"):
 
 def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               ngram_max: int = 2, persist: bool = False) -> TfidfIndex:
-    """Fit the index over all non-null documents (F1 drops null texts)."""
+    """Fit the index over all non-null documents (F1 drops null texts).
+
+    N (the number of documents) is the document frequency of a per-document
+    sentinel term, read back as a scalar subquery: no separate counting job,
+    and the tf shuffle is shared by the N, df and weight branches."""
     docs = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    n_docs = docs.select(id_col).count()
-    tf = term_counts(docs, id_col, text_col, ngram_max)
+    tf_all = term_counts(docs, id_col, text_col, ngram_max, sentinel=True)
     # cf (collection frequency) reads tf, so this branch keeps the same tf
     # aggregate as the weight branch and the shuffle of tf is reused, not redone.
-    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-             .withColumn("idf", idf_expr(n_docs)))
+    counts = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    n_docs = counts.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("double")).scalar()
+    vocab = (counts.where(F.col("term") != DOC_SENTINEL)
+             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
+    tf = tf_all.where(F.col("term") != DOC_SENTINEL)
     # Shuffled hash join with the vocabulary as the build side: its keys are
     # unique, so a build partition is vocabulary / partitions and never skewed;
     # the (possibly skewed) postings side streams through without a sort.
@@ -94,7 +114,7 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         vocab = materialize(vocab, "tfidf-vocab")
     norms = postings.groupBy(id_col).agg(F.first("norm").alias("norm"),
                                          F.first("n_terms").alias("n_terms"))
-    return TfidfIndex(postings.select(id_col, "term", "tf", "w"), vocab, norms, n_docs,
+    return TfidfIndex(postings.select(id_col, "term", "tf", "w"), vocab, norms, None,
                       id_col, ngram_max)
 
 

@@ -94,9 +94,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_FITS_CACHE: dict = {}
+
+
+def _plan_key(df: DataFrame):
+    try:
+        return (id(df.sparkSession), df.semanticHash())
+    except Exception:  # noqa: BLE001 - no stable key: do not cache
+        return None
+
+
 def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """Bounded size check: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Bounded size check: reads at most ``max_rows + 1`` rows. The answer is
+    remembered per (plan, bound), so a pipeline asking again about the same
+    side does not re-plan and re-run the check."""
+    key = _plan_key(df)
+    if key is not None and (key, max_rows) in _FITS_CACHE:
+        return _FITS_CACHE[(key, max_rows)]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        if len(_FITS_CACHE) > 512:
+            _FITS_CACHE.clear()
+        _FITS_CACHE[(key, max_rows)] = ok
+    return ok
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
