@@ -70,9 +70,6 @@ def hash_embed(spark, sf_dir):
     return f.select("doc_id", "idx", F.round("value", 6).alias("value"))
 
 
-REVIEW_DOCS_SQL = None  # set below (needs the review template SQL)
-
-
 def review_docs(spark, sf_dir):
     """Review documents (P8) keyed by numeric id."""
     r = reviews(spark, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from tessera.config import (BANNED_SUBSTRINGS, GATE_NOT_RELEVANT, GATE_POLICY, GATE_VALID,
@@ -162,5 +160,3 @@ def guard_eval(spark, sf_dir):
     v = G.verdict(lab.join(d, "doc_id"), G.input_scanners(F.col("text")))
     return v.groupBy("toxic", (~F.col("guard_valid")).alias("flagged")).agg(F.count(F.lit(1)).alias("n"))
 
-
-del re

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.config import SEMESTER
-from tessera.functions import render
 from tessera.operators import guard as G
 from tessera.operators import stages as ST
 from tessera.plans.q_dataset import VARIANTS_SQL, _variants
@@ -102,5 +101,3 @@ def stage_prompts(spark, sf_dir):
     return q.select("query_id", ST.render_prompt(VALIDATION_TEMPLATE, query="query").alias("prompt"),
                     ST.append_history(F.lit(None), F.lit("validation: prompt")).alias("history"))
 
-
-_unused = render

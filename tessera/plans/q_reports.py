@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import html as H
-from tessera.functions.render import day_list
 from tessera.operators import reports
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sq

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.config import (CONTEXT_MAX_ITERATIONS, MAX_ATTEMPTS, MSG_CONTEXT_MAX, MSG_CONTEXT_PARSE,
-                            MSG_INTENT_PARSE, MSG_RESPONSE_MISSING, MSG_RESPONSE_PARSE,
+                            MSG_INTENT_PARSE, MSG_RESPONSE_PARSE,
                             MSG_VALIDATION_PARSE)
 from tessera.operators import lexical
 from tessera.operators import stages as G
@@ -281,5 +281,3 @@ def staged_pipeline(spark, sf_dir):
         .otherwise(F.col("final_response")).alias("final_response"), F.lit("response_generation").alias("stage"))
     return invalid.unionByName(bad_intent).unionByName(resp)
 
-
-_unused = (MSG_RESPONSE_MISSING,)
