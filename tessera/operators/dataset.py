@@ -73,7 +73,9 @@ def consecutive_index(df: DataFrame, order_cols: list[str], out: str = "row_idx"
     partition to the driver), then each partition numbers its rows from its offset."""
     # A reliable checkpoint (in the shared checkpoint folder) fixes the
     # partitioning, so the counting pass and the numbering pass see the same rows.
-    s = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).checkpoint()
+    cached = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).persist()
+    s = cached.checkpoint()
+    cached.unpersist()
     counts = dict(s.groupBy(F.spark_partition_id().alias("p")).count().collect())
     offsets, acc = {}, 0
     for p in range(s.rdd.getNumPartitions()):

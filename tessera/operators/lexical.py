@@ -192,23 +192,24 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     terms count once each time they appear. idf = ln((N - df + 0.5)/(df + 0.5));
     negative idf is replaced by ``epsilon * mean idf``."""
     d = docs.select(id_col, F.col(doc_terms_col).alias("terms"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+    # Corpus statistics as scalar subqueries: they share the plan's scans and
+    # shuffles instead of running separate jobs that tokenise everything again.
+    stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    n_docs = stats.select("n").scalar()
+    avgdl = stats.select(F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))).scalar()
     dl = d.select(id_col, F.size("terms").alias("dl"))
     tf = (d.select(id_col, explode_nonempty("terms", "term")).where(F.col("term").isNotNull())
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw_idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    vocab = dfs.withColumn("idf", raw_idf)
-    agg = vocab.agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("c")).first()
-    mean_idf = (float(agg["s"]) / int(agg["c"])) if agg["c"] else 0.0
-    vocab = vocab.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * mean_idf))
-                             .otherwise(F.col("idf")))
+    raw = dfs.withColumn("idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean_idf = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0))).scalar()
+    vocab = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon) * mean_idf)
+                           .otherwise(F.col("idf")))
     q = (queries.select(qid, explode_nonempty(q_terms_col, "term")).where(F.col("term").isNotNull())
          .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
     if fits(q):
         q = F.broadcast(q)
-    denom_norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
+    denom_norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = (tf.join(q, "term").join(vocab.select("term", "idf"), "term").join(dl, id_col)
             .withColumn("c", F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1)
                         / (F.col("tf") + denom_norm)))

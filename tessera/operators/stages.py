@@ -170,7 +170,11 @@ def retry_loop(state: DataFrame, outputs: DataFrame, retrieve, max_attempts: int
         stop = F.coalesce(F.col("unanswerable"), F.lit(False)) | ~F.col("needs_improvement") | \
             F.lit(attempt >= max_attempts - 1)
         # Reliable checkpoint into the shared checkpoint folder: short lineage per round.
-        v = v.withColumn("_stop", stop).checkpoint()
+        # Persisted first, so writing the checkpoint reads the cached round instead of
+        # recomputing it; the cache is dropped once the checkpoint files exist.
+        cached = v.withColumn("_stop", stop).persist()
+        v = cached.checkpoint()
+        cached.unpersist()
         done.append(v.where("_stop").drop("_stop"))
         open_q = v.where(~F.col("_stop")).drop("_stop", "n_retrieved", "is_sufficient", "unanswerable",
                                                 "needs_improvement", "context_note", "attempts")
