@@ -91,7 +91,10 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sentinel term, read back as a scalar subquery: no separate counting job,
     and the tf shuffle is shared by the N, df and weight branches."""
     docs = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    tf_all = term_counts(docs, id_col, text_col, ngram_max, sentinel=True)
+    # Tokenising is the costly step; the term counts are written once to the shared
+    # folder, so the N, df and weight branches (which the optimizer prunes
+    # differently, defeating exchange reuse) all read the same table.
+    tf_all = materialize(term_counts(docs, id_col, text_col, ngram_max, sentinel=True), "tfidf-tf")
     # cf (collection frequency) reads tf, so this branch keeps the same tf
     # aggregate as the weight branch and the shuffle of tf is reused, not redone.
     counts = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
