@@ -194,7 +194,9 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     ``docs(id, terms array)`` and ``queries(qid, q_terms array)``; repeated query
     terms count once each time they appear. idf = ln((N - df + 0.5)/(df + 0.5));
     negative idf is replaced by ``epsilon * mean idf``."""
-    d = docs.select(id_col, F.col(doc_terms_col).alias("terms"))
+    # The document term arrays feed the statistics, lengths and counts: write them
+    # once to the shared folder instead of re-deriving them in every branch.
+    d = materialize(docs.select(id_col, F.col(doc_terms_col).alias("terms")), "bm25-doc-terms")
     # Corpus statistics as scalar subqueries: they share the plan's scans and
     # shuffles instead of running separate jobs that tokenise everything again.
     stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
