@@ -81,10 +81,10 @@ class WordCodes:
     empty, so memory stays bounded whatever the vocabulary."""
 
     def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 limit: int = 600_000):
+                 limit: int = 600_000, dtype=np.int64):
         self.compute, self.limit = compute, limit
         self.codes: dict[str, int] = {}
-        self.values = np.zeros(0, np.int64)
+        self.values = np.zeros(0, dtype)
         self.starts = np.zeros(1, np.int64)
 
     def lookup(self, words: list[str]) -> np.ndarray:

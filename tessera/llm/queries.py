@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts, token_output
+from . import language_id, mixing, secrets, token_counts, token_output, topk_search
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,42 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_output.write_tokens(table(spark, sf_dir, "documents"), path,
                               token_output.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
     return token_output.read_digests(spark, path)
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3 by source."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_mixing"] = mixing.oracle_sql()
+
+
+@query
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of every 50th vector among all others."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op4_topk_search"] = topk_search.oracle_sql()
+
+
+@query
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the spans of every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS[:3]],
+                        F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
