@@ -73,6 +73,19 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+class _Codes(dict):
+    """word -> code; a new word gets the next code and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordCodes:
     """A bounded cache word -> row of values, for work that repeats per word.
 
@@ -83,24 +96,22 @@ class WordCodes:
     def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
                  limit: int = 600_000, dtype=np.int64):
         self.compute, self.limit = compute, limit
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.values = np.zeros(0, dtype)
         self.starts = np.zeros(1, np.int64)
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Code of each word; codes index ``starts`` until the next call."""
         if len(self.codes) > self.limit:
-            self.codes = {}
+            self.codes = _Codes()
             self.values, self.starts = self.values[:0], self.starts[:1]
-        known = self.codes
-        first = len(known)
-        for w in set(words).difference(known):
-            known[w] = len(known)
-        if len(known) > first:
-            values, lengths = self.compute(_tail(known, first))
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        if self.codes.new:
+            new, self.codes.new = self.codes.new, []
+            values, lengths = self.compute(new)
             self.values = np.concatenate([self.values, values.astype(self.values.dtype, copy=False)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return codes
 
     def flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of a code sequence in order, and each code's number of values."""
@@ -113,15 +124,6 @@ class WordCodes:
         return self.values[at], lengths
 
 
-def _tail(d: dict[str, int], first: int) -> list[str]:
-    out = []
-    for w in reversed(d):
-        if d[w] < first:
-            break
-        out.append(w)
-    return out[::-1]
-
-
 def by_document(lengths: np.ndarray, words_per_doc: np.ndarray) -> np.ndarray:
     """Sum of ``lengths`` over each document's run of words."""
     ends = np.cumsum(words_per_doc)

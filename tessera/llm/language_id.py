@@ -276,9 +276,17 @@ class Labeller:
         return found
 
 
+def task_labeller(model: Model) -> Labeller:
+    """One labeller, and so one bounded cache, for all tasks of a Python worker
+    (which keeps a broadcast value between tasks)."""
+    if not hasattr(model, "labeller"):
+        model.labeller = Labeller(model)
+    return model.labeller
+
+
 def _labelled(batches, model, text_at):
     """Batches with two more columns, lang_pred and score."""
-    labeller = Labeller(model) if model else None
+    labeller = task_labeller(model) if model else None
     for batch in batches:
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
         got = labeller.label(texts) if labeller else [(UNDETERMINED, 0.0)] * len(texts)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, secrets, token_counts, token_output, topk_search
+from . import language_id, mixing, secrets, sentencepiece_fst, token_counts, token_output, topk_search
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's text by the compiled transducer, and whether they decode to the text."""
+    fst = sentencepiece_fst.compile_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_fst.round_trips(table(spark, sf_dir, "documents"), fst)
