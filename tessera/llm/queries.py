@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, secrets, sentencepiece_fst, token_counts, token_output, topk_search
+from . import embedding_dedup, html_templates, language_id, mixing, secrets, sentencepiece_fst, token_counts, token_output, topk_search
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,15 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text by the compiled transducer, and whether they decode to the text."""
     fst = sentencepiece_fst.compile_model(public_tokenizers.path("piece_bpe_32k.model"))
     return sentencepiece_fst.round_trips(table(spark, sf_dir, "documents"), fst)
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_templates.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
