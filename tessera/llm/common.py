@@ -61,6 +61,12 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (base + "_" * i for i in range(1, len(taken) + 2)) if n.lower() not in taken)
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(start, stop) ranges of ``texts`` of at most ``limit`` characters each."""
     start = size = 0
@@ -94,7 +100,7 @@ class WordCodes:
     empty, so memory stays bounded whatever the vocabulary."""
 
     def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 limit: int = 600_000, dtype=np.int64):
+                 limit: int = 400_000, dtype=np.int64):
         self.compute, self.limit = compute, limit
         self.codes = _Codes()
         self.values = np.zeros(0, dtype)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_templates, language_id, mixing, secrets, sentencepiece_fst, token_counts, token_output, topk_search
+from . import embedding_dedup, html_templates, language_id, minhash_dedup, mixing, secrets, sentencepiece_fst, token_counts, token_output, topk_search
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.95."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document at edit similarity 0.8, and the one document kept of it."""
+    found = minhash_dedup.classify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "kept")
