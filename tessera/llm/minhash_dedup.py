@@ -75,7 +75,8 @@ def word_hashes(texts: list[str]):
     cache = task_hashes()
     for a, b in slices(texts):
         docs = [words_of(t) for t in texts[a:b]]
-        h = cache.values[cache.lookup([w for d in docs for w in d])] if any(docs) else np.zeros(0, np.uint64)
+        codes = cache.lookup([w for d in docs for w in d])
+        h = cache.values[codes]  # the cache's arrays are those after the lookup
         at = 0
         for d in docs:
             yield h[at:at + len(d)]

@@ -91,10 +91,9 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0,
-        id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
-    sized = stored(sizes(documents, id_column, text_column, source_column), "mix-sizes")
+def plan_mix(sized: DataFrame, weights: tuple[int, ...], most: float, share: float) -> DataFrame:
+    """source, source_size, target, rounds (repeats of every document) and cutoff (documents
+    with a hash below it come once more); one row per source."""
     plan = targets(sized, weights, most, share)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("rounds", rounds.cast("bigint"))
@@ -104,12 +103,32 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     none = F.when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))
     plan = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(
         "p.*", F.coalesce("cutoff", none).alias("cutoff"))
-    plan = stored(plan, "mix-plan")
+    return stored(plan, "mix-plan")
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0,
+        id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+    sized = stored(sizes(documents, id_column, text_column, source_column), "mix-sizes")
+    plan = plan_mix(sized, weights, most, share)
     return sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
         "d.doc_id", "d.source", "size", "source_size", "target",
         (F.col("size") * (F.col("rounds") + (F.col("h") < F.col("cutoff")).cast("bigint"))).alias("taken"))
 
 
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0,
+                    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """``documents`` as the mix takes them: rows repeated or left out."""
+    sized = stored(sizes(documents, id_column, text_column, source_column), "mix-sizes")
+    plan = plan_mix(sized, weights, most, share).select(F.col("source").alias("p_source"), "rounds", "cutoff")
+    names = documents.columns
+    rows = documents.select(F.struct("*").alias("row"), F.col(source_column).cast("string").alias("d_source"), hash60(id_column).alias("h"))
+    rows = rows.join(plan, F.col("d_source").eqNullSafe(F.col("p_source")))
+    times = (F.col("rounds") + (F.col("h") < F.col("cutoff")).cast("bigint")).cast("int")
+    rows = rows.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("time"))
+    return rows.select(*[F.col("row")[n].alias(n) for n in names])
+
+
 def oracle_sql(weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> str:
     """The same mix for an engine that sorts by hash instead."""
     w = " ".join(f"WHEN {i} THEN {float(x)}" for i, x in enumerate(weights))
