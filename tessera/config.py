@@ -5,8 +5,6 @@ plain text, and the operators take it as arguments so users can swap it."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must stay as written for matching results)
 # ---------------------------------------------------------------------------
@@ -27,9 +25,6 @@ DEFAULT_REVIEW_K = 5
 MAX_ATTEMPTS = 4
 CONTEXT_MAX_ITERATIONS = 2
 
-# Reranker input cap in tokens.
-RERANK_MAX_TOKENS = 512
-
 # Token-limit guard default.
 TOKEN_LIMIT = 4096
 
@@ -121,7 +116,11 @@ BANNED_SUBSTRINGS = [
     "bank account", "cvv code",
 ]
 
-# Prompt-injection rules: (pattern, weight). Ours; the model-based scanner is not built.
+# ---------------------------------------------------------------------------
+# OUR OWN RULES (heuristics in place of model-based scanners)
+# ---------------------------------------------------------------------------
+
+# Prompt-injection rules: (pattern, weight).
 INJECTION_RULES = [
     (r"ignore (all |any )?(the )?(previous|prior|above) (instructions|prompts?)", 1.0),
     (r"disregard (all |any )?(the )?(previous|prior|above)", 1.0),
@@ -134,7 +133,7 @@ INJECTION_RULES = [
 ]
 INJECTION_THRESHOLD = 0.5
 
-# Refusal phrases for the output guard. Ours; the model-based scanner is not built.
+# Refusal phrases for the output guard.
 REFUSAL_PATTERNS = [
     r"i('m| am) sorry,? but",
     r"i can(no|')t (help|assist|provide)",
@@ -143,6 +142,10 @@ REFUSAL_PATTERNS = [
     r"i apologi[sz]e,? but",
 ]
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES, continued
+# ---------------------------------------------------------------------------
+
 # Relevance verdict text and gate outcomes.
 RELEVANT = "RELEVANT"
 GATE_POLICY = "CONTENT POLICY VIOLATION"
@@ -196,14 +199,3 @@ N_PROFESSORS = 50
 N_SAMPLED_QUESTIONS = 250
 SAMPLE_SEED = 3
 VARIANTS_PER_QUESTION = 10
-
-# ---------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class RetrievalConfig:
-    course_k: int = COURSE_K
-    review_k: int = REVIEW_K
-    final_k: int = FINAL_K
-    rules: list = field(default_factory=lambda: list(QUERY_RULES))
-    banned: list = field(default_factory=lambda: list(BANNED_SUBSTRINGS))

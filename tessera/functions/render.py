@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.config import COURSE_LABEL, REVIEW_LABEL, REVIEW_TEMPLATE
+from tessera.config import REVIEW_TEMPLATE
 from tessera.functions.text import collapse_ws
 
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday"]
@@ -157,15 +157,10 @@ def review_text(crn="crn", course_name="course_name", instructor="instructor", s
                            e(course_number), e(question), e(review))
 
 
-def label(source_is_course: bool, text) -> Column:
-    """P16."""
-    return F.concat(F.lit(COURSE_LABEL if source_is_course else REVIEW_LABEL), _c(text))
-
-
 def prompt(query, docs) -> Column:
     """P17 user message: with context when the doc list is non-empty."""
     q, d = _c(query), _c(docs)
-    return (F.when(F.coalesce(F.size(d), F.lit(0)) > 0,
+    return (F.when(F.size(F.coalesce(d, F.array().cast("array<string>"))) > 0,
                    F.concat(F.lit("Context:\n"), F.array_join(d, "\n"), F.lit("\n\nQuery: "), q,
                             F.lit("\n\nAnswer:")))
             .otherwise(F.concat(F.lit("Query: "), q, F.lit("\n\nAnswer:"))))

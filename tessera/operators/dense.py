@@ -1,27 +1,30 @@
 """Dense vectors: exact k-NN (R5, J4), feature-hashing embedder (R7), vector
 collection build and idempotent add (R8, S6, K2), LSH candidates (R6).
 
-Exact k-NN never forms the query x corpus pair table. The query vectors go
-out in bounded blocks as a broadcast; each corpus partition scores its Arrow
-batches against the block with numpy and keeps only the k best per query, so
-a partition emits at most k rows per query. A per-query top-k over those
-partial lists (a partial WindowGroupLimit, then one small shuffle) gives the
-exact answer. Distances are rounded before ranking and ties go to the lower
-id, so the result does not depend on partitioning."""
+Exact k-NN never forms the query x corpus pair table: each cell of a grid of
+corpus chunks and query blocks keeps only the k best per query, and a per-query
+top-k over those partial lists (a partial WindowGroupLimit, then one small
+shuffle) gives the exact answer. Distances are rounded before ranking and ties
+go to the lower id, so the result does not depend on partitioning."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators.lexical import term_counts
 from tessera.operators.topk import top_k
+from tessera.session import materialize
 
 METRICS = ("l2", "cosine", "ip")
 MAX_QUERY_BLOCK = 4096
+# Queries scored at once inside a cell.
+STEP = 64
 
 
 def _distances(X: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
@@ -40,64 +43,63 @@ def _distances(X: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
-def _partial_topk(qids: np.ndarray, Q: np.ndarray, k: int, metric: str, id_col: str,
-                  vec_col: str, digits: int):
-    nq = len(qids)
-
-    def run(batches):
-        best_d = np.full((nq, 0), np.inf)
-        best_i = np.zeros((nq, 0), dtype=np.int64)
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) == 0:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            X = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            D = np.round(_distances(X, Q, metric), digits).T  # [nq, n]
-            cand_d = np.concatenate([best_d, D], axis=1)
-            cand_i = np.concatenate([best_i, np.broadcast_to(ids, D.shape)], axis=1)
-            keep = min(k, cand_d.shape[1])
-            order = np.lexsort((cand_i, cand_d), axis=1)[:, :keep]
-            best_d = np.take_along_axis(cand_d, order, 1)
-            best_i = np.take_along_axis(cand_i, order, 1)
-        if best_d.shape[1]:
-            yield pd.DataFrame({"query_id": np.repeat(qids, best_d.shape[1]),
-                                id_col: best_i.reshape(-1), "distance": best_d.reshape(-1)})
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    n = len(column)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _cell_topk(k: int, metric: str, digits: int, schema: pa.Schema):
+    """Exact top-k of one cell (a chunk of the corpus x a block of queries): STEP
+    queries at a time, the k-th distance by partition, then only rows up to it sorted."""
+
+    def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
+        if not corpus.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        order = pc.sort_indices(corpus.column("_id")).to_numpy()
+        corpus = corpus.take(order)  # row numbers now order ties by id
+        X, Q = _matrix(corpus.column("_v")), _matrix(queries.column("_v"))
+        rows, at, dist = [], [], []
+        kth = min(k, len(X)) - 1
+        for a in range(0, len(Q), STEP):
+            D = np.round(_distances(X, Q[a:a + STEP], metric), digits)
+            row, q = np.nonzero(D <= np.partition(D, kth, axis=0)[kth])
+            d = D[row, q]
+            best = np.lexsort((row, d, q))
+            starts = np.flatnonzero(np.diff(q[best], prepend=-1))
+            place = np.arange(len(best)) - np.repeat(starts, np.diff(starts, append=len(best)))
+            best = best[place < k]
+            rows.append(row[best])
+            at.append(a + q[best])
+            dist.append(d[best])
+        rows, at, dist = (np.concatenate(x) for x in (rows, at, dist))
+        return pa.Table.from_arrays([queries.column("_q").take(pa.array(at)), corpus.column("_id").take(pa.array(rows)), pa.array(dist)],
+                                    schema=schema)
+
     return run
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id",
         vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
         digits: int = 6, block: int = MAX_QUERY_BLOCK) -> DataFrame:
-    """Exact k nearest corpus rows per query: (query_id, id, distance, rank)."""
+    """Exact k nearest corpus rows per query: (query_id, id, distance, rank).
+
+    Chunks of the corpus and blocks of queries meet in a grid of cells (an equi-join
+    on the cell), so neither side is broadcast or collected; ids keep their types."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    schema = T.StructType([T.StructField("query_id", T.LongType()),
-                           T.StructField(id_col, T.LongType()),
-                           T.StructField("distance", T.DoubleType())])
-    corpus = corpus.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
-    qs = queries.select(F.col(qid).cast("long").alias("_q"),
-                        F.col(qvec).cast("array<double>").alias("_v")).where(F.col("_v").isNotNull())
-    # Query blocks: each block is a bounded broadcast (about ``block`` vectors),
-    # assigned by hash of the query id, so no single task ever sees the whole set.
-    n_q = qs.count()
-    n_blocks = max(1, -(-n_q // block)) if n_q else 0
-    parts = []
-    for b in range(n_blocks):
-        rows = qs.where(F.pmod(F.xxhash64("_q"), F.lit(n_blocks)) == b).collect()
-        if not rows:
-            continue
-        qids = np.array([r["_q"] for r in rows], dtype=np.int64)
-        Q = np.array([r["_v"] for r in rows], dtype=np.float64)
-        fn = _partial_topk(qids, Q, k, metric, id_col, vec_col, digits)
-        parts.append(corpus.mapInPandas(fn, schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    out = top_k(partial, "query_id", [F.col("distance"), F.col(id_col)], k)
-    return out.withColumnRenamed("query_id", qid) if qid != "query_id" else out
+    spark = corpus.sparkSession
+    c = corpus.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where("_v is not null")
+    q = queries.select(F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v")).where("_v is not null")
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    blocks = max(1, -(-q.count() // block))
+    c = c.select("*", F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    q = q.select("*", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("_chunk"))
+    out = T.StructType([T.StructField("query_id", q.schema["_q"].dataType), T.StructField(id_col, c.schema["_id"].dataType),
+                        T.StructField("distance", T.DoubleType())])
+    cell = c.groupBy("_chunk", "_block").cogroup(q.groupBy("_chunk", "_block"))
+    partial = cell.applyInArrow(_cell_topk(k, metric, digits, to_arrow_schema(out)), out)
+    found = top_k(partial, "query_id", [F.col("distance"), F.col(id_col)], k)
+    return found.withColumnRenamed("query_id", qid) if qid != "query_id" else found
 
 
 def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
@@ -166,13 +168,16 @@ def read_collection(spark, path: str) -> DataFrame:
 
 
 def add_to_collection(path: str, rows: DataFrame) -> int:
-    """K2 add: rows whose id is already stored are skipped (idempotent append).
+    """K2 add: rows whose id is already stored are skipped (idempotent append); of
+    rows that repeat an id the one with the lowest metadata index is added. One
+    writer at a time.
 
     The anti join reads only the stored ``id`` column; the new rows are
     written as new files, the stored files are never rewritten."""
     spark = rows.sparkSession
     existing = read_collection(spark, path).select("id")
-    new = rows.join(existing, "id", "left_anti").dropDuplicates(["id"])
+    one = rows.groupBy("id").agg(F.min(F.struct("metadata", "text", "embedding")).alias("r"))
+    new = one.join(existing, "id", "left_anti").select("id", "r.text", "r.metadata", "r.embedding")
     obs = Observation("added")
     new.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return int(obs.get["n"])
@@ -180,19 +185,23 @@ def add_to_collection(path: str, rows: DataFrame) -> int:
 
 def lsh_knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
             vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
-            bucket_length: float = 1.0, num_tables: int = 8, max_distance: float = 2.0,
-            seed: int = 7, digits: int = 6) -> DataFrame:
+            bucket_length: float = 1.0, num_tables: int = 8, seed: int = 7, digits: int = 6) -> DataFrame:
     """Approximate k-NN. Random-projection LSH puts vectors into buckets; the
     candidate join is an equi-join on (table, bucket), then candidates are
-    re-scored exactly (squared L2) and ranked. Pairs beyond ``max_distance`` or in
-    no shared bucket are missed: that is the approximation."""
+    re-scored exactly (squared L2) and ranked. Pairs in no shared bucket are missed
+    (the approximation; no distance is cut), and a query whose buckets hold fewer
+    than k rows goes to the exact search."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     c = corpus.select(F.col(id_col).alias("_id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
     q = queries.select(F.col(qid).alias("_q"), array_to_vector(F.col(qvec).cast("array<double>")).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                        numHashTables=num_tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, max_distance, distCol="d")
+    pairs = model.approxSimilarityJoin(q, c, float("inf"), distCol="d")
     cand = pairs.select(F.col("datasetA._q").alias(qid), F.col("datasetB._id").alias(id_col),
                         F.round(F.col("d") * F.col("d"), digits).alias("distance"))
-    return top_k(cand, qid, [F.col("distance"), F.col(id_col)], k)
+    cand = materialize(top_k(cand, qid, [F.col("distance"), F.col(id_col)], k), "lsh-candidates")
+    full = cand.where(F.col("rank") == k).select(qid)
+    short = queries.join(full, qid, "left_anti")
+    exact = knn(corpus, short, k, "l2", id_col, vec_col, qid, qvec, digits)
+    return cand.join(full, qid, "left_semi").unionByName(exact.select(*cand.columns))

@@ -3,12 +3,11 @@
 n-gram metrics work on exploded, counted grams joined per pair (clipped counts
 by ``least``), so a pair's work is proportional to its length and pairs are
 spread over partitions. ROUGE-L needs a longest-common-subsequence per pair:
-an Arrow-batched pandas UDF runs the dynamic programme on each pair's whole
-token lists (numpy, one row of the table at a time)."""
+an Arrow-batched pandas UDF computes it bit-parallel on each pair's whole
+token lists."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,21 +79,17 @@ def bleu_corpus(pairs: DataFrame, key: str, cand_col: str, ref_col: str, max_n:
 
 
 def _lcs_len(a, b) -> int:
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    if len(a) < len(b):
-        a, b = b, a
-    b = np.asarray(b, dtype=object)
-    prev = np.zeros(len(b) + 1, dtype=np.int64)
-    for x in a:
-        eq = (b == x)
-        cur = np.zeros_like(prev)
-        # cur[j] = prev[j-1] + 1 if equal else max(prev[j], cur[j-1])
-        diag = prev[:-1] + 1
-        for j in range(1, len(prev)):
-            cur[j] = diag[j - 1] if eq[j - 1] else (prev[j] if prev[j] > cur[j - 1] else cur[j - 1])
-        prev = cur
-    return int(prev[-1])
+    """Length of the longest common subsequence, a bit per token of ``a``: a token of
+    ``b`` costs a few operations on one integer of len(a) bits."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full  # a zero bit ends one more common token
+    for y in b:
+        match = open_ & places.get(y, 0)
+        open_ = ((open_ + match) | (open_ - match)) & full
+    return len(a) - open_.bit_count()
 
 
 @F.pandas_udf(T.LongType())

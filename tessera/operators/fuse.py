@@ -18,15 +18,8 @@ def context_lists(ranked: DataFrame, group_col: str, rank_col: str, text_col: st
             .select(group_col, F.transform("_l", lambda x: x["t"]).alias(out)))
 
 
-def union_sources(course: DataFrame, review: DataFrame) -> DataFrame:
-    """Bag union of labelled course and review candidates (duplicates kept)."""
-    return course.unionByName(review, allowMissingColumns=True)
-
-
-def dedupe_best_rank(cands: DataFrame, key_cols, id_col: str, rank_col: str = "rank") -> DataFrame:
-    """One row per (key, id) keeping the best (lowest) rank."""
+def dedupe_best_rank(cands: DataFrame, key_cols, id_col: str, rank_cols: list[str]) -> DataFrame:
+    """One row per (key, id) with the lowest rank (ties by the further columns)."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    return (cands.groupBy(*keys, id_col)
-            .agg(F.min_by(F.struct(*[c for c in cands.columns if c not in keys + [id_col]]),
-                          F.col(rank_col)).alias("_b"))
-            .select(*keys, id_col, "_b.*"))
+    best = cands.groupBy(*keys, id_col).agg(F.min(F.struct(*rank_cols)).alias("_b"))
+    return best.select(*keys, id_col, "_b.*")

@@ -8,8 +8,6 @@ a projection (no join, no shuffle). Model-based scanners plug in as columns."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +29,6 @@ def result(is_valid: Column, risk: Column, comment: Column) -> Column:
                     comment.cast("string").alias("comment"))
 
 
-def word_pattern(needle: str) -> str:
-    """Whole-word match without look-behind (portable to RE2)."""
-    return f"(^|[^\\p{{L}}\\p{{N}}_]){re.escape(needle)}($|[^\\p{{L}}\\p{{N}}_])"
-
-
 def ban_substrings(text, needles=BANNED_SUBSTRINGS, mode: str = "substring") -> Column:
     """V1: case-insensitive; ``substring`` hits inside words, ``word`` does not."""
     t = F.lower(_c(text))
@@ -97,20 +90,28 @@ def always_valid() -> Column:
     return result(F.lit(True), F.lit(0.0), F.lit(""))
 
 
+def closed(text, scanners: list[tuple[str, Column]]) -> list[tuple[str, Column]]:
+    """Fail closed: a text that can't be scanned (NULL) fails every scanner."""
+    t = _c(text)
+    return [(n, F.when(t.isNull(), result(F.lit(False), F.lit(1.0), F.lit("no text"))).otherwise(r)) for n, r in scanners]
+
+
 def input_scanners(text, banned=BANNED_SUBSTRINGS) -> list[tuple[str, Column]]:
-    return [("Gibberish", gibberish(text)), ("BanSubstrings", ban_substrings(text, banned)),
-            ("PromptInjection", injection(text)), ("TokenLimit", token_limit(text))]
+    return closed(text, [("Gibberish", gibberish(text)), ("BanSubstrings", ban_substrings(text, banned)),
+                         ("PromptInjection", injection(text)), ("TokenLimit", token_limit(text))])
 
 
 def output_scanners(text, bias: Column | None = None) -> list[tuple[str, Column]]:
-    return [("Bias", bias if bias is not None else always_valid()),
-            ("NoRefusal", no_refusal(text)), ("Gibberish", gibberish(text))]
+    return closed(text, [("Bias", bias if bias is not None else always_valid()),
+                         ("NoRefusal", no_refusal(text)), ("Gibberish", gibberish(text))])
 
 
 def verdict(df: DataFrame, scanners: list[tuple[str, Column]], prefix: str = "guard") -> DataFrame:
     """A5/V5: all scanners run; valid = all valid; reason lists failing scanner
     names in scanner order; per-scanner results kept as an array of structs."""
-    arr = F.array(*[F.struct(F.lit(n).alias("scanner"), r.alias("r")) for n, r in scanners])
+    # a scanner without an answer counts as failed
+    arr = F.array(*[F.struct(F.lit(n).alias("scanner"),
+                             r.withField("is_valid", F.coalesce(r["is_valid"], F.lit(False))).alias("r")) for n, r in scanners])
     x = df.withColumn(f"{prefix}_results", arr)
     res = F.col(f"{prefix}_results")
     failed = F.transform(F.filter(res, lambda s: ~s["r"]["is_valid"]), lambda s: s["scanner"])

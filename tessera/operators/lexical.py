@@ -219,7 +219,9 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
             .withColumn("c", F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1)
                         / (F.col("tf") + denom_norm)))
     s = part.groupBy(qid, id_col).agg(F.round(F.sum("c"), digits).alias("score"))
-    return top_k(s.where(F.col("score") > 0), qid, [F.col("score").desc(), F.col(id_col)], k)
+    # every document with a query term is ranked: in small corpora the floor of the idf,
+    # and with it a true hit's score, can be negative
+    return top_k(s, qid, [F.col("score").desc(), F.col(id_col)], k)
 
 
 __all__ = ["TfidfIndex", "fit_tfidf", "query_vectors", "score", "search", "pad_zero_scores",

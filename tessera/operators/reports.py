@@ -55,15 +55,17 @@ def annotate(lines: DataFrame, term: str = REPORT_TERM_MARKER) -> DataFrame:
     """Per line: class, value, the open segment (latest Q-line) and the next non-empty line."""
     page = Window.partitionBy("doc", "page").orderBy("line_no")
     upto = page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = page.rowsBetween(1, Window.unboundedFollowing)
+    # the next non-empty line as a running value over the reverse order (a frame that
+    # ends at the page's last line would be read anew for every row)
+    back = Window.partitionBy("doc", "page").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
     x = lines.select("doc", "page", "line_no", "line", classify(F.col("line"), term).alias("cls"),
                      (F.instr("line", "Q: ") > 0).alias("hasq"))
     x = x.select("*", value_of(F.col("line"), F.col("cls")).alias("value"))
     seg = F.when(F.col("hasq"), F.struct(F.col("line_no").alias("seg_line"), F.col("cls").alias("seg_cls"),
                                           F.col("value").alias("question")))
     return x.select("*", F.last(seg, ignorenulls=True).over(upto).alias("seg"),
-                    F.first(F.when(F.col("line") != "", F.col("line")), ignorenulls=True)
-                    .over(after).alias("next_line"))
+                    F.last(F.when(F.col("line") != "", F.col("line")), ignorenulls=True)
+                    .over(back).alias("next_line"))
 
 
 def _in_open_segment(a: DataFrame) -> Column:
@@ -128,11 +130,13 @@ def read_report_dir(spark, path: str, glob: str = "*.txt") -> DataFrame:
 def conversation_lines(conv: DataFrame) -> DataFrame:
     """Report lines built from a conversation table: one page per conversation;
     user turn -> 'Q: ' + text; assistant turn -> the turn number, a blank line,
-    the text; system turn -> 'Instructor: ' + text. line_no = turn * 1000 + position."""
+    the text; system turn -> 'Instructor: ' + text. Lines are numbered by (turn, position)
+    within the page, which is the partitioning that ``annotate`` needs anyway."""
     block = (F.when(F.col("role") == "user", F.concat(F.lit("Q: "), F.col("text")))
              .when(F.col("role") == "assistant",
                    F.concat(F.col("turn").cast("string"), F.lit("\n\n"), F.col("text")))
              .otherwise(F.concat(F.lit("Instructor: "), F.col("text"))))
     x = conv.select(F.col("conv_id").cast("string").alias("doc"), F.lit(0).alias("page"), "turn",
                     F.posexplode(F.split(block, "\n")).alias("pos", "line"))
-    return x.select("doc", "page", (F.col("turn") * 1000 + F.col("pos")).alias("line_no"), "line")
+    order = Window.partitionBy("doc", "page").orderBy("turn", "pos")
+    return x.select("doc", "page", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")

@@ -1,8 +1,8 @@
 """Pairwise relevance scoring and reranking.
 
 The default scorer is lexical and JVM-side: coverage of the query's distinct
-words in the first ``max_tokens`` document tokens, plus half the coverage of
-its bigrams. A model can replace it: any ``(query_col, doc_col) -> Column``,
+words in the whole document, plus half the coverage of its bigrams (a model with
+an input limit cuts its own input: ``max_tokens``). A model can replace it: any ``(query_col, doc_col) -> Column``,
 including a ``pandas_udf`` (Arrow batches), or a precomputed score table.
 
 Plan shape: candidates are already top-k per query, so the pair table is
@@ -17,17 +17,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import RERANK_MAX_TOKENS
 from tessera.functions.text import bigrams, tokens
 from tessera.operators.topk import top_k
 
 PairScorer = Callable[[Column, Column], Column]
 
 
-def lexical_overlap(query: Column, doc: Column, max_tokens: int = RERANK_MAX_TOKENS) -> Column:
+def lexical_overlap(query: Column, doc: Column, max_tokens: int | None = None) -> Column:
     """Built-in pair score in [0, 1.5], rounded to 6 digits."""
     qt = F.array_distinct(tokens(query))
-    dt = F.slice(tokens(doc), 1, max_tokens)
+    dt = tokens(doc) if max_tokens is None else F.slice(tokens(doc), 1, max_tokens)
     qb = F.array_distinct(bigrams(tokens(query)))
     db = bigrams(dt)
     uni = F.when(F.size(qt) > 0, F.size(F.array_intersect(qt, dt)) / F.size(qt)).otherwise(0.0)
@@ -37,13 +36,13 @@ def lexical_overlap(query: Column, doc: Column, max_tokens: int = RERANK_MAX_TOK
 
 def add_pair_score(pairs: DataFrame, query_col: str, doc_col: str, out: str = "rerank_score",
                    scorer: PairScorer | None = None,
-                   max_tokens: int = RERANK_MAX_TOKENS) -> DataFrame:
+                   max_tokens: int | None = None) -> DataFrame:
     """Score every (query, doc) pair. The token arrays are projected first so the
     tokenizer runs once per text (see ``text.with_grams``)."""
     if scorer is not None:
         return pairs.withColumn(out, scorer(F.col(query_col), F.col(doc_col)))
-    staged = pairs.select("*", F.array_distinct(tokens(query_col)).alias("_qt"),
-                          F.slice(tokens(doc_col), 1, max_tokens).alias("_dt"),
+    dt = tokens(doc_col) if max_tokens is None else F.slice(tokens(doc_col), 1, max_tokens)
+    staged = pairs.select("*", F.array_distinct(tokens(query_col)).alias("_qt"), dt.alias("_dt"),
                           tokens(query_col).alias("_qall"))
     staged = staged.select("*", F.array_distinct(bigrams("_qall")).alias("_qb"),
                            bigrams("_dt").alias("_db"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import COURSE_K, COURSE_LABEL, FINAL_K, REVIEW_K, REVIEW_LABEL
 from tessera.operators import dense, filters, lexical, rerank
-from tessera.operators.fuse import context_lists
+from tessera.operators.fuse import context_lists, dedupe_best_rank
 from tessera.operators.topk import top_k
 from tessera.session import DEFAULT_BROADCAST_ROWS, fits
 
@@ -98,9 +98,7 @@ def hybrid(course_docs, queries, lexical_k: int = COURSE_K, dense_k: int = COURS
     den = review_retrieve(course_docs, queries, dense_k).select(
         "query_id", "doc_id", "rank", F.lit(1).alias("src_order"))
     both = lex.unionByName(den)
-    best = both.groupBy("query_id", "doc_id").agg(
-        F.min(F.struct("rank", "src_order")).alias("b")).select(
-        "query_id", "doc_id", F.col("b.rank").alias("rank"), F.col("b.src_order").alias("src_order"))
+    best = dedupe_best_rank(both, "query_id", "doc_id", ["rank", "src_order"])
     cands = _bounded(queries, lexical_k + dense_k)(best).join(course_docs, "doc_id")
     return rerank.rerank(_with_query(cands, queries), final_k, before_rank=[], scorer=scorer)
 

@@ -92,19 +92,17 @@ def batch_number(spark, sf_dir):
     return D.batch_numbers(c, ["k"], 5).select("crn", "batch")
 
 
-@register("question_roundtrip", sql=f"""
-SELECT question FROM {VARIANTS_SQL} ORDER BY md5(question || '{SAMPLE_SEED}') LIMIT {N_SAMPLE}""")
+@register("question_roundtrip", sql=f"SELECT question FROM {VARIANTS_SQL}")
 def question_roundtrip(spark, sf_dir):
-    """K4 + S7: the sampled question list written as Parquet and read back."""
+    """K4 + S7: the whole question list written as Parquet and read back."""
     path = work_path(spark, "questions")
-    D.seeded_sample(_variants(spark, sf_dir).select("question"), "question", N_SAMPLE) \
-        .write.mode("overwrite").parquet(path)
+    _variants(spark, sf_dir).select("question").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 # The SFT set samples distinct question texts (the course list names one course
 # twice, so some variants repeat); each question is then one query key.
-SAMPLED_Q_SQL = f"""(SELECT ('0x' || substr(md5(question), 1, 15))::BIGINT AS query_id, question AS query FROM (
+SAMPLED_Q_SQL = f"""(SELECT md5(question) AS query_id, question AS query FROM (
   SELECT question FROM (SELECT DISTINCT question FROM {VARIANTS_SQL})
   ORDER BY md5(question || '{SAMPLE_SEED}') LIMIT {N_SAMPLE}))"""
 
@@ -130,7 +128,7 @@ def sft_triples(spark, sf_dir):
     from tessera.plans.q_filters import course_docs
     from tessera.operators.fuse import context_lists
     qs = D.seeded_sample(_variants(spark, sf_dir).select("question").distinct(), "question", N_SAMPLE)
-    qs = qs.select(F.conv(F.substring(F.md5("question"), 1, 15), 16, 10).cast("long").alias("query_id"),
+    qs = qs.select(F.md5("question").alias("query_id"),
                    F.col("question").alias("query"))
     res = pipelines.integrated(course_docs(spark, sf_dir), review_docs(spark, sf_dir), qs)
     ctx = context_lists(res, "query_id", "rank", "text")

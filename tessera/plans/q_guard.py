@@ -45,8 +45,10 @@ def ntok_sql(t: str) -> str:
 
 
 def input_flags_sql(t: str) -> str:
-    return (f"{gib_sql(t)} < {GIBBERISH_THRESHOLD} AS g_ok, len({ban_hits_sql(t)}) = 0 AS b_ok, "
-            f"{inj_sql(t)} < {INJECTION_THRESHOLD} AS p_ok, {ntok_sql(t)} <= {TOKEN_LIMIT} AS t_ok")
+    def ok(flag, name):  # a text that can't be scanned fails
+        return f"({t} IS NOT NULL AND coalesce({flag}, false)) AS {name}"
+    return ", ".join([ok(f"{gib_sql(t)} < {GIBBERISH_THRESHOLD}", "g_ok"), ok(f"len({ban_hits_sql(t)}) = 0", "b_ok"),
+                      ok(f"{inj_sql(t)} < {INJECTION_THRESHOLD}", "p_ok"), ok(f"{ntok_sql(t)} <= {TOKEN_LIMIT}", "t_ok")])
 
 
 INPUT_REASON_SQL = ("CASE WHEN g_ok AND b_ok AND p_ok AND t_ok THEN '' ELSE 'Failed scanners: ' || "
@@ -59,6 +61,15 @@ def _user_turns(spark, sf_dir):
     return load(spark, sf_dir, "conversations").where(F.col("role") == "user")
 
 
+# Texts as a gate may meet them: some rows come without a text or with an empty one.
+GATE_TEXT_SQL = "(CASE {id} % 23 WHEN 5 THEN NULL WHEN 6 THEN '' ELSE {text} END)"
+
+
+def gate_text(id_col: str, text_col: str = "text"):
+    k = F.col(id_col) % 23
+    return F.when(k == 5, F.lit(None).cast("string")).when(k == 6, F.lit("")).otherwise(F.col(text_col))
+
+
 @register("banned_scan", sql=f"""
 SELECT conv_id, turn, len({ban_hits_sql('text')}) = 0 AS is_valid,
   array_to_string({ban_hits_sql('text')}, ', ') AS hits FROM conversations WHERE role = 'user'""")
@@ -68,12 +79,16 @@ def banned_scan(spark, sf_dir):
     return c.select("conv_id", "turn", F.col("r.is_valid").alias("is_valid"), F.col("r.comment").alias("hits"))
 
 
+# A needle list of this corpus: words that its license lines and secrets hold.
+CORPUS_NEEDLES = ["license", "password", "token = ", "akia"]
+CORPUS_HITS_SQL = "list_filter([" + ", ".join(sq(n) for n in CORPUS_NEEDLES) + "], lambda n: instr(lower(text), n) > 0)"
+
+
 @register("banned_scan_docs", sql=f"""
-SELECT doc_id, array_to_string({ban_hits_sql('text')}, ', ') AS hits FROM documents
-WHERE len({ban_hits_sql('text')}) > 0""")
+SELECT doc_id, array_to_string({CORPUS_HITS_SQL}, ', ') AS hits FROM documents WHERE len({CORPUS_HITS_SQL}) > 0""")
 def banned_scan_docs(spark, sf_dir):
-    """V1 over the whole document corpus: documents with at least one banned needle."""
-    d = load(spark, sf_dir, "documents").select("doc_id", G.ban_substrings("text").alias("r"))
+    """V1 over the whole document corpus with a caller's needle list: documents with at least one needle."""
+    d = load(spark, sf_dir, "documents").select("doc_id", G.ban_substrings("text", CORPUS_NEEDLES).alias("r"))
     return d.where(~F.col("r.is_valid")).select("doc_id", F.col("r.comment").alias("hits"))
 
 
@@ -105,11 +120,12 @@ def injection_scan(spark, sf_dir):
 
 
 @register("input_verdict", sql=f"""
-WITH f AS (SELECT conv_id, turn, {input_flags_sql('text')} FROM conversations WHERE role = 'user')
+WITH f AS (SELECT conv_id, turn, {input_flags_sql('t')} FROM (SELECT conv_id, turn,
+  {GATE_TEXT_SQL.format(id='conv_id', text='text')} AS t FROM conversations WHERE role = 'user'))
 SELECT conv_id, turn, g_ok AND b_ok AND p_ok AND t_ok AS is_valid, {INPUT_REASON_SQL} AS reason FROM f""")
 def input_verdict(spark, sf_dir):
     """V5: all four input scanners, verdict and failing scanner list."""
-    c = _user_turns(spark, sf_dir)
+    c = _user_turns(spark, sf_dir).withColumn("text", gate_text("conv_id"))
     v = G.verdict(c, G.input_scanners(F.col("text")))
     return v.select("conv_id", "turn", F.col("guard_valid").alias("is_valid"), F.col("guard_reason").alias("reason"))
 
@@ -133,7 +149,8 @@ RELEVANCE_SQL = "(CASE WHEN quality = 1 THEN 'relevant' WHEN quality = 0 THEN 'N
 
 @register("two_level_gate", sql=f"""
 WITH f AS (SELECT d.doc_id, {input_flags_sql('d.text')}, {RELEVANCE_SQL} AS response
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+  FROM (SELECT doc_id, {GATE_TEXT_SQL.format(id='doc_id', text='text')} AS text FROM documents) d
+  LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT doc_id,
   CASE WHEN NOT (g_ok AND b_ok AND p_ok AND t_ok) THEN {sq(GATE_POLICY)}
        WHEN coalesce(upper(response) = 'RELEVANT', false) THEN {sq(GATE_VALID)} ELSE {sq(GATE_NOT_RELEVANT)} END AS gate,
@@ -142,7 +159,7 @@ SELECT doc_id,
 FROM f""")
 def two_level_gate(spark, sf_dir):
     """V8 + F7: documents as queries; relevance responses derived from labels."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = load(spark, sf_dir, "documents").select("doc_id", gate_text("doc_id").alias("text"))
     lab = load(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, "relevant").when(F.col("quality") == 0, "NOT RELEVANT")
         .alias("response"))

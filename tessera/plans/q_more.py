@@ -14,7 +14,7 @@ from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sq
 from tessera.session import work_path
 from tessera.sources import landed
-from tessera.sources.tables import load
+from tessera.sources.tables import PART_SUPPLIERS_SQL, load, part_suppliers
 
 
 @register("course_assembly", sql=f"""
@@ -27,11 +27,11 @@ SELECT CAST(p_partkey AS VARCHAR) AS crn,
   concat_ws(', ', CASE WHEN p_size % 2 = 0 THEN 'Monday' END, CASE WHEN p_size % 3 = 0 THEN 'Tuesday' END,
     CASE WHEN p_size % 2 = 0 THEN 'Wednesday' END, CASE WHEN p_size % 3 = 0 THEN 'Thursday' END,
     CASE WHEN p_size % 5 = 0 THEN 'Friday' END) AS days, '[]' AS prerequisites
-FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10""")
+FROM part LEFT JOIN {PART_SUPPLIERS_SQL} ps ON l_partkey = p_partkey""")
 def course_assembly(spark, sf_dir):
     """S3 + S4 + J1 + P11: landed listing pages (JSON files) exploded to sections,
     left-joined to the landed meeting details, assembled into course rows."""
-    part, sup = load(spark, sf_dir, "part"), load(spark, sf_dir, "supplier")
+    part, sup = load(spark, sf_dir, "part"), part_suppliers(spark, sf_dir)
     path = work_path(spark, "listings")
     landed.write_jsonl(landed.listing_json_from_part(part), path)
     sections = landed.read_sections(spark, path, subject="CS")

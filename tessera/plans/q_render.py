@@ -62,7 +62,7 @@ def prompt_table(spark, sf_dir):
     hits = lexical.search(idx, q, PROMPT_K)
     ctx = context_lists(hits.join(docs.select("doc_id", "text"), "doc_id"), "query_id", "rank", "text")
     out = q.join(ctx, "query_id", "left")
-    return out.select("query_id", F.coalesce(F.size("docs"), F.lit(0)).cast("int").alias("n_docs"),
+    return out.select("query_id", F.size(F.coalesce("docs", F.array().cast("array<string>"))).cast("int").alias("n_docs"),
                       render.prompt("query", "docs").alias("prompt"))
 
 
@@ -70,10 +70,20 @@ def prompt_table(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     """Write the course table as CSV (K1) and read it back with the fixed schema."""
     path = work_path(spark, "courses-csv")
-    n = files.write_csv(courses(spark, sf_dir), path, files.COURSE_HEADERS)
-    back = files.read_courses(spark, path)
-    assert n >= 0
-    return back
+    files.write_csv(courses(spark, sf_dir), path, files.COURSE_HEADERS)
+    return files.read_courses(spark, path)
+
+
+@register("csv_counts", sql=f"""
+SELECT 'courses' AS sink, count(*) AS n FROM {COURSES_SQL} UNION ALL SELECT 'reviews', count(*) FROM {REVIEWS_SQL}
+UNION ALL SELECT 'none', 0""")
+def csv_counts(spark, sf_dir):
+    """A7 + F8: record counts observed by the CSV writes themselves; an empty frame writes nothing."""
+    c, r = courses(spark, sf_dir), reviews(spark, sf_dir)
+    counts = [("courses", files.write_csv(c, work_path(spark, "count-courses"), files.COURSE_HEADERS)),
+              ("reviews", files.write_csv(r, work_path(spark, "count-reviews"), files.REVIEW_HEADERS)),
+              ("none", files.write_csv(c.where(F.lit(False)), work_path(spark, "count-none"), files.COURSE_HEADERS))]
+    return spark.createDataFrame(counts, "sink string, n long")
 
 
 @register("reviews_csv_roundtrip", sql=f"SELECT * FROM {REVIEWS_SQL}")

@@ -9,7 +9,7 @@ from tessera.operators import reports
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sq
 from tessera.sources import landed
-from tessera.sources.tables import load
+from tessera.sources.tables import PART_SUPPLIERS_SQL, load, part_suppliers
 
 TERM = "(Spring 2024)"
 
@@ -19,7 +19,7 @@ LINES_SQL = """(WITH blocks AS (
          WHEN role = 'assistant' THEN CAST(turn AS VARCHAR) || chr(10) || chr(10) || text
          ELSE 'Instructor: ' || text END AS block FROM conversations),
 parts AS (SELECT doc, page, turn, string_split(block, chr(10)) AS ls FROM blocks)
-SELECT doc, page, turn * 1000 + (i - 1) AS line_no, ls[i] AS line
+SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY turn, i) - 1 AS line_no, ls[i] AS line
 FROM parts, unnest(range(1, len(ls) + 1)) AS t(i))"""
 
 
@@ -123,17 +123,17 @@ def html_links(spark, sf_dir):
                     F.trim(H.unescape(H.strip_tags("item"))).alias("text"))
 
 
-@register("section_days", sql="""
+@register("section_days", sql=f"""
 SELECT CAST(p_partkey AS VARCHAR) AS crn,
   CASE WHEN p_partkey % 7 = 0 THEN '' ELSE coalesce(s_name, '') END AS faculty_name,
   CAST((p_size % 24) * 100 AS VARCHAR) AS begin_time,
   concat_ws(', ', CASE WHEN p_size % 2 = 0 THEN 'Monday' END, CASE WHEN p_size % 3 = 0 THEN 'Tuesday' END,
     CASE WHEN p_size % 2 = 0 THEN 'Wednesday' END, CASE WHEN p_size % 3 = 0 THEN 'Thursday' END,
     CASE WHEN p_size % 5 = 0 THEN 'Friday' END) AS days
-FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10""")
+FROM part LEFT JOIN {PART_SUPPLIERS_SQL} ps ON l_partkey = p_partkey""")
 def section_days(spark, sf_dir):
     """S3/S4 + P4 + J1: landed meeting JSON (built from part/supplier) parsed with the
     fixed schema; faculty name, begin time and the weekday list per section."""
-    raw = landed.meeting_json_from_part(load(spark, sf_dir, "part"), load(spark, sf_dir, "supplier"))
+    raw = landed.meeting_json_from_part(load(spark, sf_dir, "part"), part_suppliers(spark, sf_dir))
     m = landed.parse_meetings(raw)
     return m.select("crn", "faculty_name", "begin_time", "days")

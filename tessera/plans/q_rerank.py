@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.config import COURSE_K, COURSE_LABEL, FINAL_K, RERANK_MAX_TOKENS, REVIEW_K, REVIEW_LABEL
+from tessera.config import COURSE_K, COURSE_LABEL, FINAL_K, REVIEW_K, REVIEW_LABEL
 from tessera.operators import lexical, rerank
 from tessera.plans import pipelines
 from tessera.plans.q_dense import REVIEW_DOCS_SQL, hash_features_sql, review_docs
@@ -46,7 +46,7 @@ def review_retrieve_sql(name: str, k: int, docs_sql: str, q_sql: str, p: str) ->
 def rerank_sql(name: str, src: str, extra_order: str = "") -> str:
     """CTEs ending in {name}(... , rerank_score, rank2) from src(query_id, doc_id, query, text, retrieval_rank)."""
     qa, dt = tokens_sql("query"), tokens_sql("text")
-    return f"""{name}_t AS (SELECT *, list_distinct({qa}) AS _qt, list_slice({dt}, 1, {RERANK_MAX_TOKENS}) AS _dt,
+    return f"""{name}_t AS (SELECT *, list_distinct({qa}) AS _qt, {dt} AS _dt,
   {qa} AS _qa FROM {src}),
 {name}_u AS (SELECT *, list_distinct({bigrams_sql('_qa')}) AS _qb, {bigrams_sql('_dt')} AS _db FROM {name}_t),
 {name}_s AS (SELECT * EXCLUDE (_qt, _dt, _qa, _qb, _db), round(
@@ -128,20 +128,7 @@ fused AS (
 
 
 @register("integrated_topk", sql=f"""
-WITH {course_retrieve_sql(COURSE_K)},
-{review_retrieve_sql('rv', REVIEW_K, REVIEW_DOCS_SQL, CQ, 'v')},
-c_src AS (SELECT cr.query_id, cr.doc_id, cr.rank AS retrieval_rank, q.query, cr.text
-  FROM cr JOIN {CQ} q ON q.query_id = cr.query_id),
-{rerank_sql('crr', 'c_src')},
-r_src AS (SELECT rv.query_id, rv.doc_id, rv.rank AS retrieval_rank, q.query, rv.text
-  FROM rv JOIN {CQ} q ON q.query_id = rv.query_id),
-{rerank_sql('rrr', 'r_src')},
-fused AS (
-  SELECT query_id, doc_id, 'course' AS source, 0 AS src_order, rank2 AS retrieval_rank, query,
-    {sq(COURSE_LABEL)} || text AS text FROM crr WHERE rank2 <= {FINAL_K}
-  UNION ALL
-  SELECT query_id, doc_id, 'review', 1, rank2, query, {sq(REVIEW_LABEL)} || text FROM rrr WHERE rank2 <= {FINAL_K}),
-{rerank_sql('fr', 'fused', 'src_order,')}
+WITH {integrated_sql(CQ)}
 SELECT query_id, source, doc_id, rerank_score, CAST(rank2 AS INTEGER) AS rank FROM fr WHERE rank2 <= {FINAL_K}""")
 def integrated_topk(spark, sf_dir):
     """Course (15 -> 10) and review (15 -> 10) candidates, labelled, fused, reranked to 10."""
@@ -168,20 +155,7 @@ def hybrid_topk(spark, sf_dir):
 
 
 @register("rag_prompts", sql=f"""
-WITH {course_retrieve_sql(COURSE_K)},
-{review_retrieve_sql('rv', REVIEW_K, REVIEW_DOCS_SQL, CQ, 'v')},
-c_src AS (SELECT cr.query_id, cr.doc_id, cr.rank AS retrieval_rank, q.query, cr.text
-  FROM cr JOIN {CQ} q ON q.query_id = cr.query_id),
-{rerank_sql('crr', 'c_src')},
-r_src AS (SELECT rv.query_id, rv.doc_id, rv.rank AS retrieval_rank, q.query, rv.text
-  FROM rv JOIN {CQ} q ON q.query_id = rv.query_id),
-{rerank_sql('rrr', 'r_src')},
-fused AS (
-  SELECT query_id, doc_id, 0 AS src_order, rank2 AS retrieval_rank, query,
-    {sq(COURSE_LABEL)} || text AS text FROM crr WHERE rank2 <= {FINAL_K}
-  UNION ALL
-  SELECT query_id, doc_id, 1, rank2, query, {sq(REVIEW_LABEL)} || text FROM rrr WHERE rank2 <= {FINAL_K}),
-{rerank_sql('fr', 'fused', 'src_order,')},
+WITH {integrated_sql(CQ)},
 ctx AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank2) AS context, count(*) AS n
   FROM fr WHERE rank2 <= {FINAL_K} GROUP BY query_id)
 SELECT q.query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_docs,
@@ -193,5 +167,5 @@ def rag_prompts(spark, sf_dir):
     q = course_queries(spark, sf_dir)
     res = pipelines.integrated(course_docs(spark, sf_dir), review_docs(spark, sf_dir), q)
     p = pipelines.prompts(res, q)
-    return p.select("query_id", F.coalesce(F.size("docs"), F.lit(0)).cast("int").alias("n_docs"),
+    return p.select("query_id", F.size(F.coalesce("docs", F.array().cast("array<string>"))).cast("int").alias("n_docs"),
                     "prompt")

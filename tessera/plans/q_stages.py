@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.config import (CONTEXT_MAX_ITERATIONS, MAX_ATTEMPTS, MSG_CONTEXT_MAX, MSG_CONTEXT_PARSE,
+from tessera.config import (CONTEXT_MAX_ITERATIONS, MAX_ATTEMPTS, MSG_CONTEXT_MAX, MSG_CONTEXT_PARSE, TOTAL_K,
                             MSG_INTENT_PARSE, MSG_RESPONSE_PARSE,
                             MSG_VALIDATION_PARSE)
 from tessera.operators import lexical
@@ -251,8 +251,9 @@ def dynamic_k_topk(spark, sf_dir):
         .alias("response")).withColumn("stage", F.lit("strategy")).withColumn("attempt", F.lit(0))
     ks = G.strategy(q.select("query_id"), strat, 0).select("query_id", "course_k")
     s = lexical.score(lexical.fit_tfidf(load(spark, sf_dir, "documents")), q).where(F.col("score") > 0)
-    s = s.join(F.broadcast(ks), "query_id")
-    return top_k(s, "query_id", [F.col("score").desc(), F.col("doc_id")], F.col("course_k")).select(
+    # both sources together never ask for more than TOTAL_K: a partial top-k by that bound first
+    s = top_k(s, "query_id", [F.col("score").desc(), F.col("doc_id")], TOTAL_K).join(ks, "query_id")
+    return s.where(F.col("rank") <= F.col("course_k")).select(
         "query_id", "doc_id", "score", "rank", "course_k")
 
 

@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.config import TOKEN_PATTERN
 from tessera.operators import dense, lexical, rerank
 from tessera.plans.q_lexical import TFIDF_TOPK_SQL
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import tfidf_ctes, tokens_sql
+from tessera.session import work_path
 from tessera.sources.tables import benchmark_queries, load
 from tessera.streaming import queries as ST
 
@@ -20,14 +20,20 @@ def stream_topk(spark, sf_dir):
     """ST1: benchmark items arrive as a file stream; each micro-batch is answered
     against the static document index; equals the batch top-5."""
     idx = lexical.fit_tfidf(load(spark, sf_dir, "documents"), persist=True)
-    sink = ST.stream_topk(spark, sf_dir, "benchmark.parquet", idx, 5)
+    sink = ST.stream_topk(spark, f"{sf_dir}/benchmark.parquet", idx, 5)
     return spark.read.parquet(sink).select("query_id", "doc_id", "score", "rank")
 
 
 @register("stream_dedupe", sql="SELECT event_id, event_type, value FROM events")
 def stream_dedupe(spark, sf_dir):
-    """ST2: events ingested as a stream with a 1-hour watermark and dedupe by event_id."""
-    sink = ST.stream_dedupe(spark, sf_dir, "events.parquet", "event_id", "ts")
+    """ST2: events landing in several files, each covering all times (so most rows are late),
+    a seventh of them twice: every event arrives once in the sink."""
+    e = load(spark, sf_dir, "events")
+    landed = work_path(spark, "events-landed")
+    again = e.where(F.col("event_id") % 7 == 0)
+    rows = e.withColumn("part", F.col("event_id") % 3).unionByName(again.withColumn("part", F.lit(3)))
+    rows.repartition(4, "part").drop("part").write.parquet(landed)
+    sink = ST.stream_dedupe(spark, landed, "event_id", "ts")
     return spark.read.parquet(sink).select("event_id", "event_type", "value")
 
 
@@ -40,18 +46,19 @@ def ann_lsh_topk(spark, sf_dir):
     return dense.lsh_knn(e, q, 5, id_col="vec_id").select("query_id", "vec_id", "distance", "rank")
 
 
+# TOKEN_PATTERN in Python's syntax
+PY_TOKEN = r"===\s*\w+\s*===|\w+"
+
+
 @F.pandas_udf(T.DoubleType())
 def unigram_coverage(query: pd.Series, doc: pd.Series) -> pd.Series:
     """Example plug-in pair scorer (X1) as an Arrow-batched pandas UDF: share of the
-    query's distinct words found in the first 512 document tokens."""
-    import regex
-    pat = regex.compile(TOKEN_PATTERN)
-    out = []
-    for q, d in zip(query, doc):
-        qt = set(pat.findall((q or "").lower()))
-        dt = set(pat.findall((d or "").lower())[:512])
-        out.append(round(len(qt & dt) / len(qt), 6) if qt else 0.0)
-    return pd.Series(out, dtype="float64")
+    query's distinct words found in the document. A query's rows share its word set."""
+    words = {q: frozenset(w) for q, w in query.drop_duplicates().fillna("").str.lower().str.findall(PY_TOKEN)
+             .set_axis(query.drop_duplicates().fillna("")).items()}
+    found = doc.fillna("").str.lower().str.findall(PY_TOKEN)
+    hits = [len(words[q].intersection(d)) / len(words[q]) if words[q] else 0.0 for q, d in zip(query.fillna(""), found)]
+    return pd.Series(hits, dtype="float64").round(6)
 
 
 @register("plugin_scorer", sql=f"""
@@ -59,7 +66,7 @@ WITH {tfidf_ctes('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')}
 ranked AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
   FROM scores WHERE score > 0),
 src AS (SELECT r.qid AS query_id, r.doc_id, r.rank AS retrieval_rank,
-  list_distinct({tokens_sql('b.text')}) AS qt, list_slice({tokens_sql('d.text')}, 1, 512) AS dt
+  list_distinct({tokens_sql('b.text')}) AS qt, {tokens_sql('d.text')} AS dt
   FROM ranked r JOIN benchmark b ON b.item_id = r.qid JOIN documents d ON d.doc_id = r.doc_id WHERE r.rank <= 10),
 s AS (SELECT *, round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, dt)) / len(qt) ELSE 0 END, 6) AS rerank_score FROM src),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, retrieval_rank, doc_id) AS rank2 FROM s)

@@ -71,7 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: only the case in local tests; a cluster names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # a single-process session (tests): its own folder will do
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -94,35 +96,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_FITS_CACHE: dict = {}
-
-
-def _plan_key(df: DataFrame):
-    try:
-        return (id(df.sparkSession), df.semanticHash())
-    except Exception:  # noqa: BLE001 - no stable key: do not cache
-        return None
-
-
 def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """Bounded size check: reads at most ``max_rows + 1`` rows. The answer is
-    remembered per (plan, bound), so a pipeline asking again about the same
-    side does not re-plan and re-run the check."""
-    key = _plan_key(df)
-    if key is not None and (key, max_rows) in _FITS_CACHE:
-        return _FITS_CACHE[(key, max_rows)]
-    ok = df.limit(max_rows + 1).count() <= max_rows
-    if key is not None:
-        if len(_FITS_CACHE) > 512:
-            _FITS_CACHE.clear()
-        _FITS_CACHE[(key, max_rows)] = ok
-    return ok
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise leave the
-    join to a shuffle (AQE may still convert it at run time)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+    """Bounded size check: reads at most ``max_rows + 1`` rows, each time it is asked
+    (an answer kept by plan would outlive the files it was about)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 _SHUFFLE_RE = re.compile(r"Exchange (hashpartitioning|RoundRobinPartitioning|SinglePartition|"

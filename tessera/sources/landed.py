@@ -74,12 +74,11 @@ def assemble_courses(sections: DataFrame, meetings: DataFrame, descriptions: Dat
         F.coalesce("prerequisites", F.lit("[]")).alias("prerequisites"))
 
 
-def meeting_json_from_part(part: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Landed meeting responses derived from the part/supplier tables (test input)."""
-    sup = supplier.select("s_suppkey", "s_name")
-    j = part.join(sup, sup.s_suppkey == part.p_partkey % 10, "left")
+def meeting_json_from_part(part: DataFrame, part_suppliers: DataFrame) -> DataFrame:
+    """Landed meeting responses derived from the part, lineitem and supplier tables (test input)."""
+    j = part.join(part_suppliers, part_suppliers.l_partkey == part.p_partkey, "left")
     size = F.col("p_size")
-    fac = F.when(F.col("p_partkey") % 7 == 0, F.array().cast("array<struct<displayName:string>>")) \
+    fac = F.when((F.col("p_partkey") % 7 == 0) | F.col("s_name").isNull(), F.array().cast("array<struct<displayName:string>>")) \
         .otherwise(F.array(F.struct(F.col("s_name").alias("displayName"))))
     mt = F.struct(((size % 24) * 100).cast("string").alias("beginTime"),
                   (((size + 1) % 24) * 100).cast("string").alias("endTime"),

@@ -6,8 +6,6 @@ the table and Catalyst prunes columns and pushes filters into the scan."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +14,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            spark.read.parquet(p).createOrReplaceTempView(t)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +23,24 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def part_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_partkey, s_name): the supplier with the lowest key that ships each part
+    (partial minima per part, then an equi-join; faculty names grow with the tables)."""
+    ps = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    sup = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return ps.join(sup, ps.l_suppkey == sup.s_suppkey).select("l_partkey", "s_name")
+
+
+PART_SUPPLIERS_SQL = """(select l_partkey, s_name from (select l_partkey, min(l_suppkey) as l_suppkey
+ from lineitem group by l_partkey) ps join supplier on s_suppkey = l_suppkey)"""
+
+
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Course rows (11 string columns) derived from ``part`` and ``supplier``."""
+    """Course rows (11 string columns) derived from ``part``, ``lineitem`` and ``supplier``."""
     part = load(spark, sf_dir, "part")
-    sup = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    sup = part_suppliers(spark, sf_dir)
     k = F.col("p_partkey")
-    return part.join(sup, sup.s_suppkey == k % 10, "left").select(
+    return part.join(sup, sup.l_partkey == k, "left").select(
         k.cast("string").alias("crn"),
         F.when(k % 4 == 0, "Online").when(k % 4 == 1, "No campus, no room needed")
         .when(k % 4 == 2, "Boston").otherwise("Oakland, CA").alias("campus_description"),
@@ -66,7 +69,7 @@ COURSES_SQL = """(select cast(p_partkey as varchar) as crn,
  case when p_partkey % 5 = 0 then null else cast(((p_size + 1) % 24) * 100 + (p_partkey % 4) * 15 as varchar) end as end_time,
  case when p_partkey % 6 = 0 then null else 'Monday, Wednesday' end as days,
  case when p_partkey % 3 = 0 then '[]' else replace('[{~and_or~: ~~, ~subject~: ~CS~, ~course_number~: ~5010~}]', '~', chr(39)) end as prerequisites
-from part left join supplier on s_suppkey = p_partkey % 10)"""
+from part left join """ + PART_SUPPLIERS_SQL + """ ps on l_partkey = p_partkey)"""
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

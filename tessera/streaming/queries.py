@@ -3,69 +3,97 @@
 ST1: a stream of queries is answered micro-batch by micro-batch against a
 static TF-IDF index (fitted once, written to the shared folder); ranking runs
 inside ``foreachBatch`` because row_number is not allowed on a stream.
-ST2: an incremental ingest of landed rows with an event-time watermark and
-deduplication within the watermark; each micro-batch is appended to a table.
+ST2: an incremental ingest of landed rows. A row is dropped if one with its key
+and an event time within ``delay`` of its own came before (in the batch or in the
+sink); rows that arrive late are kept like any other, because the comparison is
+with the sink's own rows near that time and not with state that ages out.
 
-Both write with the query's checkpoint under ``spark.checkpoint.dir`` so a
-restarted query resumes where it stopped (exactly-once file sink semantics via
-the batch id: a re-run batch overwrites its own partition)."""
+Sources are tables (a file or a folder of part files). Both write batch folders
+that a replayed batch overwrites, with the query's checkpoint beside them: the
+same ``run`` name continues where it stopped."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators import lexical
-from tessera.session import ensure_checkpoint_dir, work_path
+from tessera.session import work_path
 
 
 def _batch_writer(path: str, fn):
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = fn(batch).withColumn("batch_id", F.lit(batch_id))
         # Idempotent per batch: a replayed batch rewrites only its own folder.
-        out.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        fn(batch, path, batch_id).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
-def _source(spark: SparkSession, directory: str, glob: str, max_files: int):
-    """File-source stream over the files of a folder that match ``glob``."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(directory).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", max_files).parquet(directory))
+def _source(spark: SparkSession, table: str, max_files: int) -> DataFrame:
+    """File-source stream over the files of a table (a folder of part files, or one file)."""
+    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", max_files)
+    path, fs = _hadoop(spark, table)
+    if fs.getFileStatus(path).isFile():  # a file source watches a folder
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return reader.parquet(table)
+
 
+def _hadoop(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def stream_topk(spark: SparkSession, query_dir: str, glob: str, index: lexical.TfidfIndex, k: int,
-                qid: str = "item_id", qtext: str = "text", max_files: int = 1) -> str:
-    """ST1: run until the query source is drained (availableNow); returns the sink path."""
-    ensure_checkpoint_dir(spark)
-    src = (_source(spark, query_dir, glob, max_files)
-           .select(F.col(qid).alias("query_id"), F.col(qtext).alias("query")))
-    sink = work_path(spark, "stream-topk")
 
-    def answer(batch: DataFrame) -> DataFrame:
-        return lexical.search(index, batch, k).select("query_id", index.id_col, "score", "rank")
-    q = (src.writeStream.foreachBatch(_batch_writer(sink, answer))
-         .option("checkpointLocation", work_path(spark, "stream-topk-ckpt"))
-         .trigger(availableNow=True).start())
+def _run(stream: DataFrame, sink: str, fn) -> str:
+    """Drain the source (availableNow) into ``sink/batches``; returns that path."""
+    batches = f"{sink}/batches"
+    q = (stream.writeStream.foreachBatch(_batch_writer(batches, fn))
+         .option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return sink
+    return batches
+
 
+def stream_topk(spark: SparkSession, table: str, index: lexical.TfidfIndex, k: int, sink: str | None = None,
+                qid: str = "item_id", qtext: str = "text", max_files: int = 1, prepare=None) -> str:
+    """ST1: answer a stream of queries; returns the sink path. ``prepare`` turns a batch
+    of (query_id, query) into the queries to search (gate, structuring)."""
+    src = _source(spark, table, max_files).select(F.col(qid).alias("query_id"), F.col(qtext).alias("query"))
 
-def stream_dedupe(spark: SparkSession, source_dir: str, glob: str, key: str, ts_col: str,
-                  delay: str = "1 hour", max_files: int = 1) -> str:
-    """ST2: event-time watermark + dropDuplicatesWithinWatermark(key), appended per batch.
+    def answer(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+        q = prepare(batch) if prepare else batch
+        return lexical.search(index, q, k).select("query_id", index.id_col, "score", "rank")
+    return _run(src, sink or work_path(spark, "stream-topk"), answer)
 
-    ``TIMESTAMP_NTZ`` columns are cast to TIMESTAMP (session zone UTC) first:
-    the watermark needs a zoned timestamp."""
-    ensure_checkpoint_dir(spark)
-    src = _source(spark, source_dir, glob, max_files)
+
+def stream_dedupe(spark: SparkSession, table: str, key: str, ts_col: str, delay: str = "1 hour",
+                  sink: str | None = None, max_files: int = 1) -> str:
+    """ST2: ingest without repeats of a key within ``delay``; returns the sink path.
+
+    ``TIMESTAMP_NTZ`` columns are cast to TIMESTAMP (session zone) first."""
+    src = _source(spark, table, max_files)
     src = src.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    deduped = src.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark([key])
-    sink = work_path(spark, "stream-dedupe")
-    q = (deduped.writeStream.foreachBatch(_batch_writer(sink, lambda b: b))
-         .option("checkpointLocation", work_path(spark, "stream-dedupe-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sink
+    near = F.expr(f"INTERVAL {delay}")
+
+    def fresh(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+        # within the batch: a row whose predecessor of the same key is within the delay
+        w = Window.partitionBy(key).orderBy(ts_col)
+        before = F.lag(ts_col).over(w)
+        first = batch.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") + near < F.col(ts_col))).drop("_before")
+        stored = _earlier(spark, path, batch.schema, batch_id)
+        if stored is None:
+            return first
+        span = batch.agg(F.min(ts_col).alias("low"), F.max(ts_col).alias("high")).first()  # one row
+        if span["low"] is not None:  # only files of that time are read (row-group statistics)
+            stored = stored.where((F.col(ts_col) >= F.lit(span["low"]) - near) & (F.col(ts_col) <= F.lit(span["high"]) + near))
+        seen = stored.select(F.col(key).alias("_key"), F.col(ts_col).alias("_ts"))
+        close = (F.col("_ts") >= F.col(ts_col) - near) & (F.col("_ts") <= F.col(ts_col) + near)
+        return first.join(seen, (F.col(key) == F.col("_key")) & close, "left_anti")
+    return _run(src, sink or work_path(spark, "stream-dedupe"), fresh)
+
+
+def _earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame | None:
+    """The sink's rows of earlier batches (not what a first try of this batch left)."""
+    folder, fs = _hadoop(spark, path)
+    if not fs.exists(folder):
+        return None
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+    return rows.where(F.col("batch_id") < batch_id).drop("batch_id")
