@@ -160,6 +160,10 @@ MSG_RESPONSE_MISSING = "I apologize, but I'm unable to provide a response due to
 MSG_RESPONSE_PARSE = ("I apologize, but I encountered an error while generating the response. "
                       "Please try rephrasing your question.")
 MSG_RESPONSE_PARSE_ERROR = "Failed to parse response generation"
+MSG_RESPONSE_ERROR = ("I apologize, but I encountered an error while generating the response. "
+                      "Please try again.")
+MSG_ENHANCEMENT_PARSE = "Failed to generate enhanced queries"
+MSG_JSON_ARRAY = "list indices must be integers or slices, not str"
 MSG_STRATEGY_DEFAULT = "Default balanced strategy due to error"
 MSG_CONTEXT_MAX = "Max retrieval iterations reached - forcing exit."
 MSG_CONTEXT_PARSE = "Error parsing context analysis response"

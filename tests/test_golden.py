@@ -124,7 +124,7 @@ def test_retry_loop_bounds(spark):
         rows.append((1, "context", a, '{"is_sufficient": false, "unanswerable": false}'))
         rows.append((2, "context", a, '{"is_sufficient": false, "unanswerable": true}'))
     out = spark.createDataFrame(rows, "query_id long, stage string, attempt int, response string")
-    retrieve = lambda s: s.select("query_id", F.lit(3).alias("n_retrieved"))
+    retrieve = lambda s: s.withColumn("n_retrieved", F.lit(3))
     res = {r.query_id: r.attempts for r in stages.retry_loop(q, out, retrieve).collect()}
     assert res[2] == 1
     assert res[1] <= 4
