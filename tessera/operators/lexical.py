@@ -7,10 +7,9 @@ Weighting follows the common smooth-idf convention: tf is the raw count,
 query terms outside the vocabulary are dropped.
 
 Plan shape (what to look for in ``explain``):
-* tf: map-side partial count per (doc, term), one shuffle of postings;
+* tf: texts dealt by doc, counts per (doc, term) without a further shuffle;
 * df: partial count per term (skew-free: a hot term is pre-aggregated);
-* idf join on term: shuffled hash join built on the vocabulary (unique keys),
-  the postings side streams; AQE splits a hot term's partition;
+* idf join on term: AQE splits a hot term's partition;
 * norm: window by doc_id (bounded by document length), which leaves the
   postings hash-partitioned by doc_id;
 * search: broadcast of the (size-checked) query postings, then the
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.config import BM25_B, BM25_EPSILON, BM25_K1
 from tessera.functions.text import explode_nonempty, with_grams, words
 from tessera.operators.topk import top_k
-from tessera.session import DEFAULT_BROADCAST_ROWS, fits, materialize, spread
+from tessera.session import DEFAULT_BROADCAST_ROWS, fits, materialize
 
 
 DOC_SENTINEL = "\u0000"  # one per document: its document frequency is N
@@ -36,10 +35,13 @@ DOC_SENTINEL = "\u0000"  # one per document: its document frequency is N
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2,
                 sentinel: bool = False) -> DataFrame:
-    """(id, term, tf): raw gram counts per row (map-side partial counts).
+    """(id, term, tf): raw gram counts per row. Rows are dealt by id before the tokenizer,
+    so the counts need no shuffle of the (much larger) gram rows.
     ``sentinel=True`` adds one NUL term per row, so counting rows rides along
     with the document-frequency aggregation instead of a separate job."""
-    g = with_grams(spread(df), id_col, text_col, "g", ngram_max)
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    g = with_grams(df.select(id_col, text_col).repartition(parts, id_col), id_col, text_col, "g", ngram_max)
     if sentinel:
         g = g.select(id_col, F.concat(F.array(F.lit(DOC_SENTINEL)), F.col("g")).alias("g"))
     return (g.select(id_col, explode_nonempty("g", "term")).where(F.col("term").isNotNull())
@@ -102,10 +104,7 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocab = (counts.where(F.col("term") != DOC_SENTINEL)
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
     tf = tf_all.where(F.col("term") != DOC_SENTINEL)
-    # Shuffled hash join with the vocabulary as the build side: its keys are
-    # unique, so a build partition is vocabulary / partitions and never skewed;
-    # the (possibly skewed) postings side streams through without a sort.
-    w = tf.join(vocab.select("term", "idf").hint("shuffle_hash"), "term").withColumn(
+    w = tf.join(vocab.select("term", "idf"), "term").withColumn(
         "w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(id_col)
     w = (w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
@@ -202,9 +201,9 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     n_docs = stats.select("n").scalar()
     avgdl = stats.select(F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))).scalar()
-    dl = d.select(id_col, F.size("terms").alias("dl"))
-    tf = (d.select(id_col, explode_nonempty("terms", "term")).where(F.col("term").isNotNull())
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    # the length travels with the terms, so no join brings it back
+    tf = (d.select(id_col, F.size("terms").alias("dl"), explode_nonempty("terms", "term")).where(F.col("term").isNotNull())
+          .groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = dfs.withColumn("idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean_idf = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0))).scalar()
@@ -212,12 +211,13 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
                            .otherwise(F.col("idf")))
     q = (queries.select(qid, explode_nonempty(q_terms_col, "term")).where(F.col("term").isNotNull())
          .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    if fits(q):
-        q = F.broadcast(q)
+    small = fits(q)
+    # the query side is weighted first: the documents' terms then meet one join
+    q = (F.broadcast(q) if small else q).join(vocab.select("term", "idf"), "term").select(
+        qid, "term", (F.col("qtf") * F.col("idf")).alias("qw"))
     denom_norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
-    part = (tf.join(q, "term").join(vocab.select("term", "idf"), "term").join(dl, id_col)
-            .withColumn("c", F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1)
-                        / (F.col("tf") + denom_norm)))
+    part = tf.join(F.broadcast(q) if small else q, "term").withColumn(
+        "c", F.col("qw") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + denom_norm))
     s = part.groupBy(qid, id_col).agg(F.round(F.sum("c"), digits).alias("score"))
     # every document with a query term is ranked: in small corpora the floor of the idf,
     # and with it a true hit's score, can be negative

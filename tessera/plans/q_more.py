@@ -1,5 +1,5 @@
 """More registered queries: landed listings and course assembly (S3, S4, J1, P11),
-JSON-lines dataset sink (K3), guard explanations (V9) and stage prompts (G13, G15)."""
+JSON-lines dataset sink (K3) and guard explanations (V9)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.config import SEMESTER
 from tessera.operators import guard as G
-from tessera.operators import stages as ST
 from tessera.plans.q_dataset import VARIANTS_SQL, _variants
 from tessera.plans.q_guard import RELEVANCE_SQL, input_flags_sql, INPUT_REASON_SQL
 from tessera.plans.registry import register
@@ -81,23 +80,3 @@ def guard_explanations(spark, sf_dir):
     p = x.select("doc_id", "kind", F.length(prompt).alias("prompt_chars"),
                  G.parse_explanation(reply).alias("e"))
     return p.select("doc_id", "kind", "prompt_chars", "e.status", "e.explanation", "e.suggestion")
-
-
-VALIDATION_TEMPLATE = ("Query: {query}\n\nDetermine if this query is relevant to courses or course selection.\n"
-                       "Return response in JSON format: {\"is_valid\": boolean, \"reason\": string}")
-
-
-@register("stage_prompts", sql="""
-SELECT event_id AS query_id, 'Query: How is the ' || event_type || ' course?' || chr(10) || chr(10)
-  || 'Determine if this query is relevant to courses or course selection.' || chr(10)
-  || 'Return response in JSON format: {"is_valid": boolean, "reason": string}' AS prompt,
-  ['validation: prompt'] AS history FROM events""")
-def stage_prompts(spark, sf_dir):
-    """G15 + G13: the validation-stage prompt rendered for every query, with the
-    processing history entry appended."""
-    e = load(spark, sf_dir, "events")
-    q = e.select(F.col("event_id").alias("query_id"),
-                 F.concat(F.lit("How is the "), F.col("event_type"), F.lit(" course?")).alias("query"))
-    return q.select("query_id", ST.render_prompt(VALIDATION_TEMPLATE, query="query").alias("prompt"),
-                    ST.append_history(F.lit(None), F.lit("validation: prompt")).alias("history"))
-

@@ -24,6 +24,7 @@ _MODULES = [
     "tessera.plans.q_eval",
     "tessera.plans.q_stream",
     "tessera.plans.q_more",
+    "tessera.plans.q_extra",
 ]
 
 
