@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import file_bytes, slices, stored, whole_text
+from .token_output import task_encoder
 
 CACHE_SCHEMA = "content binary, n_tokens bigint, tokenizer string"
 
@@ -50,9 +51,7 @@ class Tokenizer:
             def count(texts):
                 return [len(x) for x in sp.encode(texts, out_type=int, add_bos=False, add_eos=False, num_threads=1)]
         else:
-            from .token_output import IdEncoder
-
-            enc = IdEncoder(self.data)
+            enc = task_encoder(self.data)
 
             def count(texts):
                 return [len(x) for x in enc.encode(texts)]
@@ -99,7 +98,8 @@ def count_tokens(documents: DataFrame, tokenizer: Tokenizer, cache: str, id_colu
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(np.asarray(n, np.int64))],
                                              ["content", "n_tokens"])
 
-    (todo.select("content", "text").mapInArrow(encode, "content binary, n_tokens bigint")
+    # rows that repeat an id and its content come as one count
+    (todo.select("content", "text").mapInArrow(encode, "content binary, n_tokens bigint").dropDuplicates(["content"])
      .withColumn("tokenizer", F.lit(tokenizer.digest)).write.mode("append").partitionBy("tokenizer").parquet(cache))
     # stored, so that a hot content's side of the last join is a plain shuffle, which Spark can split
     counts = stored(read_cache(spark, cache, tokenizer.digest).join(needed.select("content"), "content"), "token-counts")

@@ -11,8 +11,9 @@ Layout under the output folder (written and read by Spark alone, so any store
 that Spark reaches will do, and a lost task only rewrites its own files):
 
 ``dictionary``  one row: dict_hash, dictionary bytes, id width, end id
-``blocks``      part, block, dict_hash, first_id, last_id, doc_ids,
-                n_tokens, offsets (one more than documents), payload
+``blocks``      part, block, before (ids of the part's earlier blocks),
+                dict_hash, first_id, last_id, doc_ids, n_tokens, offsets
+                (one more than documents), payload
 
 Defined results: a null text is an empty text (its only id is the end id);
 rows with a null doc_id come first; rows that repeat a doc_id are all kept,
@@ -25,6 +26,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +42,24 @@ from .common import WordCodes, by_document, file_bytes, slices, whole_text
 #: compression ratio depends on them.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 256, 16_384, 65_536
 #: A block ends after so many documents or so many compressed bytes.
-BLOCK_DOCS, BLOCK_BYTES = 1_024, 4_000_000
+BLOCK_DOCS, BLOCK_BYTES = 1_024, 1_000_000
 
-BLOCK_SCHEMA = ("part int, block int, dict_hash string, first_id bigint, last_id bigint, doc_ids array<bigint>, "
+BLOCK_SCHEMA = ("part int, block int, before bigint, dict_hash string, first_id bigint, last_id bigint, doc_ids array<bigint>, "
                 "n_tokens array<bigint>, offsets array<bigint>, payload binary")
 
-# A space between two visible characters: no pre-token of a byte-level tokenizer spans it.
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"[^\S ]|  |^ | $")
+# Chunks of a text such that no pre-token of a byte-level tokenizer spans a joint: words of
+# letters and digits before white space or a mark that ends them, such a mark, other visible
+# runs (each with the space before it), and white space, cut as the pre-tokenizer cuts it.
+_CHUNK = re.compile(r" ?[^\W_]++(?=[\s,.]|\Z)|[,.](?=\s|\Z)| ?\S++|\s+(?!\S)|\s")
+# White space for Python's patterns but not for the pre-tokenizer's.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class IdEncoder:
     """Whole texts to ids, exactly as the tokenizers library gives them.
 
-    For a byte-level tokenizer without normaliser the text is cut at single
-    spaces between visible characters, which its pre-tokenizer never crosses;
-    the library encodes each distinct chunk of a slice once (many chunks joined
+    For a byte-level tokenizer without normaliser the text is cut where its
+    pre-tokenizer never crosses (``_CHUNK``); the library encodes each distinct chunk of a slice once (many chunks joined
     in a string, told apart by their byte lengths). Texts holding an added
     token, and other kinds of tokenizer, go to the library whole."""
 
@@ -74,21 +78,23 @@ class IdEncoder:
         self.by_chunk = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                          and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                          and spec["model"].get("type") == "BPE")
-        added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         size = max(self.tok.get_vocab().values(), default=0) + 1
         self.byte_length = np.zeros(size, np.int64)
         for piece, i in self.tok.get_vocab().items():
             self.byte_length[i] = len(piece)  # byte-level pieces have one character per byte
-        self.cache = WordCodes(self._chunks)
+        self.cache = WordCodes(self._chunks, dtype=np.int32)
+
+    def _special(self, text: str) -> bool:
+        return any(a in text for a in self.added) or any(c in text for c in _SEPARATORS)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.int64)
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
-        for a in range(0, len(chunks), 512):
-            some = chunks[a:a + 512]
+        for a in range(0, len(chunks), 128):
+            some = chunks[a:a + 128]
             got = self._whole("".join(some))
             ends = np.cumsum(self.byte_length[got])
             stops = np.cumsum([len(c.encode()) for c in some])
@@ -103,20 +109,14 @@ class IdEncoder:
                 counts += np.diff(at, prepend=0).tolist()
         return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.asarray(counts, np.int64)
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """Chunks of a text; each but the first starts with its space."""
-        parts = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
-
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         for a, b in slices(texts):
             some = texts[a:b]
-            whole = [not self.by_chunk or bool(self.added and self.added.search(t)) for t in some]
+            whole = [not self.by_chunk or self._special(t) for t in some]
             words, per_doc = [], []
             for t, w in zip(some, whole, strict=True):
-                chunks = [] if w or not t else self.split(t)
+                chunks = [] if w or not t else _CHUNK.findall(t)
                 words += chunks
                 per_doc.append(len(chunks))
             ids, lengths = self.cache.flat(self.cache.lookup(words))
@@ -126,6 +126,12 @@ class IdEncoder:
                 yield self._whole(t) if w else ids[start:end]
 
 
+@lru_cache(maxsize=1)
+def task_encoder(tokenizer_json: bytes) -> IdEncoder:
+    """One encoder, and so one bounded cache, for all tasks of a Python worker."""
+    return IdEncoder(tokenizer_json)
+
+
 def _sample(docs: DataFrame, tokenizer_json: bytes, dtype: str, end_id: int) -> list[bytes]:
     """Serialised id arrays of a bounded set of documents, chosen by the hash of their id."""
     chosen = [r[0] for r in docs.select("doc_id").where("doc_id is not null")
@@ -134,7 +140,7 @@ def _sample(docs: DataFrame, tokenizer_json: bytes, dtype: str, end_id: int) ->
         return []
 
     def encoded(batches):
-        enc = IdEncoder(tokenizer_json)
+        enc = task_encoder(tokenizer_json)
         for batch in batches:
             out = [np.append(x, end_id).astype(dtype).tobytes()[:SAMPLE_BYTES]
                    for x in enc.encode(batch.column("text").to_pylist())]
@@ -170,21 +176,21 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: bytes, end_id:
     dict_hash = hashlib.sha256(dictionary).hexdigest()
 
     def blocks(batches):
-        enc = IdEncoder(tokenizer_json)
+        enc = task_encoder(tokenizer_json)
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=zdict, write_content_size=True, write_dict_id=False)
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, frames, size = [], [], [], 0
 
         def row():
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
             known = [i for i in ids if i is not None]
-            one = {"part": [part], "block": [block], "dict_hash": [dict_hash], "first_id": [min(known, default=None)],
+            one = {"part": [part], "block": [block], "before": [before], "dict_hash": [dict_hash], "first_id": [min(known, default=None)],
                    "last_id": [max(known, default=None)], "doc_ids": [list(ids)], "n_tokens": [list(counts)],
                    "offsets": [offsets.tolist()], "payload": [b"".join(frames)]}
             return pa.RecordBatch.from_pydict(one, schema=arrow)
 
-        arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()),
+        arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("dict_hash", pa.string()),
                            ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                            ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())),
                            ("payload", pa.binary())])
@@ -198,7 +204,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: bytes, end_id:
                 size += len(frame)
                 if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield row()
-                    block += 1
+                    block, before = block + 1, before + sum(counts)
                     ids, counts, frames, size = [], [], [], 0
         if ids:
             yield row()
@@ -221,19 +227,17 @@ def _reader(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per block with ``start``: ids of all documents before the block.
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks with ``start``: ids of all documents before a block.
 
-    Blocks are numbered within parts, and parts follow the ids' order. The only
-    window over everything has one row per part (as many as shuffle partitions)."""
+    Parts follow the ids' order; their totals are one row per range partition,
+    which bounds the window over all of them and its broadcast."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    sizes = blocks.select("part", "block", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.select("part", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("part_start"))
-    within = sizes.select("part", "block", F.coalesce(
-        F.sum("n").over(before.partitionBy("part").orderBy("block")), F.lit(0)).alias("in_part"))
-    return within.join(parts, "part").select("part", "block", (F.col("part_start") + F.col("in_part")).alias("start"))
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start")
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -243,7 +247,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     is pushed to the scan) and only their frames are decompressed."""
     dict_hash, dictionary, dtype = _dictionary(spark, path)
     wanted = None if doc_ids is None else set(doc_ids)
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    blocks = read_blocks(spark, path)
     if wanted is not None:
         if not wanted:
             blocks = blocks.limit(0)
@@ -253,7 +257,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     def documents(batches):
         reader = _reader(dictionary)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if r["dict_hash"] != dict_hash:
                     raise ValueError("a block was written with another dictionary")
                 starts = r["start"] + np.concatenate([[0], np.cumsum(r["n_tokens"])])
@@ -267,8 +271,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                          pa.array([int(starts[i]) for i in some], pa.int64()),
                          pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return (blocks.join(read_index(spark, path), ["part", "block"])
-            .select("dict_hash", "doc_ids", "n_tokens", "offsets", "payload", "start")
+    return (blocks.select("dict_hash", "doc_ids", "n_tokens", "offsets", "payload", "start")
             .mapInArrow(documents, "doc_id bigint, start bigint, ids array<int>"))
 
 
@@ -280,7 +283,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def digests(batches):
         reader = _reader(dictionary)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if r["dict_hash"] != dict_hash:
                     raise ValueError("a block was written with another dictionary")
                 payload, offsets = memoryview(r["payload"]), r["offsets"]
@@ -295,8 +298,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(counts, pa.int64()), pa.array(sums, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return (spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").join(read_index(spark, path), ["part", "block"])
-            .select("dict_hash", "doc_ids", "offsets", "payload", "start")
+    return (read_blocks(spark, path).select("dict_hash", "doc_ids", "offsets", "payload", "start")
             .mapInArrow(digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
