@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     cutoffs = gathered.where(F.col("rank") == k).select("query", F.col("score").alias("cutoff"))
     # a query with fewer than k candidates has no cutoff: everything passes
     cutoffs = stored(cutoffs, "topk-cutoffs")
-    lowest = F.lit(-(1 << 62)).cast("bigint")
+    lowest = F.lit(-(1 << 63) + 1).cast("bigint")
     armed = grid.join(cutoffs, "query", "left").withColumn("cutoff", F.coalesce("cutoff", lowest))
     scored = corpus.groupBy(*cell).cogroup(armed.groupBy(*cell)).applyInArrow(_above_cutoff(k), shape)
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
