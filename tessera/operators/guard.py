@@ -109,13 +109,12 @@ def output_scanners(text, bias: Column | None = None) -> list[tuple[str, Column]
 def verdict(df: DataFrame, scanners: list[tuple[str, Column]], prefix: str = "guard") -> DataFrame:
     """A5/V5: all scanners run; valid = all valid; reason lists failing scanner
     names in scanner order; per-scanner results kept as an array of structs."""
-    # a scanner without an answer counts as failed
-    arr = F.array(*[F.struct(F.lit(n).alias("scanner"),
-                             r.withField("is_valid", F.coalesce(r["is_valid"], F.lit(False))).alias("r")) for n, r in scanners])
+    arr = F.array(*[F.struct(F.lit(n).alias("scanner"), r.alias("r")) for n, r in scanners])
+    ok = lambda s: F.coalesce(s["r"]["is_valid"], F.lit(False))  # noqa: E731  no answer counts as failed
     x = df.withColumn(f"{prefix}_results", arr)
     res = F.col(f"{prefix}_results")
-    failed = F.transform(F.filter(res, lambda s: ~s["r"]["is_valid"]), lambda s: s["scanner"])
-    x = x.withColumn(f"{prefix}_valid", F.forall(res, lambda s: s["r"]["is_valid"]))
+    failed = F.transform(F.filter(res, lambda s: ~ok(s)), lambda s: s["scanner"])
+    x = x.withColumn(f"{prefix}_valid", F.forall(res, ok))
     return x.withColumn(f"{prefix}_reason",
                         F.when(F.col(f"{prefix}_valid"), F.lit(""))
                         .otherwise(F.concat(F.lit("Failed scanners: "), F.array_join(failed, ", "))))

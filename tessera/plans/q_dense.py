@@ -102,11 +102,11 @@ def dense_review_topk(spark, sf_dir):
 
 @register("vector_upsert", sql=f"""WITH {hash_features_sql('d', 'documents', 'doc_id', 'text')},
 {hash_features_sql('b', 'benchmark', 'item_id', 'text')},
-dn AS (SELECT id, sum(value * (idx + 1)) AS v FROM d_f GROUP BY id), bn AS (SELECT id, sum(value * (idx + 1)) AS v FROM b_f GROUP BY id)
-SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS BIGINT) AS idx, length(text) AS n_chars, round(v, 2) AS vector_sum
+dn AS (SELECT id, sum(sign(value) * (idx + 1)) AS v FROM d_f GROUP BY id), bn AS (SELECT id, sum(sign(value) * (idx + 1)) AS v FROM b_f GROUP BY id)
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS BIGINT) AS idx, length(text) AS n_chars, CAST(coalesce(v, 0) AS BIGINT) AS vector_signs
 FROM documents LEFT JOIN dn ON dn.id = doc_id
 UNION ALL
-SELECT 'b' || CAST(item_id AS VARCHAR), CAST(item_id AS BIGINT), length(text), round(v, 2) FROM benchmark LEFT JOIN bn ON bn.id = item_id""")
+SELECT 'b' || CAST(item_id AS VARCHAR), CAST(item_id AS BIGINT), length(text), CAST(coalesce(v, 0) AS BIGINT) FROM benchmark LEFT JOIN bn ON bn.id = item_id""")
 def vector_upsert(spark, sf_dir):
     """R8 + K2 + S6: build a collection from the review documents, then add the
     same rows again (skipped: ids exist) plus the benchmark items (new ids)."""
@@ -123,7 +123,7 @@ def vector_upsert(spark, sf_dir):
               .withColumn("id", F.concat(F.lit("b"), F.col("id"))))
     dense.add_to_collection(path, second)
     coll = dense.read_collection(spark, path)
-    # a position-weighted sum stands for the stored vector
-    weighted = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    # a position-weighted sum of the components' signs stands for the stored vector
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: F.signum(x.cast("double")) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return coll.select("id", F.col("metadata.index").alias("idx"), F.length("text").cast("long").alias("n_chars"),
-                       F.round(weighted, 2).alias("vector_sum"))
+                       F.coalesce(weighted, F.lit(0.0)).cast("bigint").alias("vector_signs"))

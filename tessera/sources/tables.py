@@ -24,15 +24,17 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_partkey, s_name): the supplier with the lowest key that ships each part
-    (partial minima per part, then an equi-join; faculty names grow with the tables)."""
-    ps = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    """(l_partkey, s_name): the supplier of each part's first order line (partial minima
+    per part, then an equi-join; faculty names grow with the tables)."""
+    first = F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))
+    ps = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(first.alias("l")).select("l_partkey", "l.l_suppkey")
     sup = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return ps.join(sup, ps.l_suppkey == sup.s_suppkey).select("l_partkey", "s_name")
 
 
-PART_SUPPLIERS_SQL = """(select l_partkey, s_name from (select l_partkey, min(l_suppkey) as l_suppkey
- from lineitem group by l_partkey) ps join supplier on s_suppkey = l_suppkey)"""
+PART_SUPPLIERS_SQL = """(select l_partkey, s_name from (select l_partkey, l_suppkey, row_number() over (
+ partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as line from lineitem) ps
+ join supplier on s_suppkey = l_suppkey where line = 1)"""
 
 
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
