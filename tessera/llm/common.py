@@ -130,6 +130,20 @@ class WordCodes:
         return self.values[at], lengths
 
 
+_held: list = []
+
+
+def one_per_worker(name: str, owner, make: Callable):
+    """``make()``, kept in this Python worker for later tasks of the same operator and
+    owner (a model, or the bytes of one). A worker keeps one such object: the next
+    operator's replaces it, so caches of a job's stages don't add up."""
+    if _held and _held[0] == name and (_held[1] is owner or (isinstance(owner, bytes) and _held[1] == owner)):
+        return _held[2]
+    _held.clear()
+    _held.extend([name, owner, make()])
+    return _held[2]
+
+
 def by_document(lengths: np.ndarray, words_per_doc: np.ndarray) -> np.ndarray:
     """Sum of ``lengths`` over each document's run of words."""
     ends = np.cumsum(words_per_doc)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, slices, whole_text
+from .common import WordCodes, one_per_worker, slices, whole_text
 
 UNDETERMINED = "und"
 #: Training documents per label (about; chosen by the hash of their id) and characters of each.
@@ -279,9 +279,7 @@ class Labeller:
 def task_labeller(model: Model) -> Labeller:
     """One labeller, and so one bounded cache, for all tasks of a Python worker
     (which keeps a broadcast value between tasks)."""
-    if not hasattr(model, "labeller"):
-        model.labeller = Labeller(model)
-    return model.labeller
+    return one_per_worker("labeller", model, lambda: Labeller(model))
 
 
 def _labelled(batches, model, text_at):

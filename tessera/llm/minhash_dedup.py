@@ -11,11 +11,13 @@ confined to the band of diagonals that this similarity allows.
 
 Copies (equal word sequences) form one class, and only classes are compared.
 Pairs of a sketch are not listed: each member is first aligned with one centre
-of its sketch, linked ones are joined to components, and only where a sketch
-still spans several components are its members compared across them, in cells
-of bounded blocks, behind an exact filter (the word histograms of documents
-within the distance differ by at most twice the distance). So every candidate
-pair is aligned or already in one component.
+of its sketch and linked ones are joined to components. Only where a sketch
+still spans several components its members are compared across them, inside the
+tasks, in cells of two bounded blocks: a pair is aligned in the first sketch it
+shares, behind an exact filter (word histograms differ by at most twice the
+distance), unless links found there have joined the two already. So every
+candidate pair is aligned, excluded by the filter, or in one component, and no
+task puts out more than a few rows per class.
 
 A pair with 5-word similarity (Jaccard) J shares a sketch with probability
 about 1 - (1 - J**3)**32: above 0.9999 from 0.7, 0.99 at 0.53.
@@ -30,7 +32,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCodes, free_name, slices, stored, whole_text
-from .components import components
+from .common import WordCodes, free_name, one_per_worker, slices, stored, whole_text
+from .components import components, extended
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document.
 WORDS, TAKEN, SKETCHES = 5, 3, 32
-#: Bins of the word histogram, and classes in a block of a sketch's members.
-BINS, BLOCK = 128, 1_024
+#: Bits of the word histogram's bins, and classes in a block of a sketch's members.
+BIN_BITS, BLOCK = 10, 1_024
 #: Document ids that may be broadcast to fetch texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -60,14 +61,13 @@ def words_of(text: str) -> list[str]:
 # --- sketches ---------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
 def task_hashes() -> WordCodes:
     """word -> 64-bit hash; one bounded cache for all tasks of a Python worker."""
 
     def hashes(words):
         return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), np.ones(len(words), np.int64)
 
-    return WordCodes(hashes, dtype=np.uint64)
+    return one_per_worker("word-hashes", None, lambda: WordCodes(hashes, dtype=np.uint64))
 
 
 def word_hashes(texts: list[str]):
@@ -118,9 +118,14 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def histogram(h: np.ndarray) -> np.ndarray:
-    """Words per bin, up to 255: two documents' histograms differ by at most twice their distance."""
-    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+def histogram(words: np.ndarray) -> np.ndarray:
+    """Words (upper 32 bits of their hashes) per bin; an edit moves two counts by one at most."""
+    return np.bincount(words >> np.uint32(32 - BIN_BITS), minlength=1 << BIN_BITS).astype(np.int32)
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of word hashes."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 # --- alignment --------------------------------------------------------------------
@@ -186,42 +191,37 @@ def allowed(n: int, m: int, threshold: float) -> int:
     return int((1.0 - threshold) * max(n, m) + 1e-9)
 
 
-def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    most = allowed(len(a), len(b), threshold)
-    return banded_distance(a.tolist(), b.tolist(), most) <= most
+def possible(na, nb, ha, hb, threshold):
+    """The exact filter, for lengths and histograms (of one pair, or of rows of them)."""
+    most = ((1.0 - threshold) * np.maximum(na, nb) + 1e-9).astype(np.int64)
+    return (np.abs(na - nb) <= most) & (np.abs(ha - hb).sum(axis=-1) <= 2 * most)
 
 
-def _close(na, nb, ha, hb, threshold):
-    """The exact filter, for rows of lengths and histograms."""
-    most = ((1.0 - threshold) * np.maximum(na, nb) + 1e-9).astype(np.int64)
-    near = np.abs(na - nb) <= most
-    gap = np.abs(ha.astype(np.int16) - hb.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return near & (gap <= 2 * most)
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    most = allowed(len(a), len(b), threshold)
+    return abs(len(a) - len(b)) <= most and banded_distance(a.tolist(), b.tolist(), most) <= most
 
 
 # --- Spark ------------------------------------------------------------------------
 
 
 def signatures(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, text_hash, digest (of the word sequence), n (words), keys and bins of every row."""
+    """doc_id, text_hash, digest (of the word sequence) and sketch keys of every row."""
     kind = dict(documents.dtypes)[id_column]
 
     def run(batches):
         for batch in batches:
-            digest, n, keys, bins = [], [], [], []
+            digest, keys = [], []
             for h in word_hashes(batch.column("text").to_pylist()):
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
-                n.append(len(h))
                 keys.append(sketches(h) if len(h) else [])
-                bins.append(histogram(h).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
-                ["doc_id", "text_hash", "digest", "n", "keys", "bins"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "digest", "keys"])
 
     rows = documents.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
     return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        run, f"doc_id {kind}, text_hash bigint, digest binary, n bigint, keys array<bigint>, bins binary")
+        run, f"doc_id {kind}, text_hash bigint, digest binary, keys array<bigint>")
 
 
 def _sequences(documents: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -240,30 +240,16 @@ def _sequences(documents: DataFrame, wanted: DataFrame, id_column: str, text_col
     return rows.mapInArrow(run, "digest binary, words binary").dropDuplicates(["digest"])
 
 
-def _filtered(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that pass the exact filter."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ha, hb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("ha", "hb"))
-            good = pa.array(_close(na, nb, ha, hb, threshold))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(good)
-
-    sides = [nodes.select(F.col("digest").alias(s), F.col("n").alias("n" + s), F.col("bins").alias("h" + s)) for s in "ab"]
-    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a binary, b binary")
-
-
 def _aligned(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose edit similarity reaches the threshold."""
+    """The pairs (a, b) whose edit similarity reaches the threshold."""
 
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(c) for c in ("wa", "wb"))
-            good = [similar(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64), threshold)
-                    for i in range(batch.num_rows)]
+            good = []
+            for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                near = possible(np.int64(len(x)), np.int64(len(y)), histogram(short(x)), histogram(short(y)), threshold)
+                good.append(bool(near) and similar(x, y, threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     sides = [sequences.select(F.col("digest").alias(s), F.col("words").alias("w" + s)) for s in "ab"]
@@ -272,63 +258,70 @@ def _aligned(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFr
 
 
 def _across(threshold: float):
-    """Pairs of one cell whose classes are in different components and pass the filter."""
+    """Links of one cell that join classes of different components."""
 
     def run(key: tuple, cell: pa.Table) -> pa.Table:
         left, right = key[1].as_py(), key[2].as_py()
         digest, label = (np.array(cell.column(c).to_pylist(), object) for c in ("digest", "label"))
-        block, n = cell.column("block").to_numpy(), cell.column("n").to_numpy()
-        bins = np.frombuffer(b"".join(cell.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        block, band = cell.column("block").to_numpy(), cell.column("band")[0].as_py()
+        words = [np.frombuffer(w, np.uint32) for w in cell.column("words").to_pylist()]
+        keys = np.stack(cell.column("keys").to_pylist())
+        n, bins = np.array([len(w) for w in words]), np.stack([histogram(w) for w in words]).astype(np.int16)
         _, label = np.unique(label, return_inverse=True)
         rows = np.flatnonzero(block == left)
         cols = rows if left == right else np.flatnonzero(block == right)
         out = []
         for i in rows.tolist():
             other = cols[(label[cols] != label[i]) & ((cols > i) if left == right else True)]
-            good = other[_close(n[i], n[other], bins[i], bins[other], threshold)] if len(other) else other
-            out += [(min(digest[i], digest[j]), max(digest[i], digest[j])) for j in good.tolist()]
+            other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]  # the first sketch they share
+            other = other[possible(n[i], n[other], bins[i], bins[other], threshold)]
+            # those that share most sketches first
+            for j in other[np.argsort(-(keys[other] == keys[i]).sum(axis=1), kind="stable")].tolist():
+                if label[i] != label[j] and similar(words[i], words[j], threshold):
+                    label[label == label[j]] = label[i]
+                    out.append((digest[i], digest[j]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
 
 def link_classes(nodes: DataFrame, sequences_of, threshold: float) -> DataFrame | None:
-    """node, label of all classes that are linked; ``nodes`` has digest, n, keys, bins, and
+    """node, label of all classes that are linked; ``nodes`` has digest and keys, and
     ``sequences_of`` gives the word sequences of a table of digests."""
-    spots = nodes.select("digest", F.explode("keys").alias("key"))
+    spots = nodes.select("digest", F.posexplode("keys").alias("band", "key"))
     shared = stored(spots.groupBy("key").agg(F.count("*").alias("n_members"), F.min("digest").alias("centre")).where("n_members > 1"), "omh-shared")
-    members = stored(spots.join(shared, "key").distinct(), "omh-members")
+    members = stored(spots.join(shared, "key"), "omh-members")
     if members.isEmpty():
         return None
-    near = nodes.select("digest", "n", "bins").join(members.select("digest").distinct(), "digest", "left_semi")
-    near = stored(near, "omh-nodes")
-    sequences = stored(sequences_of(near.select("digest")), "omh-sequences")
+    sequences = stored(sequences_of(members.select("digest").distinct()), "omh-sequences")
 
     # every member with the centre of its sketch
-    star = stored(members.where("digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct(), "omh-star")
-    tried = stored(_filtered(star, near, threshold), "omh-tried")
-    links = stored(_aligned(tried, sequences, threshold), "omh-links")
+    star = members.where("digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
+    links = stored(_aligned(stored(star, "omh-star"), sequences, threshold), "omh-links")
     labels = components(links)
 
     # sketches that still span several components
     marked = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    marked = stored(marked.select("key", "digest", "label", "n_members"), "omh-marked")
+    marked = stored(marked.select("key", "band", "digest", "label", "n_members"), "omh-marked")
     spanning = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    spanning = stored(spanning, "omh-spanning")
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    left_over = marked.join(spanning, "key").withColumn("blocks", blocks)
+    left_over = marked.join(stored(spanning, "omh-spanning"), "key").withColumn("blocks", F.ceil(F.col("n_members") / BLOCK).cast("int"))
     left_over = left_over.withColumn("block", F.pmod(F.xxhash64("digest", "key"), F.col("blocks")).cast("int"))
     left_over = left_over.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = left_over.select("key", "digest", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    cells = left_over.select("key", "band", "digest", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+
+    def shorten(batches):
+        for batch in batches:
+            words = [short(np.frombuffer(w, np.uint64)).tobytes() for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(words, pa.binary())], ["digest", "words"])
 
     def work(key, cell):
         return _across(threshold)(key, cell)
 
-    rest = cells.join(near, "digest").groupBy("key", "left", "right").applyInArrow(work, "a binary, b binary").distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "omh-rest")
-    more = stored(_aligned(rest, sequences, threshold), "omh-more")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    rows = sequences.mapInArrow(shorten, "digest binary, words binary").join(nodes.select("digest", "keys"), "digest")
+    rows = stored(rows, "omh-cell-rows")
+    found = stored(cells.join(rows, "digest").groupBy("key", "left", "right").applyInArrow(work, "a binary, b binary").distinct(), "omh-found")
+    more = stored(_aligned(found, sequences, threshold), "omh-more")  # again with whole hashes
+    return labels if more.isEmpty() else extended(labels, more)
 
 
 def classify(documents: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -340,7 +333,7 @@ def classify(documents: DataFrame, threshold: float = 0.8, id_column: str = "doc
     # nulls last: (is null, id, text hash)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     classes = stored(rows.groupBy("digest").agg(first), "omh-classes")
-    nodes = stored(rows.where("n > 0").select("digest", "n", "keys", "bins").dropDuplicates(["digest"]), "omh-classes-keys")
+    nodes = stored(rows.where("size(keys) > 0").select("digest", "keys").dropDuplicates(["digest"]), "omh-nodes")
 
     def sequences_of(digests: DataFrame) -> DataFrame:
         wanted = classes.join(digests, "digest", "left_semi").select("digest", "first.doc_id", "first.text_hash")

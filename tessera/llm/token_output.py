@@ -26,7 +26,6 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCodes, by_document, file_bytes, slices, whole_text
+from .common import WordCodes, by_document, file_bytes, one_per_worker, slices, whole_text
 
 #: Documents (chosen by the hash of their id) whose ids train the dictionary, the
 #: bytes of each that are used, and the size of the dictionary. Only the
@@ -126,10 +125,9 @@ class IdEncoder:
                 yield self._whole(t) if w else ids[start:end]
 
 
-@lru_cache(maxsize=1)
 def task_encoder(tokenizer_json: bytes) -> IdEncoder:
     """One encoder, and so one bounded cache, for all tasks of a Python worker."""
-    return IdEncoder(tokenizer_json)
+    return one_per_worker("id-encoder", tokenizer_json, lambda: IdEncoder(tokenizer_json))
 
 
 def _sample(docs: DataFrame, tokenizer_json: bytes, dtype: str, end_id: int) -> list[bytes]:
