@@ -10,9 +10,9 @@ precision, is at least the threshold. A pair that meets in several tables is
 counted in the first.
 
 A key's classes are worked on in cells of two blocks of at most ``BLOCK``
-classes, so a hot key is many bounded groups. A cell puts out per class the
-number of linked rows and one edge to its local component's smallest member,
-never the pairs.
+classes, so a hot key is many bounded groups; small cells are compared many at
+once. A cell puts out per class the number of linked rows and one edge to its
+local component's first member, never the pairs.
 
 For a pair at cosine 0.95 one bit differs with probability 0.10, so all 16
 tables miss it with probability 0.04; at 0.97 with 0.006 (tests measure the
@@ -117,38 +117,80 @@ def _smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _cell(threshold: float, models: dict):
-    """Linked rows and local component of the classes of one cell."""
-
-    def run(key: tuple, cell: pa.Table) -> pa.Table:
-        number, dim = key[0].as_py(), key[1].as_py()
-        left, right = key[3].as_py(), key[4].as_py()
-        cell = cell.sort_by("digest")
-        digest, block = cell.column("digest").to_pylist(), cell.column("block").to_numpy()
-        size = cell.column("copies").to_numpy()
-        unit = _unit(cell.column("packed").to_pylist(), dim)
-        keys = table_keys(unit, models, dim)
-        rows = np.flatnonzero(block == left)
-        cols = rows if left == right else np.flatnonzero(block == right)
-        linked, pairs = np.zeros(len(digest), np.int64), [np.zeros((2, 0), np.int64)]
+CELL = ["dim", "number", "key", "left", "right"]
+#: Cells of at most so many rows are compared pair by pair, many cells at once.
+SMALL = 48
+
+
+def _whole_cells(batches):
+    """Tables of whole cells from batches sorted by cell; only a batch's last cell waits for more."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        names = np.stack([table.column(c).to_numpy() for c in CELL])
+        last = int(np.flatnonzero((names == names[:, -1:]).all(axis=0) == False)[-1]) + 1 if (names != names[:, -1:]).any() else 0  # noqa: E712
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _pairs_above(cells: pa.Table, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one cell each whose cosine reaches the threshold. A cell of one block
+    compares all its rows, one of two blocks the rows of the one with the other's."""
+    names = np.stack([cells.column(c).to_numpy() for c in CELL])
+    block, two = cells.column("block").to_numpy(), names[3] != names[4]
+    starts = np.flatnonzero(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(axis=0)]))
+    sizes = np.diff(starts, append=len(block))
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    ends = np.repeat(starts + sizes, sizes)
+    for at in range(0, len(small), 2_000):  # rows of small cells with those after them
+        rows = small[at:at + 2_000]
+        after = ends[rows] - rows - 1
+        i = np.repeat(rows, after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        good = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+        good &= ~two[i] | (block[i] != block[j])
+        found_i.append(i[good])
+        found_j.append(j[good])
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        rows = np.arange(start, start + size)
+        cols = rows
+        if two[start]:
+            rows, cols = rows[block[rows] == names[3, start]], rows[block[rows] == names[4, start]]
         for at in range(0, len(rows), 256):
-            some = rows[at:at + 256]
-            i, j = np.nonzero(unit[some] @ unit[cols].T >= threshold)
-            i, j = some[i], cols[j]
-            if left == right:
-                i, j = i[i < j], j[i < j]
-            # counted in the first table in which the two meet
-            first = (keys[i][:, :number] == keys[j][:, :number]).any(axis=1) == False  # noqa: E712
-            i, j = i[first], j[first]
-            linked += np.bincount(i, size[j], len(digest)).astype(np.int64) + np.bincount(j, size[i], len(digest)).astype(np.int64)
-            pairs.append(np.stack([i, j]))
-        i, j = np.concatenate(pairs, axis=1)
-        label = _smallest_reachable(len(digest), i, j)
-        out = np.flatnonzero((linked > 0) | (label != np.arange(len(digest))))
-        return pa.table({"digest": pa.array([digest[k] for k in out], pa.binary()), "linked": pa.array(linked[out]),
-                         "root": pa.array([digest[label[k]] for k in out], pa.binary())})
-
-    return run
+            i, j = np.nonzero(unit[rows[at:at + 256]] @ unit[cols].T >= threshold)
+            i, j = rows[at + i], cols[j]
+            keep = slice(None) if two[start] else i < j
+            found_i.append(i[keep])
+            found_j.append(j[keep])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _cell_links(cells: pa.Table, threshold: float, models: dict) -> pa.RecordBatch:
+    """Linked rows and local component of the classes of whole cells of one vector length."""
+    digest, size = cells.column("digest").to_pylist(), cells.column("copies").to_numpy()
+    dim, number = cells.column("dim")[0].as_py(), cells.column("number").to_numpy()
+    unit = _unit(cells.column("packed").to_pylist(), dim)
+    i, j = _pairs_above(cells, unit, threshold)
+    involved = np.unique(np.concatenate([i, j]))
+    keys = np.zeros((len(digest), models[dim][2].shape[0]), np.int64)
+    keys[involved] = table_keys(unit[involved], models, dim)
+    # counted in the first table in which the two meet
+    earlier = (keys[i] == keys[j]) & (np.arange(keys.shape[1]) < number[i][:, None])
+    first = ~earlier.any(axis=1)
+    i, j = i[first], j[first]
+    linked = np.bincount(i, size[j], len(digest)) + np.bincount(j, size[i], len(digest))
+    label = _smallest_reachable(len(digest), i, j)
+    out = np.flatnonzero(linked > 0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([digest[k] for k in out], pa.binary()), pa.array(linked[out].astype(np.int64)),
+         pa.array([digest[label[k]] for k in out], pa.binary())], ["digest", "linked", "root"])
 
 
 def _rotations(classes: DataFrame) -> dict:
@@ -192,10 +234,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_column: str
     cells = met.select("digest", "number", "dim", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     cells = cells.join(classes.select("digest", "packed", "copies"), "digest")
 
-    def work(key, cell):
-        return _cell(threshold, shipped.value)(key, cell)
+    def work(batches):
+        for whole in _whole_cells(batches):
+            dims = whole.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                yield _cell_links(whole.filter(pa.array(dims == dim)), threshold, shipped.value)
 
-    found = stored(cells.groupBy("number", "dim", "key", "left", "right").applyInArrow(work, "digest binary, linked bigint, root binary"), "emb-found")
+    # cells stay whole in a partition; a task reads them one after the other
+    dealt = cells.repartition(*CELL).sortWithinPartitions(*CELL)
+    found = stored(dealt.select(*CELL, "block", "digest", "packed", "copies").mapInArrow(
+        work, "digest binary, linked bigint, root binary"), "emb-found")
     counts = found.groupBy("digest").agg(F.sum("linked").alias("linked"))
     groups = components(found.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b")))
     # the smallest id of each component
