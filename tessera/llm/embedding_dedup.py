@@ -1,23 +1,28 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-Equal vectors form one class, and only classes are compared. A rotation of the
-principal directions is learned on a bounded sample so that the signs of the
-rotated coordinates are balanced binary codes (iterative quantisation). Codes
-are looked up in ``TABLES`` Hamming tables, each indexed by ``KEY_BITS`` of the
-bits: classes that agree in a table's key meet there. Candidates are reranked
-with the original vectors: a pair is a link if its cosine, in double
-precision, is at least the threshold. A pair that meets in several tables is
-counted in the first.
+Equal vectors form one class, and only classes are compared. Rotations of the
+principal directions are learned on a bounded sample so that the signs of the
+rotated coordinates are balanced binary codes (iterative quantisation); short
+vectors get several rotations, so that tables have bits of their own. Codes
+are looked up in Hamming tables, each indexed by some of the bits: classes
+that agree in a table's key meet there. Candidates are reranked with the
+original vectors: a pair is a link if its cosine, in double precision, is at
+least the threshold. A pair that meets in several tables is counted in the
+first.
+
+How many tables and how long a key is chosen per vector length: of the layouts
+in ``LAYOUTS``, the one of least work on the sample whose measured recall is at
+least ``RECALL``. Recall is measured on the sample's own pairs above the
+threshold, by brute force, and on pairs made to lie exactly at the threshold,
+in random directions and in the directions in which the sample varies. If no
+layout reaches it (vectors that share so much of a direction that most are
+near the threshold), the key has no bits: all pairs are compared.
 
 A key's classes are worked on in cells of two blocks of at most ``BLOCK``
 classes, so a hot key is many bounded groups; small cells are compared many at
 once. A cell puts out per class the number of linked rows and one edge to its
 local component's first member, never the pairs.
 
-For a pair at cosine 0.95 one bit differs with probability 0.10, so all 16
-tables miss it with probability 0.04; at 0.97 with 0.006 (tests measure the
-recall against brute force).
-
 Defined results: vectors that are null, zero or hold null or non-finite
 components link with nothing and are their own components; only vectors of
 the same length are compared; repeated rows are copies that link with each
@@ -38,8 +43,14 @@ from .vectors import matrices
 
 #: Vectors of the training sample (chosen by digest) and rounds of learning the rotation.
 SAMPLE, ROUNDS = 8_192, 30
-#: Bits of a code at most, Hamming tables, and bits of a table's key.
+#: Bits of a rotation's code at most, Hamming tables, and bits of a table's key, where nothing else is chosen.
 CODE_BITS, TABLES, KEY_BITS = 64, 16, 16
+#: Least recall measured on the sample's pairs and on pairs at the threshold, and pairs of each kind at most.
+RECALL, PAIRS = 0.97, 4_096
+#: (tables, bits of a key) to choose from, and rotations that give tables bits of their own.
+LAYOUTS, ROTATIONS = [(t, k) for k in (16, 14, 12, 10, 8, 6, 4, 3, 2) for t in (16, 24, 32, 48, 64)], 4
+#: Work of a class in a table, counted in comparisons of two classes.
+SPOT_WORK = 300
 #: Classes in a block of a key; a cell compares two blocks.
 BLOCK = 1_024
 
@@ -80,14 +91,64 @@ def learn_rotation(sample: np.ndarray, bits: int = CODE_BITS, seed: int = 11) ->
     return mean, pca @ r
 
 
-def table_bits(bits: int, seed: int = 5) -> np.ndarray:
+def table_bits(bits: int, seed: int = 5, tables: int = TABLES, key_bits: int = KEY_BITS) -> np.ndarray:
     """The bits that index each table: the code cut into disjoint keys, then permuted and cut again."""
-    rng, rows, size = np.random.default_rng(seed), [], min(KEY_BITS, bits)
+    rng, rows, size = np.random.default_rng(seed), [], min(key_bits, bits)
     order = np.arange(bits)
-    while len(rows) < TABLES:
+    while len(rows) < tables:
         rows += [order[i:i + size] for i in range(0, bits - size + 1, size)]
         order = rng.permutation(bits)
-    return np.array(rows[:TABLES])
+    return np.array(rows[:tables])
+
+
+def rotations(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) of several learned rotations side by side."""
+    count = max(ROTATIONS, -(-CODE_BITS // max(sample.shape[1], 1)))
+    learned = [learn_rotation(sample, seed=11 + i) for i in range(count)]
+    return learned[0][0], np.concatenate([p for _, p in learned], axis=1)
+
+
+def trial_pairs(sample: np.ndarray, threshold: float, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit rows that must be found: the sample's own, and made ones exactly at the threshold."""
+    rng, out = np.random.default_rng(seed), []
+    left, right, at = [], [], 0
+    while at < len(sample) and sum(map(len, left)) < PAIRS:
+        i, j = np.nonzero(sample[at:at + 512] @ sample.T >= threshold)
+        later = at + i < j
+        left.append(at + i[later])
+        right.append(j[later])
+        at += 512
+    i, j = (np.concatenate(x)[:PAIRS] for x in (left, right))
+    out.append((sample[i], sample[j]))
+    one = sample[rng.integers(0, len(sample), PAIRS)]
+    varied = sample[rng.integers(0, len(sample), PAIRS)] - sample[rng.integers(0, len(sample), PAIRS)]
+    for way in (rng.standard_normal(one.shape), varied):
+        way = way - (way * one).sum(axis=1, keepdims=True) * one
+        size = np.sqrt((way * way).sum(axis=1))
+        good = size > 1e-9
+        out.append((one[good], threshold * one[good] + np.sqrt(max(0.0, 1 - threshold**2)) * way[good] / size[good, None]))
+    return [p for p in out if len(p[0])]
+
+
+def choose_tables(sample: np.ndarray, threshold: float, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, projection, tables' bits) of the layout of least work that finds ``RECALL`` of each kind of pair;
+    without one, or if that is less work, one table whose key has no bits."""
+    mean, projection = rotations(sample)
+    whole = (mean, projection, np.zeros((1, 0), np.int64))
+    best, least = whole, SPOT_WORK * classes + classes**2 / 2
+    pairs = trial_pairs(sample, threshold)
+    if not pairs:
+        return whole
+    for tables, key_bits in LAYOUTS:
+        if key_bits >= projection.shape[1] or SPOT_WORK * classes * tables >= least:
+            continue
+        model = (mean, projection, table_bits(projection.shape[1], tables=tables, key_bits=key_bits))
+        keys = table_keys(sample, {0: model}, 0)
+        meetings = sum(float((np.unique(k, return_counts=True)[1].astype(float) ** 2).sum() - len(k)) for k in keys.T)
+        work = SPOT_WORK * classes * tables + meetings / 2 * (classes / len(sample)) ** 2
+        if work < least and all((table_keys(a, {0: model}, 0) == table_keys(b, {0: model}, 0)).any(axis=1).mean() >= RECALL for a, b in pairs):
+            best, least = model, work
+    return best
 
 
 def table_keys(unit: np.ndarray, models: dict, dim: int) -> np.ndarray:
@@ -193,14 +254,13 @@ def _cell_links(cells: pa.Table, threshold: float, models: dict) -> pa.RecordBat
          pa.array([digest[label[k]] for k in out], pa.binary())], ["digest", "linked", "root"])
 
 
-def _rotations(classes: DataFrame) -> dict:
-    """Per vector length the rotation learned on a bounded sample, and the tables' bits."""
+def _rotations(classes: DataFrame, threshold: float) -> dict:
+    """Per vector length the rotations learned on a bounded sample, and the tables' bits."""
     models = {}
-    for row in classes.select("dim").distinct().collect():  # one row per length of vector
+    for row in classes.groupBy("dim").count().collect():  # one row per length of vector
         dim = row["dim"]
         picked = classes.where(F.col("dim") == dim).orderBy("digest").limit(SAMPLE).select("packed").collect()
-        mean, projection = learn_rotation(_unit([bytes(r["packed"]) for r in picked], dim))
-        models[dim] = (mean, projection, table_bits(projection.shape[1]))
+        models[dim] = choose_tables(_unit([bytes(r["packed"]) for r in picked], dim), threshold, row["count"])
     return models
 
 
@@ -211,8 +271,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_column: str
     rows = stored(classes_of(vectors, id_column, vector_column), "emb-rows")
     known = rows.where("digest is not null")
     classes = stored(known.groupBy("digest", "dim", "packed").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "emb-classes")
-    models = _rotations(classes)
-    shipped = spark.sparkContext.broadcast(models)  # per vector length: at most CODE_BITS x length numbers
+    models = _rotations(classes, threshold)
+    shipped = spark.sparkContext.broadcast(models)  # per vector length: a few times CODE_BITS x length numbers, at least CODE_BITS bits
 
     def index(batches):
         for batch in batches:

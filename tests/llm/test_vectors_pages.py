@@ -96,6 +96,38 @@ def test_recall_near_the_threshold():
     assert met.mean() >= 0.9
 
 
+def shifted_pairs(dim, shared, n, cosine=0.955):
+    """n unit vectors with a shared direction (mean cosine ``shared``), and one at ``cosine`` to each."""
+    rng = np.random.default_rng(dim)
+    a = rng.normal(size=(n, dim)) / np.sqrt(dim) * np.sqrt(1 - shared)
+    a[:, 0] += np.sqrt(shared)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.normal(size=a.shape)
+    o -= (o * a).sum(1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * o
+
+
+SHAPES = [(64, 0.5), (64, 0.7), (64, 0.9), (24, 0), (20, 0), (16, 0), (8, 0)]
+
+
+@pytest.mark.parametrize("dim,shared", SHAPES)
+def test_recall_with_a_shared_direction_and_short_vectors(dim, shared):
+    a, b = shifted_pairs(dim, shared, 4_000)
+    models = {dim: E.choose_tables(a, 0.95, 100_000)}
+    assert (E.table_keys(a, models, dim) == E.table_keys(b, models, dim)).any(axis=1).mean() >= 0.95
+
+
+def test_links_with_a_shared_direction_and_short_vectors(spark):
+    rows, want = [], 0
+    for dim, shared in [(64, 0.7), (24, 0), (16, 0)]:
+        both = np.concatenate(shifted_pairs(dim, shared, 400))
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(both)]
+        want += int((both @ both.T >= 0.95).sum()) - len(both)
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert 0.95 * want <= got.agg(F.sum("n_links")).first()[0] <= want
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 
