@@ -1,24 +1,31 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pass 1 turns each page into structural tokens: block elements, told apart by
-their path (tags with their id and class words). For every host and token the
-occurrence vector over the host's pages is summed into a signature; tokens
-with equal signatures form an equivalence class. A class is valid if it is
-frequent (``SUPPORT`` of the host's pages), has several members and each
-occurs once on a page that has it. Members nest by their paths, so the valid
-classes form the host's template, and what lies between a member's tags, less
-the members nested in it, is its slot. The member whose slot holds the article
-is chosen: by meaning (article, main, content names) if there is one, else the
-deepest one that holds most of the text.
-
-Pass 2 reads that slot on each page: the text of its blocks without parts that
-are menus, headers, footers, side bars, notices, adverts, forms, comments,
-scripts or styles by their element or by a class, id or role. Pages of hosts
-without a template (too few pages), or without the chosen token, fall back on
-the same choice within the page.
+Pass 1 turns each page into tokens: block elements, told apart by their path
+(tags with their id and class words), and texts of blocks, told apart by their
+element's path and by how many times the page had them before. For every host
+and token the occurrence vector over the host's pages is summed into a
+signature; tokens with equal signatures form an equivalence class. A class is
+valid if it is frequent (``SUPPORT`` of the host's pages), has several members
+and each occurs once on a page that has it. Members nest by their paths; the
+valid classes' elements are the host's frame, and their texts its constant
+text, whatever their names say. The slot that holds the article is chosen: by
+meaning (article, main, content names) if there is one, else the deepest
+member that holds most of the text.
+
+Pass 2 reads that slot on each page: the text of its blocks without the host's
+constant text and without parts that are menus, headers, footers, side bars,
+notices, adverts, forms, comments, scripts or styles by their element or by a
+class, id or role. Pages of hosts without a template (too few
+pages), or without the chosen token, fall back on the same choice within the
+page.
+
+Less than the whole method: the order of a class's members is not compared,
+and varying text of a nested member (a heading, a byline) stays with the slot.
+If constant text is most of a host's text (``MOST_TEXT``: its pages are copies
+of each other), it stays.
 
 Host statistics are sums with partial aggregation; a host's template is one
-row, so hot hosts cost no more than others, and pages are only shuffled if the
+row of its slot and its constant texts, so hot hosts cost no more than others, and pages are only shuffled if the
 templates don't fit a broadcast (``BROADCAST_HOSTS``).
 
 Defined results: null and empty pages give an empty text; pages without tags
@@ -30,6 +37,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -45,7 +53,7 @@ from .common import stored
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.5, 3, 3
 #: The slot chosen without meaning holds at least this share of the host's text.
 MOST_TEXT = 0.7
-#: Template rows that may be broadcast; with more hosts pages are joined by a shuffle.
+#: Template rows and constant texts that may be broadcast; with more pages are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
 
 # --- fixed values of HTML ------------------------------------------------------
@@ -70,6 +78,9 @@ aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments
 related recommended recommendations pagination pager widget toolbar masthead topbar skip""".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body text articlebody maincontent".split())
 
+#: What stands for the meaning of a text token.
+TEXT = -1
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -108,13 +119,13 @@ class Element:
         return self.meaning >= 1
 
 
-def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, str]]]:
-    """Block elements as (element, first text, end) and the page's texts as (kind, text).
+def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, str, int]]]:
+    """Block elements as (element, first text, end) and the page's texts as (kind, text, path).
 
     Texts of boilerplate parts are left out. Kind 0 is text that goes on with
     what stands before it, 1 text that starts a block."""
     elements: list[tuple[Element, int, int]] = []
-    texts: list[tuple[int, str]] = []
+    texts: list[tuple[int, str, int]] = []
     stack: list[Element] = []
     fresh, skip = 1, None
     find = _TOKEN.finditer
@@ -133,7 +144,7 @@ def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, st
                 part = m[0]
                 if part[0] != "<" or part == "<":
                     if not (stack and stack[-1].outside):
-                        texts.append((fresh, unescape(part) if "&" in part else part))
+                        texts.append((fresh, unescape(part) if "&" in part else part, stack[-1].path if stack else 0))
                         fresh = 0
                 continue
             tag = tag.lower()
@@ -148,7 +159,7 @@ def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, st
                 continue
             if tag == "br":
                 if not (stack and stack[-1].outside):
-                    texts.append((0, " "))
+                    texts.append((0, " ", 0))
                 continue
             if tag in RAW or (tag == "title" and stack and stack[-1].tag == "head"):
                 if not m[0].endswith("/>"):
@@ -178,16 +189,16 @@ def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, st
     return elements, texts
 
 
-def blocks(texts: list[tuple[int, str]]) -> str:
-    """Blocks joined by line ends, each with its white space made single blanks."""
-    out, now = [], []
-    for kind, text in texts:
-        if kind and now:
-            out.append(" ".join("".join(now).split()))
-            now = []
-        now.append(text)
-    out.append(" ".join("".join(now).split()))
-    return "\n".join(b for b in out if b)
+def blocks(texts: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """(first text, text, token) of each block that isn't blank, its white space made single blanks."""
+    out, seen = [], Counter()
+    starts = [0, *(i for i, t in enumerate(texts) if t[0] and i), len(texts)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if said := " ".join("".join([t[1] for t in texts[a:b]]).split()):
+            token = xxhash.xxh3_64_intdigest(said, seed=texts[a][2])
+            seen[token] += 1
+            out.append((a, said, _signed(xxhash.xxh3_64_intdigest(f"text {seen[token]}", seed=token))))
+    return out
 
 
 def _signed(h: int) -> int:
@@ -195,10 +206,16 @@ def _signed(h: int) -> int:
 
 
 def page_tokens(page: str) -> dict[int, list]:
-    """path -> [occurrences, characters inside, meaning, depth] of a page; path 0 stands for the page."""
+    """path -> [occurrences, characters inside, meaning, depth] of a page's elements and texts
+    (``TEXT`` stands for their meaning); path 0 stands for the page."""
     elements, texts = parse(page)
-    upto = np.concatenate([[0], np.cumsum([len(t) for _, t in texts], dtype=np.int64)])
+    found = blocks(texts)
+    size = np.zeros(len(texts), np.int64)
+    size[[b[0] for b in found]] = [len(b[1]) for b in found]
+    upto = np.concatenate([[0], np.cumsum(size)])
     out: dict[int, list] = {0: [1, int(upto[-1]), 0, -1]}
+    for _, said, token in found:
+        out[token] = [1, len(said), TEXT, -1]
     for e, start, end in elements:
         if e.outside:
             # a token of the template, whatever it holds
@@ -210,20 +227,20 @@ def page_tokens(page: str) -> dict[int, list]:
     return out
 
 
-def main_text(page: str, path: int | None) -> str:
-    """Text of the slot at ``path`` (or, without one, of the page's best element)."""
+def main_text(page: str, path: int | None, meaning: int = 0, constant: frozenset[int] = frozenset()) -> str:
+    """Text of the slot at ``path`` with its ``meaning`` (or, without one, of the page's best
+    elements), without the host's ``constant`` texts."""
     elements, texts = parse(page)
-    if path is not None:
-        for e, start, end in elements:
-            if _signed(e.path) == path:
-                return blocks(texts[start:end])
+    found = [(at, said) for at, said, token in blocks(texts) if token not in constant]
     best, key = (0, len(texts)), (0, 0)
     for e, start, end in elements:
-        if e.meaning:
-            size = sum(len(t) for _, t in texts[start:end])
-            if (e.meaning, size) > key:
-                best, key = (start, end), (e.meaning, size)
-    return blocks(texts[best[0]:best[1]])
+        if path is not None and _signed(e.path) == path:
+            best = (start, end)
+            break
+        size = sum(len(said) for at, said in found if start <= at < end) if e.meaning else 0
+        if (e.meaning, size) > key:
+            best, key = (start, end), (e.meaning, size)
+    return "\n".join(said for at, said in found if best[0] <= at < best[1])
 
 
 # --- Spark -----------------------------------------------------------------------
@@ -255,22 +272,31 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """host, main_path: the token whose slot holds the article, for hosts with a template."""
+    """host, main_path, meaning, constant: the token whose slot holds the article, what it is, and
+    the constant texts, for hosts with a template."""
     # the occurrence vector's signature: two sums of page marks mixed with the count there
     mixed = [F.pmod(F.xxhash64("mark", "n", F.lit(i)), F.lit((1 << 31) - 1)) for i in (1, 2)]
     vectors = found.groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.max("meaning").alias("meaning"),
         F.max("depth").alias("depth"), F.sum(mixed[0]).alias("s1"), F.sum(mixed[1]).alias("s2"))
-    vectors = stored(vectors, "html-vectors")
+    # a class has equal vectors, so rare tokens are whole classes that can't be valid
+    vectors = stored(vectors.where(f"path = 0 or pages >= {LEAST_PAGES}"), "html-vectors")
     whole = vectors.where("path = 0").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     members = vectors.where("path <> 0").withColumn("size", F.count("*").over(Window.partitionBy("host", "s1", "s2")))
+    once = (F.col("most") == 1) & (F.col("size") >= LEAST_TOKENS)
     valid = members.join(whole, "host").where(
-        (F.col("most") == 1) & (F.col("size") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_PAGES)
-        & (F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.col("chars") > 0))
+        (F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.col("chars") > 0) & once)
     big = F.col("chars") >= MOST_TEXT * F.col("all_chars")
+    is_text = F.col("meaning") == TEXT
     # by meaning, then the deepest that holds most text, then the most text
-    rank = F.struct("meaning", big.cast("int").alias("big"), F.when(big, F.col("depth")).otherwise(0).alias("deep"), "chars", "path")
-    return valid.groupBy("host").agg(F.max_by("path", rank).alias("main_path"))
+    rank = F.struct(F.col("meaning").alias("said"), big.cast("int").alias("big"), F.when(big, F.col("depth")).otherwise(0).alias("deep"), "chars", "path")
+    chosen = valid.groupBy("host").agg(
+        F.max(F.when(~is_text, rank)).alias("best"), F.collect_list(F.when(is_text, F.col("path"))).alias("constant"),
+        F.sum(F.when(is_text, F.col("chars"))).alias("constant_chars"), F.first("all_chars").alias("all_chars"))
+    copies = F.coalesce(F.col("constant_chars") >= MOST_TEXT * F.col("all_chars"), F.lit(False))
+    return chosen.where("best is not null").select(
+        "host", F.col("best.path").alias("main_path"), F.col("best.said").alias("meaning"),
+        F.when(copies, F.array().cast("array<bigint>")).otherwise(F.col("constant")).alias("constant"))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -279,14 +305,15 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"),
                         F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"), host_of(F.col(url_column)).alias("host"))
     chosen = stored(templates(tokens(rows.withColumn("mark", F.xxhash64("page_id", "url")))), "html-templates")
-    hosts = F.broadcast(chosen) if chosen.count() <= BROADCAST_HOSTS else chosen
+    held = chosen.agg(F.sum(F.size("constant") + 1)).first()[0] or 0
+    hosts = F.broadcast(chosen) if held <= BROADCAST_HOSTS else chosen
 
     def run(batches):
         for batch in batches:
-            html, paths = batch.column("html").to_pylist(), batch.column("main_path").to_pylist()
-            texts = [main_text(h, p) for h, p in zip(html, paths, strict=True)]
+            html, paths, meanings, constant = (batch.column(c).to_pylist() for c in ("html", "main_path", "meaning", "constant"))
+            texts = [main_text(h, p, m or 0, frozenset(c or ())) for h, p, m, c in zip(html, paths, meanings, constant, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                              ["page_id", "url", "text"])
 
-    return (rows.join(hosts, "host", "left").select("page_id", "url", "html", "main_path")
+    return (rows.join(hosts, "host", "left").select("page_id", "url", "html", "main_path", "meaning", "constant")
             .mapInArrow(run, f"page_id {kinds[id_column]}, url {kinds[url_column]}, text string"))

@@ -174,3 +174,22 @@ def test_templates_choose_the_articles_slot(spark):
     elements, _ = H.parse(rows[0][2])
     path = next(e.path for e, _, _ in elements if e.tag == "article" and not e.outside)
     assert [(r.host, r.main_path) for r in chosen] == [("h.example", H._signed(path))]
+
+
+def sentence(rng, n):
+    return " ".join(f"w{rng.randrange(9_999)}" for _ in range(n))
+
+
+def test_constant_text_under_neutral_names_is_not_the_articles(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for n in range(12):
+        said = [sentence(rng, 40) for _ in range(3)]
+        inside = "".join(f"<p>{x}</p>" for x in said)
+        rows.append((n, "http://plain.example/p", f'<html><body><div class=x7><p>Buy our book</p><p>Read more</p><p>Read more</p></div>'
+                     f'<div class=q1><div class=x9><p>By the desk of letters</p></div>{inside}</div></body></html>'))
+        want[n] = "\n".join(said)
+    # copies of one page: nothing tells the template from the article
+    rows += [(100 + n, "http://copies.example/p", rows[0][2]) for n in range(5)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {n: got[n] for n in want} == want
+    assert all(want[0] in got[100 + n] for n in range(5))
