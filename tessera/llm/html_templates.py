@@ -9,13 +9,14 @@ valid if it is frequent (``SUPPORT`` of the host's pages), has several members
 and each occurs once on a page that has it. Members nest by their paths; the
 valid classes' elements are the host's frame, and their texts its constant
 text, whatever their names say. The slot that holds the article is chosen: by
-meaning (article, main, content names) if there is one, else the deepest
-member that holds most of the text.
+meaning (article, main, content names; these may repeat on a page) if that
+holds most of the host's text, else the deepest member that does.
 
 Pass 2 reads that slot on each page: the text of its blocks without the host's
 constant text and without parts that are menus, headers, footers, side bars,
 notices, adverts, forms, comments, scripts or styles by their element or by a
-class, id or role. Pages of hosts without a template (too few
+class, id or role. A slot with a meaning is all elements of that meaning that
+aren't nested in each other. Pages of hosts without a template (too few
 pages), or without the chosen token, fall back on the same choice within the
 page.
 
@@ -53,6 +54,8 @@ from .common import stored
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.5, 3, 3
 #: The slot chosen without meaning holds at least this share of the host's text.
 MOST_TEXT = 0.7
+#: A meaning counts if its elements hold at least this share of the text.
+MEANT_TEXT = 0.5
 #: Template rows and constant texts that may be broadcast; with more pages are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
 
@@ -227,20 +230,32 @@ def page_tokens(page: str) -> dict[int, list]:
     return out
 
 
+def outermost(elements: list[tuple[Element, int, int]]) -> list[tuple[int, int]]:
+    """Extents of the elements that hold text and aren't nested in another of them, in page order."""
+    out, upto = [], 0
+    for _, start, end in sorted(elements, key=lambda x: (x[1], x[0].depth)):
+        if start >= upto and end > start:
+            out.append((start, end))
+            upto = end
+    return out
+
+
 def main_text(page: str, path: int | None, meaning: int = 0, constant: frozenset[int] = frozenset()) -> str:
     """Text of the slot at ``path`` with its ``meaning`` (or, without one, of the page's best
     elements), without the host's ``constant`` texts."""
     elements, texts = parse(page)
     found = [(at, said) for at, said, token in blocks(texts) if token not in constant]
-    best, key = (0, len(texts)), (0, 0)
-    for e, start, end in elements:
-        if path is not None and _signed(e.path) == path:
-            best = (start, end)
-            break
-        size = sum(len(said) for at, said in found if start <= at < end) if e.meaning else 0
-        if (e.meaning, size) > key:
-            best, key = (start, end), (e.meaning, size)
-    return "\n".join(said for at, said in found if best[0] <= at < best[1])
+    there = [x for x in elements if _signed(x[0].path) == path] if path is not None else []
+    if there:
+        slot = outermost([x for x in elements if x[0].meaning == meaning] if meaning else there)
+        return "\n".join(said for at, said in found if any(a <= at < b for a, b in slot))
+    least = MEANT_TEXT * sum(len(said) for _, said in found)
+    for wanted in (3, 2, 1):
+        slot = outermost([x for x in elements if x[0].meaning == wanted])
+        inside = [said for at, said in found if any(a <= at < b for a, b in slot)]
+        if inside and sum(map(len, inside)) >= least:
+            return "\n".join(inside)
+    return "\n".join(said for _, said in found)
 
 
 # --- Spark -----------------------------------------------------------------------
@@ -283,13 +298,15 @@ def templates(found: DataFrame) -> DataFrame:
     vectors = stored(vectors.where(f"path = 0 or pages >= {LEAST_PAGES}"), "html-vectors")
     whole = vectors.where("path = 0").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     members = vectors.where("path <> 0").withColumn("size", F.count("*").over(Window.partitionBy("host", "s1", "s2")))
+    meant = (F.col("meaning") > 0) & (F.col("chars") >= MEANT_TEXT * F.col("all_chars"))
     once = (F.col("most") == 1) & (F.col("size") >= LEAST_TOKENS)
     valid = members.join(whole, "host").where(
-        (F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.col("chars") > 0) & once)
+        (F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.col("chars") > 0) & (once | meant))
     big = F.col("chars") >= MOST_TEXT * F.col("all_chars")
     is_text = F.col("meaning") == TEXT
     # by meaning, then the deepest that holds most text, then the most text
-    rank = F.struct(F.col("meaning").alias("said"), big.cast("int").alias("big"), F.when(big, F.col("depth")).otherwise(0).alias("deep"), "chars", "path")
+    said = F.when(meant, F.col("meaning")).otherwise(0)
+    rank = F.struct(said.alias("said"), big.cast("int").alias("big"), F.when(big, F.col("depth")).otherwise(0).alias("deep"), "chars", "path")
     chosen = valid.groupBy("host").agg(
         F.max(F.when(~is_text, rank)).alias("best"), F.collect_list(F.when(is_text, F.col("path"))).alias("constant"),
         F.sum(F.when(is_text, F.col("chars"))).alias("constant_chars"), F.first("all_chars").alias("all_chars"))

@@ -193,3 +193,21 @@ def test_constant_text_under_neutral_names_is_not_the_articles(spark):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert {n: got[n] for n in want} == want
     assert all(want[0] in got[100 + n] for n in range(5))
+
+
+@pytest.mark.parametrize("pages", [1, 9])
+def test_all_sibling_articles_and_no_tiny_named_block(spark, pages):
+    """Within a page (one page of a host) and by the host's template."""
+    rng, rows, want = random.Random(9), [], {}
+    for n in range(pages):
+        said = [sentence(rng, 30 + 9 * k) for k in range(3)]
+        forms = [("siblings", "".join(f"<article><p>{x}</p></article>" for x in said)),
+                 ("inside", "<main>" + "".join(f"<article class=k{k}><p>{x}</p></article>" for k, x in enumerate(said)) + "</main>"),
+                 ("blocks", "".join(f"<div class=text><p>{x}</p></div>" for x in said)),
+                 ("tiny", f"<div id=main-header><p>{sentence(rng, 2)}</p></div><div class=zz>" + "".join(f"<p>{x}</p>" for x in said) + "</div>")]
+        for k, (form, html) in enumerate(forms):
+            rows.append((10 * n + k, f"http://{form}.example/{n}", f"<html><body><nav>Menu</nav>{html}</body></html>"))
+            want[10 * n + k] = said
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, said in want.items():
+        assert [line for line in got[i].split("\n") if line in said] == said, rows[i % 10]
