@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_templates, language_id, minhash_dedup, mixing, secrets, sentencepiece_fst, token_counts, token_output, topk_search
+from . import embedding_dedup, html_templates, language_id, minhash_dedup, mixing, nra_search, secrets, sentencepiece_fst, token_counts, token_output, topk_search
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,12 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document at edit similarity 0.8, and the one document kept of it."""
     found = minhash_dedup.classify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "kept")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return nra_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = nra_search.oracle_sql()
