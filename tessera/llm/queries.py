@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_templates, language_id, minhash_dedup, mixing, nra_search, secrets, sentencepiece_fst, token_counts, token_output, topk_search
+from . import embedding_dedup, html_templates, language_id, minhash_dedup, mixing, nra_search, phrases, secrets, sentencepiece_fst, skip_chain, token_counts, token_output, topk_search
 from .common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,26 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_ranked_search"] = nra_search.oracle_sql()
+
+
+@query
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_phrase_mining"] = phrases.oracle_sql()
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the personal data of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = skip_chain.scan(docs, skip_chain.fit(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(skip_chain.KINDS))
+    return found.select("doc_id", *[count(k) for k in skip_chain.KINDS], F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
+                        secrets.span_list(F.col("spans")).alias("spans"))
