@@ -224,7 +224,34 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     return top_k(s, qid, [F.col("score").desc(), F.col(id_col)], k)
 
 
-__all__ = ["TfidfIndex", "fit_tfidf", "query_vectors", "score", "search", "pad_zero_scores",
+def bm25_index(docs: DataFrame, id_col: str = "doc_id", doc_terms_col: str = "terms", k1: float = BM25_K1,
+               b: float = BM25_B, epsilon: float = BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
+    """Query-independent halves of ``bm25_search``: postings (id, term, w) with the saturated
+    term frequency, and vocab (term, df, idf), both written once."""
+    d = materialize(docs.select(id_col, F.col(doc_terms_col).alias("terms")), "bm25-doc-terms")
+    stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    n_docs = stats.select("n").scalar()
+    avgdl = stats.select(F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))).scalar()
+    tf = (d.select(id_col, F.size("terms").alias("dl"), explode_nonempty("terms", "term")).where(F.col("term").isNotNull())
+          .groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    saturated = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl))
+    postings = materialize(tf.select(id_col, "term", saturated.alias("w")), "bm25-postings")
+    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = raw.withColumn("idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean_idf = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0))).scalar()
+    vocab = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("idf")))
+    return postings, materialize(vocab, "bm25-vocab")
+
+
+def bm25_query_vectors(vocab: DataFrame, queries: DataFrame, qid: str = "query_id", q_terms_col: str = "q_terms") -> DataFrame:
+    """(qid, term, qw): term counts times idf, over in-vocabulary terms."""
+    q = (queries.select(qid, explode_nonempty(q_terms_col, "term")).where(F.col("term").isNotNull())
+         .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
+    return (F.broadcast(q) if fits(q) else q).join(vocab.select("term", "idf"), "term").select(
+        qid, "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+
+
+__all__ = ["bm25_index", "bm25_query_vectors", "TfidfIndex", "fit_tfidf", "query_vectors", "score", "search", "pad_zero_scores",
            "term_counts", "bm25_search", "words"]
 
 

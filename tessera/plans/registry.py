@@ -25,6 +25,7 @@ _MODULES = [
     "tessera.plans.q_stream",
     "tessera.plans.q_more",
     "tessera.plans.q_extra",
+    "tessera.plans.q_pruned",
 ]
 
 
