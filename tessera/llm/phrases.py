@@ -14,13 +14,15 @@ is ever extended:
 
 1. words: interval sizes summed by (language, word);
 2. pairs of frequent words, summed by the pair of word numbers;
-3. phrases of 3 to 5 words whose pairs are all frequent, summed by the numbers
-   of the pairs that spell them.
-
-A number is the smallest place (shard, interval start) of its phrase, so keys
-are exact and need no dictionary in one place. A shard meets only its own
-frequent intervals (cogroup by shard, at most one row per interval); a phrase
-brings at most one row a shard to a sum. The frequent phrases (at most words /
+3. triples whose pairs are frequent, summed by the numbers of their pairs;
+4. phrases of 4 and 5 words whose triples are frequent, summed by the numbers of
+   their first and last triple.
+
+A number is the smallest place where its phrase was counted, so keys are exact
+and need no dictionary in one place. Shards of a language are dealt into groups
+of about ``GROUP_TOKENS`` words; a group is visited once a level with its own
+frequent phrases (cogroup) and adds up its shards before it sends rows, so a
+phrase brings one row a group to a sum. The frequent phrases (at most words /
 ``least`` a level) are then spelled and joined to their parts.
 
 Defined results: null texts are empty, a null language is ``und``; rows are
@@ -41,11 +43,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Longest phrase in words; words of a shard (a longer text makes a larger one).
-DEPTH, SHARD_TOKENS = 5, 3_000_000
+#: Longest phrase in words; words of a shard (a longer text makes a larger one) and of a group of shards.
+DEPTH, SHARD_TOKENS, GROUP_TOKENS = 5, 3_000_000, 12_000_000
 #: Bytes of a text that are cut into words at a time.
 SLICE_BYTES = 1_000_000
-#: A place is shard << PLACE_BITS | row; a shard is task << SHARD_BITS | its number there.
+#: A place is shard (or a group's first shard) << PLACE_BITS | row; a shard is task << SHARD_BITS | its number there.
 PLACE_BITS, SHARD_BITS, TASK_BITS = 31, 12, 20
 
 # A-Z lower-cased, tabs to blanks, the characters that end a piece to newlines; all else stays.
@@ -192,39 +194,74 @@ def extended(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins[own], sizes[own]
 
 
-def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    names, types = ["k1", "k2", "shard", "start", "n"], [pa.int64()] * 5
-    if not left.num_rows or not right.num_rows:
-        return pa.table([pa.array([], t) for t in types], names)
-    index = Index(left.column("transform")[0].as_py())
-    first = index.owners(*(right.column(c).to_numpy().astype(np.int64) for c in ("start", "n", "number")))
-    second = index.left(first)
-    starts, sizes = extended(first, second)
-    shard = np.full(len(starts), left.column("shard")[0].as_py(), np.int64)
-    return pa.table([first[starts], second[starts], shard, starts, sizes], names)
-
-
-def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
-    names = ["size", "k1", "k2", "k3", "n"]
-    out = []
-    if left.num_rows and right.num_rows:
-        index = Index(left.column("transform")[0].as_py())
-        at = [index.owners(*(right.column(c).to_numpy().astype(np.int64) for c in ("start", "n", "number")))]
-        for _ in range(DEPTH - 2):  # at[i]: the pair i words further on
-            at.append(index.left(at[-1]))
-        for size, spelled in ((3, (0, 1)), (4, (0, 2)), (5, (0, 2, 3))):
-            starts, sizes = extended(*at[:size - 1])
-            keys = [at[i][starts] for i in spelled] + [np.full(len(starts), -1, np.int64)] * (3 - len(spelled))
-            out.append(pa.table([np.full(len(starts), size, np.int32), *keys, sizes.astype(np.int64)], names))
-    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 4)], names)
+class Level:
+    """The frequent phrases of one length in a group; inside a group they go by their rank."""
+
+    def __init__(self, numbers: np.ndarray, codes: np.ndarray | None = None):
+        order = np.argsort(numbers if codes is None else codes, kind="stable")
+        self.numbers, self.codes = numbers[order], None if codes is None else codes[order]
+        self._by_number = np.argsort(self.numbers, kind="stable")
+
+    def ranks(self, numbers: np.ndarray) -> np.ndarray:
+        return self._by_number[np.searchsorted(self.numbers, numbers, sorter=self._by_number)]
+
+    def code(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """One integer for two phrases of this length."""
+        return first * len(self.numbers) + last
+
+    def found(self, codes: np.ndarray) -> np.ndarray:
+        """Ranks of the phrases with these codes, or -1."""
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+
+def _extend(level: int):
+    """For a cogroup of a group's shards with its frequent phrases of fewer than
+    ``level`` words: counts of its phrases of ``level`` words (and of 5, if 4)."""
+    names, kinds = ["size", "k1", "k2", "place", "n"], [pa.int32(), *[pa.int64()] * 4]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], t) for t in kinds], names)
+        known = {c: right.column(c).to_numpy() for c in ("size", "shard", "start", "n", "k1", "k2", "number")}
+        if not left.num_rows or any(not (known["size"] == size).any() for size in range(1, level)):
+            return none
+        of = [known["size"] == size for size in range(1, level)]
+        levels = [Level(np.unique(known["number"][of[0]]))]
+        for own in of[1:]:
+            k1, k2 = (levels[-1].ranks(known[c][own]) for c in ("k1", "k2"))
+            levels.append(Level(known["number"][own], levels[-1].code(k1, k2)))
+        counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {level: [], 5: []}
+        for shard, packed in zip(left.column("shard").to_pylist(), left.column("transform"), strict=True):
+            index, own = Index(packed.as_py()), of[0] & (known["shard"] == shard)
+            at = index.owners(known["start"][own], known["n"][own], levels[0].ranks(known["number"][own]))
+            for before, here in zip(levels, levels[1:], strict=False):
+                rest = index.left(at)
+                at = np.where((at >= 0) & (rest >= 0), here.found(before.code(at, rest)), -1)
+            parts = [at, index.left(at)] + ([index.left(index.left(at))] if level == 4 else [])
+            for size, grams in ((level, parts[:2]), (5, parts[:3])):
+                if len(grams) == size - level + 2:
+                    starts, sizes = extended(*grams)
+                    counts[size].append((levels[-1].code(grams[0][starts], grams[-1][starts]), sizes))
+        out, rows, first = [], 0, min(left.column("shard").to_pylist())
+        for size, found in counts.items():
+            if found:
+                codes, which = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                n = np.bincount(which, np.concatenate([x for _, x in found]), len(codes)).astype(np.int64)
+                k1, k2 = (levels[-1].numbers[x] for x in np.divmod(codes, len(levels[-1].numbers)))
+                place = (first << PLACE_BITS) + rows + np.arange(len(codes))
+                out.append(pa.table([np.full(len(codes), size, np.int32), k1, k2, place, n], names))
+                rows += len(codes)
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _summed(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """``rows`` (one a shard and phrase) of frequent phrases with f, their count over all shards, and their number."""
+    """``rows`` (one a group and phrase) of frequent phrases with f, their count over all
+    groups, and their number; ``one`` marks one row of each."""
     same = Window.partitionBy(*keys)
-    place = F.shiftleft("shard", PLACE_BITS) + F.col("start")
-    return rows.withColumn("f", F.sum("n").over(same)).withColumn("number", F.min(place).over(same)).withColumn(
-        "one", F.col("number") == place).where(F.col("f") >= least)
+    return rows.withColumn("f", F.sum("n").over(same)).withColumn("number", F.min("place").over(same)).withColumn(
+        "one", F.col("number") == F.col("place")).where(F.col("f") >= least)
 
 
 def frequent(documents: DataFrame, least: int = 100, text_column: str = "text", lang_column: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -232,32 +269,46 @@ def frequent(documents: DataFrame, least: int = 100, text_column: str = "text",
     its language, its words in order; lang, n of every language)."""
     index = stored(shards(documents, text_column, lang_column), "fm-shards")
     totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
+    # one small row a shard: groups are runs of a language's shards, named by their first
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("shard")) - F.col("n")
+    groups = index.select("shard", "lang", F.floor(so_far / GROUP_TOKENS).alias("run"))
+    groups = stored(groups.select("shard", F.min("shard").over(Window.partitionBy("lang", "run")).alias("home")), "fm-groups")
     entry = F.arrays_zip("words", "starts", "sizes")
     words = index.select("shard", "lang", F.explode(entry).alias("e")).select(
         "shard", "lang", F.col("e.words").alias("word"), F.col("e.starts").cast("bigint").alias("start"), F.col("e.sizes").cast("bigint").alias("n"))
+    words = words.withColumn("place", F.shiftleft("shard", PLACE_BITS) + F.col("start"))
     words = stored(_summed(words, ["lang", "word"], least), "fm-words")
-    held = index.select("shard", "transform")
-
-    def meet(intervals: DataFrame, extend, schema: str) -> DataFrame:
-        own = intervals.select("shard", "start", "n", "number")
-        return held.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(extend, schema)
+    held = index.select("shard", "transform").join(groups, "shard").select(F.col("home").alias("group"), "shard", "transform")
+    nothing = F.lit(-1).cast("bigint")
+    known = words.select("shard", F.lit(1).alias("size"), "start", "n", nothing.alias("k1"), nothing.alias("k2"), "number").join(groups, "shard")
 
-    pairs = meet(words, _pairs, "k1 bigint, k2 bigint, shard bigint, start bigint, n bigint")
-    pairs = stored(_summed(pairs, ["k1", "k2"], least), "fm-pairs")
-    longer = meet(pairs, _longer, "size int, k1 bigint, k2 bigint, k3 bigint, n bigint")
-    longer = longer.groupBy("size", "k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    def meet(level: int) -> DataFrame:
+        return held.groupBy("group").cogroup(known.groupBy("home")).applyInArrow(
+            _extend(level), "size int, k1 bigint, k2 bigint, place bigint, n bigint")
 
     one = words.where("one").select("number", "lang", "word", "f")
-    two = pairs.where("one").select("number", "k1", "k2", "f").join(
-        one.select(F.col("number").alias("k1"), "lang", F.col("word").alias("w1")), "k1").join(
-        one.select(F.col("number").alias("k2"), F.col("word").alias("w2")), "k2").select("number", "lang", F.array("w1", "w2").alias("words"), "f")
-    two = stored(two, "fm-spelled")
-    spell = [two.select(F.col("number").alias(f"k{i}"), F.col("words").alias(f"p{i}")) for i in (1, 2, 3)]
-    spelled = longer.join(spell[0].join(two.select(F.col("number").alias("k1"), "lang"), "k1"), "k1").join(spell[1], "k2").join(spell[2], "k3", "left")
-    tail = F.when(F.col("size") == 3, F.slice("p2", 2, 1)).when(F.col("size") == 4, F.col("p2")).otherwise(F.concat("p2", F.slice("p3", 2, 1)))
-    every = one.select("lang", F.array("word").alias("words"), "f").unionByName(two.select("lang", "words", "f")).unionByName(
-        spelled.select("lang", F.concat("p1", tail).alias("words"), "f"))
-    return stored(every, "fm-frequent"), totals
+    spelled = [one.select("number", "lang", F.array("word").alias("words"), "f")]
+
+    def spell(rows: DataFrame, shared: int) -> DataFrame:
+        """Phrases of ``rows`` from those of the level before, whose two parts share so many words."""
+        first, last = (spelled[-1].select(F.col("number").alias(k), F.col("words").alias(w)) for k, w in (("k1", "w1"), ("k2", "w2")))
+        first = first.join(spelled[-1].select(F.col("number").alias("k1"), "lang"), "k1")
+        return rows.join(first, "k1").join(last, "k2").select(
+            "number", "lang", F.concat("w1", F.slice("w2", shared + 1, DEPTH)).alias("words"), "f")
+
+    for level in (2, 3):
+        rows = stored(_summed(meet(level), ["size", "k1", "k2"], least), "fm-phrases")
+        spelled.append(stored(spell(rows.where("one"), level - 2), "fm-spelled"))
+        home = F.shiftright("place", PLACE_BITS)
+        known = known.unionByName(rows.select(nothing.alias("shard"), "size", nothing.alias("start"), "n", "k1", "k2", "number", home.alias("home")))
+    longest = meet(4).groupBy("size", "k1", "k2").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("number", nothing)
+    longest = stored(longest, "fm-phrases")
+    parts = [spell(longest.where(F.col("size") == size), shared) for size, shared in ((4, 2), (5, 1))]
+    every = [p.select("lang", "words", "f") for p in (*spelled, *parts)]
+    out = every[0]
+    for p in every[1:]:
+        out = out.unionByName(p)
+    return stored(out, "fm-frequent"), totals
 
 
 def collocations(documents: DataFrame, least: int = 100, most: int = 2_000, text_column: str = "text", lang_column: str = "lang") -> DataFrame:

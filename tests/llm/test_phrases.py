@@ -79,6 +79,8 @@ def test_small_shards_many_languages_and_slices(spark, monkeypatch):
     builder.add(text.encode())
     sliced = builder.index()
     monkeypatch.undo()
+    monkeypatch.setattr(P, "GROUP_TOKENS", 300)  # a group for every few shards
+    assert found(spark, rows, 5, parts=12) == with_default
     whole = P.Builder()
     whole.add(text.encode())
     for a, b in zip(sliced, whole.index(), strict=True):
