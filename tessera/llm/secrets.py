@@ -7,10 +7,14 @@ Two layers over every whole text:
   kind, matches that are too short dropped;
 * a lexer for source and configuration syntax that reads name-literal pairs
   (``name = "x"``, ``name: x``, ``"name" => 'x'``, ``NAME=x``,
-  ``<name>x</name>``, literals joined by ``+`` or ``.``), propagates constants
-  (``k = "x"`` then ``password = k`` makes the literal ``x`` a password) and
-  scores each literal by how sensitive its target names are and how random it
-  looks. Literals that pass and touch no base span are added as ``literal``.
+  ``<name>x</name>``, ``name("x")``, ``set("name", "x")``, triple-quoted
+  strings, YAML block scalars, literals joined by ``+`` or ``.``, with or
+  without blanks and across lines), propagates constants (``k = "x"`` then
+  ``password = k`` makes the literal ``x`` a password; all parts of a constant
+  count, however many) and scores each literal by how sensitive its target names
+  are and how random it looks. Literals that pass and touch no base span are
+  added as ``literal``. Names have one scope, the text; comments are read like
+  code, since secrets are left in both.
 
 A span has code-point offsets, end exclusive; ``value_start``/``value_end``
 enclose the secret itself, which ``redact`` replaces.
@@ -70,13 +74,21 @@ def _span(kind, start, end, value_start, value_end, name, score) -> dict:
 
 # --- the lexer -----------------------------------------------------------------
 
-_STRING = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'|" + r"`[^`\n]*+`"
+_TRIPLE = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|' + r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"
+_STRING = _TRIPLE + r'|"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'|" + r"`[^`\n]*+`"
 _NAME = r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
-#: name (perhaps quoted or subscripted), separator, and the start of a value
-_PAIR = re.compile(rf"""(?P<q>["'`]?)(?P<name>{_NAME})(?P=q)\]?(?:\x20|\t)*+(?P<sep>:=|=>|(?<![=!<>])=(?!=)|:(?![:/]))(?:\x20|\t)*+(?P<value>{_STRING}|[^\s"'`,;(){{}}<>\[\]]++)""")
+#: A name begins where no longer one does, so that long runs are read once.
+_BEGIN = r"(?<![\w$])(?<![\w$][.\-])"
+#: name (perhaps quoted or subscripted), separator (perhaps with a type), and the start of a value
+_PAIR = re.compile(rf"""{_BEGIN}(?P<q>["'`]?)(?P<name>{_NAME})(?P=q)\]?(?:\x20|\t)*+(?P<sep>:[\x20\t]*+(?P<type>{_NAME})(?:\[[^\]\n]{{0,80}}\])?[\x20\t]*+=(?![=>])|:=|=>|(?<![=!<>])=(?!=)|:(?![:/]))(?:\x20|\t)*+(?:\([\x20\t\n]*+(?=["'`]))?(?P<value>{_STRING}|[^\s"'`,;(){{}}<>\[\]]++)""")
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>")
-#: further operands of a joined value
-_MORE = re.compile(rf"(?:\x20|\t)*+[+.](?:\x20|\t)++(?P<value>{_STRING}|{_NAME})")
+#: name("x"), and a call or a list with "name", "x"
+_CALL = re.compile(rf"{_BEGIN}(?P<name>{_NAME})\((?:\x20|\t)*+(?P<value>{_STRING})(?=(?:\x20|\t)*+\))")
+_ARGUMENTS = re.compile(rf"""[(\[,](?:\x20|\t)*+(?P<q>["'])(?P<name>{_NAME})(?P=q)(?:\x20|\t)*+,(?:\x20|\t)*+(?P<value>{_STRING})""")
+#: name: | and the lines that are indented deeper
+_BLOCK = re.compile(rf"""^(?P<indent>[\x20\t]*+)(?:-[\x20\t]++)?(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*+:[\x20\t]*+[|>][+\-0-9]{{0,2}}[\x20\t]*+\n""", re.M)
+#: further operands of a joined value: after an operator, or (strings) on their own line
+_MORE = re.compile(rf"(?:\s|\\\n)*+(?:\+(?:\s|\\\n)*+(?P<value>{_STRING}|{_NAME})|\.(?:\s|\\\n)*+(?P<string>{_STRING})|\.(?:\x20|\t)++(?P<other>{_NAME}))")
 _IDENTIFIER = re.compile(rf"{_NAME}\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -95,35 +107,91 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(w.lower(), 0) for w in _WORDS.findall(name))
 
 
+class Parts:
+    """What the score needs of literals joined in any number."""
+
+    def __init__(self, text: str = ""):
+        self.counts, self.n = Counter(text), len(text)
+        self.placeholder = bool(_PLACEHOLDER.search(text))
+
+    def add(self, other: Parts) -> None:
+        self.counts.update(other.counts)
+        self.n += other.n
+        self.placeholder |= other.placeholder
+
+    def score(self) -> float:
+        """Up to 4: length, entropy, digits among letters, no blanks; below 0 for placeholders."""
+        n = self.n
+        if n < 8 or self.placeholder:
+            return -9.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        mixed = any(map(str.isdigit, self.counts)) and any(map(str.isalpha, self.counts))
+        return (n >= 12) + (entropy >= 3.0) + mixed + (not any(map(str.isspace, self.counts)))
+
+
 def literal_score(value: str) -> float:
-    """Up to 4: length, entropy, digits among letters, no blanks; below 0 for placeholders."""
-    n = len(value)
-    if n < 8 or _PLACEHOLDER.search(value):
-        return -9.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    return (n >= 12) + (entropy >= 3.0) + mixed + (not any(c.isspace() for c in value))
+    return Parts(value).score()
+
+
+class Value:
+    """What a name holds: its own literals and the values of the names it uses (shared, not copied)."""
+
+    def __init__(self, literals: list[tuple[int, int, str]], used: list[Value]):
+        self.literals, self.used, self.parts = literals, used, Parts()
+        for _, _, text in literals:
+            self.parts.add(Parts(text))
+        for value in used:
+            self.parts.add(value.parts)
+        self.seen: list[tuple[int, float]] = []  # (name score, joined score) it was visited with
 
 
 def _literal(raw: str, at: int) -> tuple[int, int, str] | None:
     """(start, end, text) of a value that is a literal; None for an identifier."""
     if raw[0] in "\"'`":
-        return (at + 1, at + len(raw) - 1, raw[1:-1]) if len(raw) > 2 else None
+        width = 3 if len(raw) >= 6 and raw[:3] in ('"""', "'''") else 1
+        return (at + width, at + len(raw) - width, raw[width:-width]) if len(raw) > 2 * width else None
     return None
 
 
+def _block_end(text: str, at: int, indent: str) -> int:
+    """Where the lines deeper than ``indent`` (or blank) from ``at`` on end."""
+    end = at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        if line.strip():
+            if not line.startswith(indent) or not line[len(indent):len(indent) + 1].isspace():
+                break
+            end = stop
+        at = stop + 1
+    return end
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str], tuple[int, int]]]:
     """(target name, literals, identifiers used, extent of the statement) in text order."""
-    found = [(m.start(), m) for m in _PAIR.finditer(text)] + [(m.start(), m) for m in _ELEMENT.finditer(text)]
+    found = [(m.start(), m) for p in (_PAIR, _ELEMENT, _CALL, _ARGUMENTS) for m in p.finditer(text)]
+    found += [(m.start("name"), m) for m in _BLOCK.finditer(text)]
+    read = 0
     for start, m in sorted(found, key=lambda x: x[0]):
         name, literals, used, end = m["name"], [], [], m.end()
-        raw, at = m["value"], m.start("value")
-        if m.re is _ELEMENT:
-            literals.append((at, end - len(name) - 3, raw))
+        if m.re is _BLOCK:
+            if start < read:  # a header inside a block that is read
+                continue
+            at, end = m.end(), _block_end(text, m.end(), m["indent"])
+            read = end
+            block = text[at:end]
+            if block.strip():
+                at += len(block) - len(block.lstrip())
+                literals.append((at, end, "".join(block.split()) if "\n" in block.strip() else block.strip()))
+        elif m.re is _ELEMENT:
+            literals.append((m.start("value"), end - len(name) - 3, m["value"]))
         else:
-            part = m
+            part, group = m, "value"
+            if m.re is _PAIR and m["type"] and name_score(m["type"]) > name_score(name):
+                name = m["type"]  # "note: password = x" rather than a type
             while part is not None:
-                raw, at, end = part["value"], part.start("value"), part.end()
+                raw, at, end = part[group], part.start(group), part.end()
                 if lit := _literal(raw, at):
                     literals.append(lit)
                 elif _IDENTIFIER.match(raw):
@@ -132,26 +200,33 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]], list[str
                         literals.append((at, end, raw))  # a bare configuration value may look like a name
                 elif part is m:
                     literals.append((at, end, raw))
-                part = _MORE.match(text, end)
+                if part := _MORE.match(text, end):
+                    group = part.lastgroup
         yield name, literals, used, (start, end)
 
 
 def literal_spans(text: str) -> list[dict]:
     """Literals whose target names, direct or through constants, are sensitive enough."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if not any(c in text for c in ("=", ":", "</", "(")):
         return []
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    constants: dict[str, Value] = {}
     best: dict[tuple[int, int], dict] = {}
     for name, literals, used, (start, end) in pairs(text):
-        through = [lit for u in used for lit in constants.get(u, ())]
-        if sensitive := max(name_score(name), 0):
-            joined = "".join(lit[2] for lit in literals + through)
-            for a, b, value in literals + through:
-                score = sensitive + max(literal_score(value), literal_score(joined))
-                if score >= ENOUGH and sensitive >= 2 and b > a and score > best.get((a, b), {"score": 0})["score"]:
-                    direct = start <= a and b <= end
-                    best[a, b] = _span("literal", start if direct else a, end if direct else b, a, b, name, float(score))
-        constants[name] = (literals + through)[:64]  # what later statements may refer to
+        value = Value(literals, [constants[u] for u in dict.fromkeys(used) if u in constants])
+        if (sensitive := max(name_score(name), 0)) >= 2:
+            joined, waiting = value.parts.score(), [value]
+            while waiting:
+                one = waiting.pop()
+                if any(s >= sensitive and j >= joined for s, j in one.seen):
+                    continue  # nothing in it can score more than before
+                one.seen.append((sensitive, joined))
+                waiting += one.used
+                for a, b, part in one.literals:
+                    score = sensitive + max(literal_score(part), joined)
+                    if score >= ENOUGH and b > a and score > best.get((a, b), {"score": 0})["score"]:
+                        direct = start <= a and b <= end
+                        best[a, b] = _span("literal", start if direct else a, end if direct else b, a, b, name, float(score))
+        constants[name] = value  # what later statements may refer to
     return list(best.values())
 
 
