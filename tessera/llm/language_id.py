@@ -45,12 +45,15 @@ BUCKET_BITS, LEXICON_LEAST = 18, 3
 RUN, CONTEXT = 64, 8
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Characters of a word that features see: a longer word keeps its two ends.
+#: Longest word in letters: a longer run (as in scripts without blanks) is cut into words of that length.
 _WIDTH = 20
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) > _WIDTH:
+        words = [w[a:a + _WIDTH] for w in words for a in range(0, len(w), _WIDTH)]
+    return words
 
 
 def has_letter(words: list[str]) -> bool:
@@ -66,8 +69,7 @@ def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.
 
     Prefixes and suffixes of 1 to 3 characters, all bigrams and trigrams with
     the word's edges, and the word itself if it is in the lexicon."""
-    half = _WIDTH // 2
-    marked = ["\x02" + (w if len(w) <= _WIDTH else w[:half] + w[-half:]) + "\x03" for w in words]
+    marked = ["\x02" + w + "\x03" for w in words]
     m = np.array(marked, dtype=f"<U{_WIDTH + 2}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
     n = np.array([len(w) for w in marked])
     row = np.arange(len(words))
@@ -262,8 +264,9 @@ class Labeller:
             out[at[:, CONTEXT:CONTEXT + size][own]] = p[own]
         return out, doc
 
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        found: list[tuple[str, float]] = []
+    def label(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Label, score, and certainty (the mean over words of the largest posterior) of each text."""
+        found: list[tuple[str, float, float]] = []
         for a, b in slices(texts):
             docs = [words_of(t) for t in texts[a:b]]
             docs = [d if has_letter(d) else [] for d in docs]
@@ -271,8 +274,9 @@ class Labeller:
             mass = np.stack([np.bincount(doc, post[:, k], len(docs)) for k in range(self.n)], axis=1)
             total = mass.sum(axis=1)
             top = mass.argmax(axis=1)
-            found += [(self.model.labels[k], float(min(1.0, m[k] / s))) if d else (UNDETERMINED, 0.0)
-                      for d, k, m, s in zip(docs, top, mass, total, strict=True)]
+            sure = np.bincount(doc, post.max(axis=1), len(docs))
+            found += [(self.model.labels[k], float(min(1.0, m[k] / s)), float(min(1.0, c / s))) if d else (UNDETERMINED, 0.0, 0.0)
+                      for d, k, m, s, c in zip(docs, top, mass, total, sure, strict=True)]
         return found
 
 
@@ -283,12 +287,12 @@ def task_labeller(model: Model) -> Labeller:
 
 
 def _labelled(batches, model, text_at):
-    """Batches with two more columns, lang_pred and score."""
+    """Batches with label, score and certainty of their rows; without a model every text is undetermined."""
     labeller = task_labeller(model) if model else None
     for batch in batches:
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
-        got = labeller.label(texts) if labeller else [(UNDETERMINED, 0.0)] * len(texts)
-        yield batch, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())
+        got = labeller.label(texts) if labeller else [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+        yield batch, *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64())))
 
 
 def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -297,21 +301,27 @@ def identify(documents: DataFrame, model: Model | None, id_column: str = "doc_id
     kind = dict(documents.dtypes)[id_column]
 
     def run(batches):
-        for batch, lang, score in _labelled(batches, shipped.value, 1):
+        for batch, lang, score, _ in _labelled(batches, shipped.value, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), lang, score], ["doc_id", "lang_pred", "score"])
 
     return (documents.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
             .mapInArrow(run, f"doc_id {kind}, lang_pred string, score double"))
 
 
-def keep_identified(documents: DataFrame, model: Model | None, least_score: float = 0.4, text_column: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose language is determined with at least this score."""
+def keep_identified(documents: DataFrame, model: Model | None, least_certainty: float = 0.4, text_column: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose text has a letter and whose words are labelled with at
+    least this certainty on average, whatever number of languages they are in. Without a
+    model (no labelled row to learn from) the letter alone decides."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_column)
 
     def run(batches):
-        for batch, lang, score in _labelled(batches, shipped.value, at):
-            good = [x != UNDETERMINED and s >= least_score for x, s in zip(lang.to_pylist(), score.to_pylist(), strict=True)]
+        if shipped.value is None:
+            for batch in batches:
+                yield batch.filter(pa.array([has_letter(words_of(t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+            return
+        for batch, lang, _, certainty in _labelled(batches, shipped.value, at):
+            good = [x != UNDETERMINED and c >= least_certainty for x, c in zip(lang.to_pylist(), certainty.to_pylist(), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
