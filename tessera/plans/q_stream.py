@@ -10,8 +10,9 @@ from tessera.operators import dense, lexical, rerank
 from tessera.plans.q_lexical import TFIDF_TOPK_SQL
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import tfidf_ctes, tokens_sql
-from tessera.session import work_path
+from tessera.session import materialize, work_path
 from tessera.sources.tables import benchmark_queries, load
+from tessera.streaming import ingest
 from tessera.streaming import queries as ST
 
 
@@ -24,17 +25,37 @@ def stream_topk(spark, sf_dir):
     return spark.read.parquet(sink).select("query_id", "doc_id", "score", "rank")
 
 
+def landings(spark, sf_dir, sink, key, delay):
+    """Events land in four parts by time, each with every seventh event of the part before once
+    more (so rows come again, and late), and are ingested as they land: the state carries over."""
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = e.agg(F.min("ts").cast("double").alias("low"), F.max("ts").cast("double").alias("high"))
+    part = F.least(F.floor(4 * (F.col("ts").cast("double") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1.0))), F.lit(3))
+    dealt = materialize(e.crossJoin(F.broadcast(span)).withColumn("part", part).drop("low", "high"), "events-by-part")  # span is one row
+    landed = work_path(spark, "events-landed")
+    for i in range(4):
+        again = dealt.where((F.col("part") == i - 1) & (F.col("event_id") % 7 == 0))
+        dealt.where(F.col("part") == i).unionByName(again).drop("part").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+        ingest.run(stream, sink, key, "ts", delay, lateness="20 days")
+    return ingest.ingested(spark, sink, e.schema, delay)
+
+
 @register("stream_dedupe", sql="SELECT event_id, event_type, value FROM events")
 def stream_dedupe(spark, sf_dir):
-    """ST2: events landing in several files, each covering all times (so most rows are late),
-    a seventh of them twice: every event arrives once in the sink."""
-    e = load(spark, sf_dir, "events")
-    landed = work_path(spark, "events-landed")
-    again = e.where(F.col("event_id") % 7 == 0)
-    rows = e.withColumn("part", F.col("event_id") % 3).unionByName(again.withColumn("part", F.lit(3)))
-    rows.repartition(4, "part").drop("part").write.parquet(landed)
-    sink = ST.stream_dedupe(spark, landed, "event_id", "ts")
-    return spark.read.parquet(sink).select("event_id", "event_type", "value")
+    """ST2: landings with repeated and late events: every event arrives once."""
+    return landings(spark, sf_dir, work_path(spark, "stream-dedupe"), "event_id", "1 hour").select("event_id", "event_type", "value")
+
+
+@register("stream_ingest", sql="""WITH RECURSIVE kept AS (
+  SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL
+  SELECT k.user_id, min(e.ts) AS ts FROM kept k JOIN events e ON e.user_id = k.user_id AND e.ts > k.ts + INTERVAL 6 HOUR GROUP BY k.user_id, k.ts)
+SELECT user_id, ts FROM kept""")
+def stream_ingest(spark, sf_dir):
+    """ST2: of each user's events, one in six hours, over the same landings."""
+    kept = landings(spark, sf_dir, work_path(spark, "stream-ingest"), "user_id", "6 hours")
+    return kept.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @register("ann_lsh_topk")

@@ -1,22 +1,17 @@
-"""Structured Streaming re-aims (ST1, ST2).
+"""Structured Streaming re-aim of the query path (ST1); the ingest (ST2) is in ``ingest``.
 
 ST1: a stream of queries is answered micro-batch by micro-batch against a
 static TF-IDF index (fitted once, written to the shared folder); ranking runs
 inside ``foreachBatch`` because row_number is not allowed on a stream.
-ST2: an incremental ingest of landed rows. A row is dropped if one with its key
-and an event time within ``delay`` of its own came before (in the batch or in the
-sink); rows that arrive late are kept like any other, because the comparison is
-with the sink's own rows near that time and not with state that ages out.
 
-Sources are tables (a file or a folder of part files). Both write batch folders
+Sources are tables (a file or a folder of part files). It writes batch folders
 that a replayed batch overwrites, with the query's checkpoint beside them: the
 same ``run`` name continues where it stopped."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators import lexical
 from tessera.session import work_path
@@ -62,38 +57,3 @@ def stream_topk(spark: SparkSession, table: str, index: lexical.TfidfIndex, k: i
         q = prepare(batch) if prepare else batch
         return lexical.search(index, q, k).select("query_id", index.id_col, "score", "rank")
     return _run(src, sink or work_path(spark, "stream-topk"), answer)
-
-
-def stream_dedupe(spark: SparkSession, table: str, key: str, ts_col: str, delay: str = "1 hour",
-                  sink: str | None = None, max_files: int = 1) -> str:
-    """ST2: ingest without repeats of a key within ``delay``; returns the sink path.
-
-    ``TIMESTAMP_NTZ`` columns are cast to TIMESTAMP (session zone) first."""
-    src = _source(spark, table, max_files)
-    src = src.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    near = F.expr(f"INTERVAL {delay}")
-
-    def fresh(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
-        # within the batch: a row whose predecessor of the same key is within the delay
-        w = Window.partitionBy(key).orderBy(ts_col)
-        before = F.lag(ts_col).over(w)
-        first = batch.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") + near < F.col(ts_col))).drop("_before")
-        stored = _earlier(spark, path, batch.schema, batch_id)
-        if stored is None:
-            return first
-        span = batch.agg(F.min(ts_col).alias("low"), F.max(ts_col).alias("high")).first()  # one row
-        if span["low"] is not None:  # only files of that time are read (row-group statistics)
-            stored = stored.where((F.col(ts_col) >= F.lit(span["low"]) - near) & (F.col(ts_col) <= F.lit(span["high"]) + near))
-        seen = stored.select(F.col(key).alias("_key"), F.col(ts_col).alias("_ts"))
-        close = (F.col("_ts") >= F.col(ts_col) - near) & (F.col("_ts") <= F.col(ts_col) + near)
-        return first.join(seen, (F.col(key) == F.col("_key")) & close, "left_anti")
-    return _run(src, sink or work_path(spark, "stream-dedupe"), fresh)
-
-
-def _earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame | None:
-    """The sink's rows of earlier batches (not what a first try of this batch left)."""
-    folder, fs = _hadoop(spark, path)
-    if not fs.exists(folder):
-        return None
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
-    return rows.where(F.col("batch_id") < batch_id).drop("batch_id")
