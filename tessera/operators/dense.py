@@ -23,8 +23,8 @@ from tessera.session import materialize
 
 METRICS = ("l2", "cosine", "ip")
 MAX_QUERY_BLOCK = 4096
-# Queries scored at once inside a cell.
-STEP = 64
+# Queries scored at once inside a cell, and corpus rows of a cell.
+STEP, MAX_CHUNK = 64, 50_000
 
 
 def _distances(X: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
@@ -83,14 +83,16 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_co
         digits: int = 6, block: int = MAX_QUERY_BLOCK) -> DataFrame:
     """Exact k nearest corpus rows per query: (query_id, id, distance, rank).
 
-    Chunks of the corpus and blocks of queries meet in a grid of cells (an equi-join
+    ``MAX_CHUNK`` bounds a chunk. Chunks of the corpus and blocks of queries meet in a grid of cells (an equi-join
     on the cell), so neither side is broadcast or collected; ids keep their types."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     spark = corpus.sparkSession
     c = corpus.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where("_v is not null")
     q = queries.select(F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v")).where("_v is not null")
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # a cell holds MAX_CHUNK rows or so, however large the corpus (the count reads no vector)
+    rows = corpus.where(F.col(vec_col).isNotNull()).count()
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows // MAX_CHUNK))
     blocks = max(1, -(-q.count() // block))
     c = c.select("*", F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     q = q.select("*", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("_chunk"))

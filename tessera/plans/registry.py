@@ -26,6 +26,7 @@ _MODULES = [
     "tessera.plans.q_more",
     "tessera.plans.q_extra",
     "tessera.plans.q_pruned",
+    "tessera.plans.q_ann",
 ]
 
 
