@@ -26,6 +26,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from .common import WordCodes, by_document, file_bytes, one_per_worker, slices,
 #: bytes of each that are used, and the size of the dictionary. Only the
 #: compression ratio depends on them.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 256, 16_384, 65_536
+#: New chunks that are encoded together.
+GROUP = 128
 #: A block ends after so many documents or so many compressed bytes.
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 1_000_000
 
@@ -54,6 +57,35 @@ _CHUNK = re.compile(r" ?[^\W_]++(?=[\s,.]|\Z)|[,.](?=\s|\Z)| ?\S++|\s+(?!\S)|\s"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+class KeptCodes(WordCodes):
+    """A word cache that, when full, keeps the words used most often (at most half
+    of its limit, and none seen only once) instead of starting again empty."""
+
+    def __init__(self, *args, **more):
+        super().__init__(*args, **more)
+        self.used = np.zeros(0, np.int64)
+
+    def lookup(self, words: list[str]) -> np.ndarray:
+        if len(self.codes) > self.limit:
+            self._shrink()
+        codes = super().lookup(words)
+        used = np.bincount(codes, minlength=len(self.codes))
+        used[:len(self.used)] += self.used
+        self.used = used
+        return codes
+
+    def _shrink(self) -> None:
+        half = self.limit // 2
+        least = max(2, int(np.partition(self.used, -half)[-half]) + 1) if len(self.used) > half else 2
+        keep = self.used >= least
+        words = [w for w, k in zip(self.codes, keep.tolist(), strict=True) if k]  # in the order of their codes
+        values, lengths = self.flat(np.flatnonzero(keep))
+        self.codes = type(self.codes)()
+        self.codes.update(zip(words, range(len(words)), strict=True))
+        self.values, self.starts = values, np.concatenate([self.starts[:1], np.cumsum(lengths, dtype=np.int64)])
+        self.used = self.used[keep] // 2  # older use counts less
+
+
 class IdEncoder:
     """Whole texts to ids, exactly as the tokenizers library gives them.
 
@@ -82,7 +114,7 @@ class IdEncoder:
         self.byte_length = np.zeros(size, np.int64)
         for piece, i in self.tok.get_vocab().items():
             self.byte_length[i] = len(piece)  # byte-level pieces have one character per byte
-        self.cache = WordCodes(self._chunks, dtype=np.int32)
+        self.cache = KeptCodes(self._chunks, dtype=np.int32)
 
     def _special(self, text: str) -> bool:
         return any(a in text for a in self.added) or any(c in text for c in _SEPARATORS)
@@ -91,22 +123,28 @@ class IdEncoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.int64)
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for a in range(0, len(chunks), 128):
-            some = chunks[a:a + 128]
-            got = self._whole("".join(some))
-            ends = np.cumsum(self.byte_length[got])
-            stops = np.cumsum([len(c.encode()) for c in some])
-            at = np.searchsorted(ends, stops, side="right")
-            if len(got) and not np.array_equal(ends[at - 1], stops):
-                # some joint merged: encode these one by one
-                each = [self._whole(c) for c in some]
-                ids += each
-                counts += [len(e) for e in each]
-            else:
-                ids.append(got)
-                counts += np.diff(at, prepend=0).tolist()
-        return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.asarray(counts, np.int64)
+        encode, groups = self.tok.encode, range(0, len(chunks), GROUP)
+        got = [encode("".join(chunks[a:a + GROUP]), add_special_tokens=False).ids for a in groups]
+        flat = np.fromiter(chain.from_iterable(got), np.int64, sum(map(len, got)))
+        ends = np.cumsum(self.byte_length[flat])
+        stops = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        at = np.searchsorted(ends, stops, side="right")  # a group's ids spell its bytes, so groups end together
+        counts = np.diff(at, prepend=0)
+        if len(flat) and not np.array_equal(ends[at - 1], stops):
+            # some joint merged: the chunks of its group are encoded one by one
+            ids, lengths, start = [], [], 0
+            merged = ends[at - 1] != stops
+            for a, one in zip(groups, got, strict=True):
+                if merged[a:a + GROUP].any():
+                    each = [self._whole(c) for c in chunks[a:a + GROUP]]
+                    ids += each
+                    lengths += [len(e) for e in each]
+                else:
+                    ids.append(flat[start:start + len(one)])
+                    lengths += counts[a:a + GROUP].tolist()
+                start += len(one)
+            return np.concatenate(ids), np.asarray(lengths, np.int64)
+        return flat, counts
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
