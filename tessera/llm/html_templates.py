@@ -15,7 +15,10 @@ holds most of the host's text, else the deepest member that does.
 Pass 2 reads that slot on each page: the text of its blocks without the host's
 constant text and without parts that are menus, headers, footers, side bars,
 notices, adverts, forms, comments, scripts or styles by their element or by a
-class, id or role. A slot with a meaning is all elements of that meaning that
+class, id or role. A name alone removes nothing that holds most of a page's text,
+unless the page has an article beside it; names of layouts (``has-sidebar``,
+``sidebar-right-layout``) say nothing, and inside an article a name must be of
+such words only. A slot with a meaning is all elements of that meaning that
 aren't nested in each other. Pages of hosts without a template (too few
 pages), or without the chosen token, fall back on the same choice within the
 page.
@@ -80,6 +83,14 @@ consent gdpr notice notices notification alert popup modal overlay newsletter su
 aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies reply share sharing social
 related recommended recommendations pagination pager widget toolbar masthead topbar skip""".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body text articlebody maincontent".split())
+#: A class with one of these is about the layout of what it encloses.
+LAYOUT_WORDS = frozenset("has no not with without layout".split())
+#: Words that may stand beside boilerplate words in the name of a boilerplate part.
+NEUTRAL_WORDS = frozenset("""area bar block body bottom box button buttons center col column container content footer form global group head
+header heading icon icons inner item items js left link links list main node outer page panel post posts article articles right row
+section site small story stories text title top ui unit wrap wrapper""".split())
+#: A part that its name calls boilerplate is kept if it holds this share of the page's text.
+TOO_MUCH = 0.5
 
 #: What stands for the meaning of a text token.
 TEXT = -1
@@ -93,50 +104,95 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest.strip("/ \t\r\n") else {}
 
 
-def _words(attributes: dict[str, str]) -> list[str]:
-    said = " ".join(attributes.get(k, "") for k in ("class", "id"))
-    return [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).lower()) if w] if said.strip() else []
+def _words(attributes: dict[str, str]) -> list[list[str]]:
+    """The words of each class and of the id."""
+    said = " ".join(attributes.get(k, "") for k in ("class", "id")).split()
+    return [w for w in ([x for x in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x] for name in said) if w]
+
+
+#: Why an element is outside: its kind, or only what it is called.
+KIND, NAME = 2, 1
 
 
 class Element:
-    """An open block element: its token, the token's path, and whether it or an
-    ancestor is boilerplate."""
+    """An open block element: its token, the token's path, what it means, whether it is
+    inside an article, and whether it or an ancestor is boilerplate (known when the page is read)."""
 
-    __slots__ = ("tag", "token", "path", "depth", "meaning", "outside", "start")
+    __slots__ = ("tag", "token", "path", "depth", "meaning", "outside", "start", "end", "parent", "why", "article")
 
     def __init__(self, tag, parent, attributes, start):
-        words = _words(attributes)
-        self.tag, self.start = tag, start
-        self.token = ".".join([tag, *sorted(set(words))])
+        names = _words(attributes)
+        words = {w for name in names for w in name}
+        self.tag, self.start, self.end, self.parent = tag, start, start, parent
+        self.token = ".".join([tag, *sorted(words)])
         self.depth = parent.depth + 1 if parent else 0
         self.path = xxhash.xxh3_64_intdigest(self.token, seed=parent.path if parent else 0)
         role = attributes.get("role", "").lower()
-        self.outside = bool(parent and parent.outside) or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or (
-            tag not in ("body", "html", "main", "article") and not BOILERPLATE_WORDS.isdisjoint(words)) or (
-            tag == "header" and not (parent and parent.within_article()))
-        self.meaning = 0 if self.outside else 3 if tag == "article" else 2 if (
+        inside = bool(parent and parent.article)
+        self.why = 0
+        if tag in BOILERPLATE_TAGS and tag != "form" or role in BOILERPLATE_ROLES and role != "form" or tag == "header" and not inside:
+            self.why = KIND
+        elif tag == "form" or role == "form" or tag not in ("body", "html", "main", "article") and any(
+                not BOILERPLATE_WORDS.isdisjoint(name) and LAYOUT_WORDS.isdisjoint(name)
+                and not (inside and set(name) - BOILERPLATE_WORDS - NEUTRAL_WORDS) for name in names):
+            self.why = NAME
+        self.meaning = 0 if self.why == KIND else 3 if tag == "article" else 2 if (
             tag == "main" or role == "main" or "articlebody" in attributes.get("itemprop", "").lower()) else 1 if (
-            tag in ("div", "section", "td") and not ARTICLE_WORDS.isdisjoint(words)) else 0
-
-    def within_article(self) -> bool:
-        return self.meaning >= 1
+            tag in ("div", "section", "td") and not ARTICLE_WORDS.isdisjoint(words) and not self.why) else 0
+        self.article = inside or self.meaning >= 1
+        self.outside = False
+
+
+def _settle(created: list[Element], texts: list[tuple[int, str, int]]) -> list[bool]:
+    """Decide which elements are outside (parents come before children); the texts in them."""
+    def inherit(spared: frozenset) -> None:
+        for e in created:
+            e.outside = bool(e.parent and e.parent.outside) or e.why == KIND or (e.why == NAME and e not in spared)
+
+    def gone(of) -> np.ndarray:
+        edge = np.zeros(len(texts) + 1, np.int64)
+        for e in created:
+            if of(e):
+                edge[e.start] += 1
+                edge[e.end] -= 1
+        return np.cumsum(edge)[:-1] > 0
+
+    inherit(frozenset())
+    if any(e.why == NAME for e in created):
+        size = np.array([len(t[1].strip()) for t in texts], np.int64)
+        upto = np.concatenate([[0], np.cumsum(np.where(gone(lambda e: e.why == KIND), 0, size))])
+        holds = lambda e: upto[e.end] - upto[e.start]
+        much = [e for e in created if e.why == NAME and holds(e) > 0 and holds(e) >= TOO_MUCH * upto[-1]]
+        # an article beside them (or around them, with text of its own) says that they aren't it
+        clean = np.concatenate([[0], np.cumsum(np.where(gone(lambda e: e.outside), 0, size))])
+        if much and not any(e.meaning and not e.outside and clean[e.end] > clean[e.start] for e in created):
+            inherit(frozenset(much))
+    for e in created:
+        if e.outside:
+            e.meaning = 0
+    return gone(lambda e: e.outside).tolist()
 
 
 def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, str, int]]]:
     """Block elements as (element, first text, end) and the page's texts as (kind, text, path).
 
-    Texts of boilerplate parts are left out. Kind 0 is text that goes on with
+    Texts of boilerplate parts are empty. Kind 0 is text that goes on with
     what stands before it, 1 text that starts a block."""
-    elements: list[tuple[Element, int, int]] = []
+    created: list[Element] = []
     texts: list[tuple[int, str, int]] = []
     stack: list[Element] = []
+    #: open elements by tag, and the places in the stack where a start tag may close something or must stop
+    open_, stops = Counter(), []
     fresh, skip = 1, None
     find = _TOKEN.finditer
 
     def close(count):
         for _ in range(count):
             e = stack.pop()
-            elements.append((e, e.start, len(texts)))
+            e.end = len(texts)
+            open_[e.tag] -= 1
+            if stops and stops[-1] == len(stack):
+                stops.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -146,23 +202,19 @@ def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, st
             if tag is None:
                 part = m[0]
                 if part[0] != "<" or part == "<":
-                    if not (stack and stack[-1].outside):
-                        texts.append((fresh, unescape(part) if "&" in part else part, stack[-1].path if stack else 0))
-                        fresh = 0
+                    texts.append((fresh, unescape(part) if "&" in part else part, stack[-1].path if stack else 0))
+                    fresh = 0
                 continue
             tag = tag.lower()
             if m["end"]:
                 if tag in INLINE:
                     continue
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        close(len(stack) - k)
-                        break
+                if open_[tag]:
+                    close(next(k for k, e in enumerate(reversed(stack), 1) if e.tag == tag))
                 fresh = 1
                 continue
             if tag == "br":
-                if not (stack and stack[-1].outside):
-                    texts.append((0, " ", 0))
+                texts.append((0, " ", 0))
                 continue
             if tag in RAW or (tag == "title" and stack and stack[-1].tag == "head"):
                 if not m[0].endswith("/>"):
@@ -174,14 +226,18 @@ def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, st
                 continue
             if tag in INLINE:
                 continue
-            closes = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
+            closes, down = CLOSES.get(tag, ()), len(stack)
+            for k in reversed(stops):  # one of each kind at most, up to the next scope
                 if stack[k].tag == "p" or stack[k].tag in closes:
-                    close(len(stack) - k)
-                    break
-                if stack[k].tag in SCOPE:
+                    down = k
+                elif stack[k].tag in SCOPE:
                     break
+            close(len(stack) - down)
+            if tag == "p" or tag in CLOSES or tag in SCOPE:
+                stops.append(len(stack))
             stack.append(Element(tag, stack[-1] if stack else None, _attributes(m["rest"]), len(texts)))
+            created.append(stack[-1])
+            open_[tag] += 1
             fresh = 1
         if skip:
             end = re.compile(rf"</{skip}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -189,7 +245,8 @@ def parse(page: str) -> tuple[list[tuple[Element, int, int]], list[tuple[int, st
             continue
         break
     close(len(stack))
-    return elements, texts
+    gone = _settle(created, texts)
+    return [(e, e.start, e.end) for e in created], [(k, "", p) if g else (k, t, p) for (k, t, p), g in zip(texts, gone, strict=True)]
 
 
 def blocks(texts: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
