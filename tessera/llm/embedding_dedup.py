@@ -14,9 +14,10 @@ How many tables and how long a key is chosen per vector length: of the layouts
 in ``LAYOUTS``, the one of least work on the sample whose measured recall is at
 least ``RECALL``. Recall is measured on the sample's own pairs above the
 threshold, by brute force, and on pairs made to lie exactly at the threshold,
-in random directions and in the directions in which the sample varies. If no
-layout reaches it (vectors that share so much of a direction that most are
-near the threshold), the key has no bits: all pairs are compared.
+in random directions and in the directions in which the sample varies. The
+choice is the same at every size. If no layout reaches it (vectors that share so
+much of a direction that most are near the threshold), the key has no bits and
+all pairs are compared; the column ``layout`` names what was used for a row.
 
 A key's classes are worked on in cells of two blocks of at most ``BLOCK``
 classes, so a hot key is many bounded groups; small cells are compared many at
@@ -132,13 +133,10 @@ def trial_pairs(sample: np.ndarray, threshold: float, seed: int = 3) -> list[tup
 
 def choose_tables(sample: np.ndarray, threshold: float, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, projection, tables' bits) of the layout of least work that finds ``RECALL`` of each kind of pair;
-    without one, or if that is less work, one table whose key has no bits."""
+    without one, one table whose key has no bits."""
     mean, projection = rotations(sample)
-    whole = (mean, projection, np.zeros((1, 0), np.int64))
-    best, least = whole, SPOT_WORK * classes + classes**2 / 2
+    best, least = (mean, projection, np.zeros((1, 0), np.int64)), np.inf
     pairs = trial_pairs(sample, threshold)
-    if not pairs:
-        return whole
     for tables, key_bits in LAYOUTS:
         if key_bits >= projection.shape[1] or SPOT_WORK * classes * tables >= least:
             continue
@@ -151,6 +149,12 @@ def choose_tables(sample: np.ndarray, threshold: float, classes: int) -> tuple[n
     return best
 
 
+def layout_of(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> str:
+    """The layout's name in the output."""
+    tables, bits = model[2].shape
+    return f"{tables} tables of {bits} bits" if bits else "all pairs"
+
+
 def table_keys(unit: np.ndarray, models: dict, dim: int) -> np.ndarray:
     """The key of every vector (unit rows) in every table."""
     mean, projection, chosen = models[dim]
@@ -266,7 +270,7 @@ def _rotations(classes: DataFrame, threshold: float) -> dict:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id",
                     vector_column: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+    """vec_id, n_links, component_id, kept, layout (how its partners were looked for; null if it can't link) of every row."""
     spark = vectors.sparkSession
     rows = stored(classes_of(vectors, id_column, vector_column), "emb-rows")
     known = rows.where("digest is not null")
@@ -314,7 +318,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_column: str
         "digest", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # stored, so that a hot class's side of the join is a plain shuffle, which Spark can split
     result = stored(result, "emb-result")
-    out = rows.select("vec_id", "digest").join(result, "digest", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    named = F.lit(None).cast("string")
+    if models:
+        layouts = F.create_map(*[F.lit(x) for dim, model in sorted(models.items()) for x in (dim, layout_of(model))])
+        named = F.when(F.col("digest").isNotNull(), F.try_element_at(layouts, "dim"))
+    out = rows.select("vec_id", "digest", named.alias("layout")).join(result, "digest", "left").select(
+        "vec_id", "layout", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "layout")

@@ -81,6 +81,29 @@ def test_embedding_duplicates_equal_brute_force(vectors):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_tables_find_the_links_of_the_given_vectors(spark, sf):
+    """Through Hamming tables (not by comparing all pairs), against brute force."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
+    unit = np.stack([v / np.linalg.norm(v) for _, v in rows])
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in E.near_duplicates(df).collect()}
+    assert {r.layout.split()[1] for r in got.values()} == {"tables"}
+    assert all(got[i].n_links <= n for (i, _), n in zip(rows, links, strict=True))
+    assert sum(r.n_links for r in got.values()) >= 0.9 * links.sum()
+
+
+def test_vectors_that_no_layout_separates_are_compared_exactly_and_named(spark):
+    a, _ = shifted_pairs(8, 0.97, 300)
+    rows = [(i, v.tolist()) for i, v in enumerate(a)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    if {r.layout for r in got} == {"all pairs"}:
+        assert sum(r.n_links for r in got) == int((a @ a.T >= 0.95).sum()) - len(a)
+    else:
+        assert sum(r.n_links for r in got) >= 0.95 * (int((a @ a.T >= 0.95).sum()) - len(a))
+
+
 def test_recall_near_the_threshold():
     """Share of pairs at cosine 0.955 that meet in a table."""
     rng = np.random.default_rng(1)
@@ -211,3 +234,83 @@ def test_all_sibling_articles_and_no_tiny_named_block(spark, pages):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for i, said in want.items():
         assert [line for line in got[i].split("\n") if line in said] == said, rows[i % 10]
+
+
+def wrapped(body, said):
+    """Pages whose article stands in something with a boilerplate word in its name, by name."""
+    return {"has": f'<div class="content has-sidebar">{body}</div>', "no": f'<div id=page class="no-sidebar">{body}</div>',
+            "layout": f'<main><div class="col-main sidebar-right-layout">{body}</div></main>', "form": f'<form id=aspnet>{body}</form>',
+            "named": f'<div class="promo"><div class="q">{body}</div></div>', "header": f"<article><div><header><h1>{said}</h1></header>{body}</div></article>",
+            "related": f'<article>{body}<section class="related-work"><p>{said}</p></section></article>',
+            "social": f'<div class="social-page"><article>{body}</article></div>', "newsletter": f'<body class="newsletter"><article>{body}</article>'}
+
+
+@pytest.mark.parametrize("pages", [1, 5])
+def test_articles_in_wrappers_with_boilerplate_words_stay(spark, pages):
+    rng, rows, want = random.Random(10), [], {}
+    for n in range(pages):
+        said = [sentence(rng, 40) for _ in range(3)]
+        extra = sentence(rng, 6)
+        around = ('<nav>Menu</nav><aside>Side</aside><div class="cookie-notice">Accept?</div>', '<div class="sidebar">Latest</div><footer>End</footer>')
+        for k, (name, html) in enumerate(wrapped("".join(f"<p>{x}</p>" for x in said), extra).items()):
+            rows.append((100 * n + k, f"http://{name}.example/{n}", f"<html><body>{around[0]}{html}{around[1]}</body></html>"))
+            want[100 * n + k] = "\n".join([extra] * (name == "header") + said + [extra] * (name == "related"))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_boilerplate_that_holds_most_of_the_text_goes_if_there_is_an_article():
+    rng = random.Random(11)
+    talk = "".join(f"<article><p>{sentence(rng, 60)}</p></article>" for _ in range(5))
+    assert H.main_text(f"<body><article><p>short piece</p></article><section id=comments>{talk}</section></body>", None) == "short piece"
+    inside = f'<article><p>short piece</p><div class="comments-area">{talk}</div><div class="share-links">Share</div></article>'
+    assert H.main_text(f"<body>{inside}</body>", None) == "short piece"
+
+
+def test_parse_time_is_linear():
+    import time
+
+    for page in ("<div>" * 5_000 + "</p>" * 20_000, "<center>" * 20_000 + "<p>x" * 20_000, "<p>" + "<h1>" * 20_000 + "</h2>" * 20_000,
+                 "<ul>" + "<li><b>x" * 30_000, "<table>" + "<tr><td>y" * 20_000, '<div class="ad">' * 3_000 + "x"):
+        began = time.process_time()
+        H.main_text(page, None)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_templates_equal_brute_force(spark):
+    """Occurrence vectors compared as such, page by page, instead of by signatures."""
+    rng = random.Random(12)
+    rows = []
+    for host in "abc":
+        for n in range(rng.randint(2, 9)):
+            side = "".join(f"<div class=s{k}><p>fixed {k}</p></div>" for k in range(3) if rng.random() < 0.9)
+            inside = "".join(f"<p>{sentence(rng, 20)}</p>" for _ in range(rng.randint(1, 4)))
+            rows.append((len(rows), f"http://{host}.example/", f"<html><body>{side}<div class=zz>{inside}</div></body></html>", f"{host}.example", len(rows)))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, mark bigint")
+    got = {r.host: (r.main_path, r.meaning, sorted(r.constant)) for r in H.templates(H.tokens(df)).collect()}
+    want = {}
+    for host in {r[3] for r in rows}:
+        pages = [H.page_tokens(r[2]) for r in rows if r[3] == host]
+        vector = {t: tuple(p[t][0] if t in p else 0 for p in pages) for p in pages for t in p}
+        every = sum(p[0][1] for p in pages)
+        best, constant, size = None, [], 0
+        for t, v in vector.items():
+            seen = sum(x > 0 for x in v)
+            if t == 0 or seen < H.LEAST_PAGES:
+                continue
+            chars = sum(p[t][1] for p in pages if t in p)
+            meaning = max(p[t][2] for p in pages if t in p)
+            meant = meaning > 0 and chars >= H.MEANT_TEXT * every
+            mates = sum(u == v for k, u in vector.items() if k != 0)
+            if seen < H.SUPPORT * len(pages) or chars == 0 or not (max(v) == 1 and mates >= H.LEAST_TOKENS or meant):
+                continue
+            if meaning == H.TEXT:
+                constant.append(t)
+                size += chars
+                continue
+            big = chars >= H.MOST_TEXT * every
+            depth = max(p[t][3] for p in pages if t in p)
+            best = max(best or (), (meaning if meant else 0, int(big), depth if big else 0, chars, t))
+        if best:
+            want[host] = (best[4], best[0], [] if size >= H.MOST_TEXT * every else sorted(constant))
+    assert got == want and got
