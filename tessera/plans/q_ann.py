@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ann, dense
-from tessera.plans.q_dense import L2_SQL, TOPK, _dense_sql
+from tessera.operators import ann, dense, pivots
+from tessera.plans.q_dense import COS_SQL, L2_SQL, TOPK, _dense_sql
 from tessera.plans.registry import register
 from tessera.session import materialize
 from tessera.sources.tables import load
@@ -34,3 +34,24 @@ def ann_recall(spark, sf_dir):
     per_query = ann.recall(found, exact, id_col="vec_id")
     return per_query.agg(F.count(F.lit(1)).alias("queries"), F.sum("neighbours").alias("neighbours"),
                          (F.sum("hits") >= 0.9 * F.sum("neighbours")).alias("recalled"))
+
+
+@register("dense_topk_l2_pivots", sql=_dense_sql(L2_SQL))
+def dense_topk_l2_pivots(spark, sf_dir):
+    """Exact neighbours by pivots and rings; equals ``dense_topk_l2``."""
+    e, q = vectors_and_queries(spark, sf_dir)
+    return pivots.search(pivots.build(e, id_col="vec_id"), q, TOPK).select("query_id", "vec_id", "distance", "rank")
+
+
+@register("dense_topk_cosine_pivots", sql=_dense_sql(COS_SQL))
+def dense_topk_cosine_pivots(spark, sf_dir):
+    """The same by cosine; equals ``dense_topk_cosine``."""
+    e, q = vectors_and_queries(spark, sf_dir)
+    return pivots.search(pivots.build(e, id_col="vec_id", metric="cosine"), q, TOPK).select("query_id", "vec_id", "distance", "rank")
+
+
+@register("pivot_rings")
+def pivot_rings(spark, sf_dir):
+    """Rings and rows read for the nearest neighbours of every label's centroid (no SQL twin: it depends on the pivots)."""
+    e, q = vectors_and_queries(spark, sf_dir)
+    return pivots.rings_read(pivots.build(e, id_col="vec_id"), q, TOPK)
