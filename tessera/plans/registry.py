@@ -27,6 +27,8 @@ _MODULES = [
     "tessera.plans.q_extra",
     "tessera.plans.q_pruned",
     "tessera.plans.q_ann",
+    "tessera.plans.q_needles",
+    "tessera.plans.q_models",
 ]
 
 
