@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import charlm
+from tessera.operators import charlm, classifier, guard
+from tessera.plans.q_dense import DIM, hash_features_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load
 
@@ -40,3 +41,54 @@ def gibberish_lm(spark, sf_dir):
     """V2: mean log-probability of every conversation turn under the documents' character model."""
     model = charlm.fit(load(spark, sf_dir, "documents"))
     return charlm.score(load(spark, sf_dir, "conversations"), model, ["conv_id", "turn"]).select("conv_id", "turn", F.col("score"))
+
+
+def log_odds(features, labels, dim):
+    """Weights without a fit: smoothed log-odds of the mean absolute value of a bucket in either class."""
+    both = features.join(labels, "doc_id").groupBy("idx").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.abs("value")).otherwise(0.0)).alias("one"), F.sum(F.when(F.col("toxic") == 0, F.abs("value")).otherwise(0.0)).alias("zero"))
+    return both.select("idx", F.log((F.col("one") + 0.1) / (F.col("zero") + 0.1)).alias("w"))
+
+
+@register("linear_scores", sql=f"""
+WITH {hash_features_sql('d', 'documents', 'doc_id', 'text')},
+w AS (SELECT idx, ln((sum(CASE WHEN toxic = 1 THEN abs(value) ELSE 0 END) + 0.1) / (sum(CASE WHEN toxic = 0 THEN abs(value) ELSE 0 END) + 0.1)) AS w
+  FROM d_f JOIN labels ON doc_id = id GROUP BY idx),
+m AS (SELECT id, sum(value * w) AS m FROM d_f JOIN w USING (idx) GROUP BY id)
+SELECT doc_id, round(1 / (1 + exp(-coalesce(m, 0))), 6) AS score FROM documents LEFT JOIN m ON id = doc_id""")
+def linear_scores(spark, sf_dir):
+    """V3, V6: every document scored from a table of weights (log-odds of the labelled documents' buckets)."""
+    docs = load(spark, sf_dir, "documents")
+    features = classifier.features_of(docs, dim=DIM)
+    return classifier.scores(features, docs, log_odds(features, load(spark, sf_dir, "labels"), DIM), 0.0)
+
+
+def toxic_model(spark, sf_dir):
+    """A model of the labelled documents that aren't held out."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    kept = labels.where(~classifier.held_out("doc_id"))
+    return classifier.fit(classifier.features_of(docs.join(kept.select("doc_id"), "doc_id", "left_semi")), kept, label_col="toxic")
+
+
+@register("trained_guard_eval")
+def trained_guard_eval(spark, sf_dir):
+    """V3, V6: the trained scanner on the held-out fifth of the labelled documents, as counts of
+    label and verdict (no SQL twin: the weights are fitted)."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").where(classifier.held_out("doc_id"))
+    model = toxic_model(spark, sf_dir)
+    tested = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    found = classifier.scores(classifier.features_of(tested), tested, model.weights, model.intercept)
+    verdict = tested.select("doc_id", "toxic").join(found, "doc_id").withColumn("flagged", ~classifier.scanner("score")["is_valid"])
+    return verdict.groupBy("toxic", "flagged").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("output_verdict_trained")
+def output_verdict_trained(spark, sf_dir):
+    """V6, V7: output scanners on assistant turns with the trained scanner in the place of the bias
+    scanner (no SQL twin: the weights are fitted)."""
+    model = toxic_model(spark, sf_dir)
+    turns = load(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    turns = turns.withColumn("doc_id", F.concat_ws(":", "conv_id", "turn"))
+    found = classifier.scores(classifier.features_of(turns), turns, model.weights, model.intercept)
+    v = guard.verdict(turns.join(found, "doc_id"), guard.output_scanners(F.col("text"), bias=classifier.scanner("score")))
+    return v.select("conv_id", "turn", F.col("guard_valid").alias("is_valid"), F.col("guard_reason").alias("reason"))
