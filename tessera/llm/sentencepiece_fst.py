@@ -28,6 +28,7 @@ repeated rows and extra columns need no rule; empty tables give empty results.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
@@ -294,8 +295,11 @@ class Fst:
         return [i for part in reversed(out) for i in part]
 
     def path(self, unit: str) -> list[int]:
-        """Ids on the shortest path of a normalised unit."""
-        return self._path_bpe(unit) if self.type == BPE else self._path_unigram(unit)
+        """Ids on the shortest path of a normalised unit; a run of unknown characters is one unknown id."""
+        ids = self._path_bpe(unit) if self.type == BPE else self._path_unigram(unit)
+        if not self.byte_ids and self.unknown in ids:
+            ids = [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != self.unknown]
+        return ids
 
     # --- whole texts ------------------------------------------------------------------
 
@@ -310,8 +314,38 @@ class Fst:
         return self.unit.findall(self.normalise(text))
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        """The text of any ids, as the library gives it: a replacement character for each byte that isn't
+        part of a character, and no leading blank in the first piece that has a text."""
+        if not ids:
+            return ""
+        first = ids[0]
+        try:  # most often all bytes are whole characters and the first piece is an ordinary one
+            if self.kinds[first] in (NORMAL, USER) and self.surface[first] != b" ":
+                text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8")
+                return text[1:] if (self.dummy_prefix or self.collapse) and text.startswith(" ") else text
+        except UnicodeDecodeError:
+            pass
+        parts: list[str] = []
+        run, begins, stripped = bytearray(), True, False
+        for i in ids:
+            if self.kinds[i] == BYTE:
+                run += self.surface[i]
+                continue
+            if run:
+                parts.append(run.decode("utf-8", "one-for-each-byte"))
+                run.clear()
+            if begins:
+                begins = not stripped and not any(parts)
+            piece = self.surface[i].decode()
+            stripped = False
+            if begins and self.kinds[i] in (NORMAL, USER) and (self.dummy_prefix or self.collapse) and piece.startswith(" "):
+                piece, stripped = piece[1:], not self.collapse
+            parts.append(piece)
+        out = "".join(parts)
+        return out + run.decode("utf-8", "one-for-each-byte") if run else out
+
+
+codecs.register_error("one-for-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class Encoder:

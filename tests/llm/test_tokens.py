@@ -49,6 +49,40 @@ def test_transducer_equals_library(fst, sp, rows):
     assert [fst.decode(x) for x in got] == sp.decode(got)
 
 
+def test_decoding_any_ids_equals_library(fst, sp):
+    import random
+
+    rng = random.Random(11)
+    of_bytes = [fst.byte_ids[b] for b in (0xE2, 0x82, 0xAC, 0x41, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xC0, 0xFF, 0x20)]
+    special = [0, 1, 2, sp.piece_to_id("▁"), sp.piece_to_id("▁the"), sp.piece_to_id("the")]
+    for _ in range(4_000):
+        ids = [rng.choice(rng.choice([of_bytes, special, range(sp.get_piece_size())])) for _ in range(rng.randint(0, 8))]
+        assert fst.decode(ids) == sp.decode(ids), ids
+
+
+def test_runs_of_unknown_characters_equal_library():
+    """A small unigram model without byte fallback."""
+    import sentencepiece
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, value):
+        return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3) + varint(value)
+
+    import struct
+
+    body = field(1, field(1, b"<unk>") + field(3, 2)) + field(1, field(1, b"<s>") + field(3, 3)) + field(1, field(1, b"</s>") + field(3, 3))
+    for p, s in {"▁": -2.0, "a": -3.0, "l": -3.0, "p": -3.0, "h": -3.0, "b": -3.0, "e": -3.0, "t": -3.0, "▁alpha": -4.0, "beta": -4.0}.items():
+        body += field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s))
+    model = body + field(2, field(3, 1)) + field(3, field(1, b"identity"))
+    fst, sp = S.Fst(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    for text in ("alpha 日本語 beta", "日本", "a日b本本 語", "alpha  beta ", "語語alpha"):
+        ids = [i for u in fst.units(text) for i in fst.path(u)]
+        assert ids == sp.encode(text), text
+        assert fst.decode(ids) == sp.decode(ids)
+
+
 def test_unigram_shortest_path_is_optimal():
     """A small unigram machine against trying every cut."""
     from itertools import combinations
