@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import render
-from tessera.operators import dense
+from tessera.operators import collection, dense
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import grams_cte
 from tessera.session import materialize, work_path
@@ -100,13 +100,16 @@ def dense_review_topk(spark, sf_dir):
         "query_id", "doc_id", "distance", "rank")
 
 
-@register("vector_upsert", sql=f"""WITH {hash_features_sql('d', 'documents', 'doc_id', 'text')},
+UPSERT_SQL = f"""WITH {hash_features_sql('d', 'documents', 'doc_id', 'text')},
 {hash_features_sql('b', 'benchmark', 'item_id', 'text')},
 dn AS (SELECT id, sum(sign(value) * (idx + 1)) AS v FROM d_f GROUP BY id), bn AS (SELECT id, sum(sign(value) * (idx + 1)) AS v FROM b_f GROUP BY id)
 SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS BIGINT) AS idx, length(text) AS n_chars, CAST(coalesce(v, 0) AS BIGINT) AS vector_signs
 FROM documents LEFT JOIN dn ON dn.id = doc_id
 UNION ALL
-SELECT 'b' || CAST(item_id AS VARCHAR), CAST(item_id AS BIGINT), length(text), CAST(coalesce(v, 0) AS BIGINT) FROM benchmark LEFT JOIN bn ON bn.id = item_id""")
+SELECT 'b' || CAST(item_id AS VARCHAR), CAST(item_id AS BIGINT), length(text), CAST(coalesce(v, 0) AS BIGINT) FROM benchmark LEFT JOIN bn ON bn.id = item_id"""
+
+
+@register("vector_upsert", sql=UPSERT_SQL)
 def vector_upsert(spark, sf_dir):
     """R8 + K2 + S6: build a collection from the review documents, then add the
     same rows again (skipped: ids exist) plus the benchmark items (new ids)."""
@@ -122,8 +125,30 @@ def vector_upsert(spark, sf_dir):
     second = (dense.collection_rows(b.join(bemb, "item_id", "left"), "item_id", "text", "embedding")
               .withColumn("id", F.concat(F.lit("b"), F.col("id"))))
     dense.add_to_collection(path, second)
-    coll = dense.read_collection(spark, path)
+    return _collection_digest(dense.read_collection(spark, path))
+
+
+def _collection_digest(coll):
     # a position-weighted sum of the components' signs stands for the stored vector
     weighted = F.aggregate(F.transform("embedding", lambda x, i: F.signum(x.cast("double")) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return coll.select("id", F.col("metadata.index").alias("idx"), F.length("text").cast("long").alias("n_chars"),
                        F.coalesce(weighted, F.lit(0.0)).cast("bigint").alias("vector_signs"))
+
+
+@register("vector_upsert_bucketed", sql=UPSERT_SQL)
+def vector_upsert_bucketed(spark, sf_dir):
+    """R8 + K2 + S6: the same collection as a bucketed table: something else is there before and is
+    dropped, the review documents are added twice (skipped), the benchmark items and the documents once more."""
+    path = work_path(spark, "bucketed-collection")
+    docs, b = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    emb, bemb = dense.hash_embed(docs, "doc_id", "text", DIM), dense.hash_embed(b, "item_id", "text", DIM)
+    items = dense.collection_rows(b.join(bemb, "item_id", "left"), "item_id", "text", "embedding")
+    old = collection.open_collection(spark, path)
+    collection.add(spark, old, items)
+    rows = materialize(dense.collection_rows(docs.select("doc_id", "text").join(emb, "doc_id", "left"), "doc_id", "text", "embedding"), "collection-rows")
+    spark.sql(f"DROP TABLE {old}")
+    name = collection.open_collection(spark, path, recreate=True)
+    collection.add(spark, name, rows)
+    collection.add(spark, name, rows)
+    collection.add(spark, name, items.withColumn("id", F.concat(F.lit("b"), F.col("id"))).unionByName(rows))
+    return _collection_digest(spark.table(name))

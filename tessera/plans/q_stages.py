@@ -344,6 +344,25 @@ def dynamic_k_topk(spark, sf_dir):
         "query_id", "doc_id", "score", "rank", "course_k")
 
 
+#: Most documents of a source that an adjusted retrieval asks for in ``capped_k``.
+ADJUSTED_CAP = 4
+
+
+@register("capped_k", sql=f"""
+WITH k0 AS (SELECT item_id, {DK_SQL_STRAT} AS sr0 FROM benchmark),
+k AS (SELECT item_id, CASE WHEN {strict_sql('sr0')} THEN sr0 END AS sr FROM k0),
+kk AS (SELECT item_id, json_extract(sr, '$.course_k') IS NOT NULL AND json_extract(sr, '$.review_k') IS NOT NULL AS ok, sr FROM k)
+SELECT item_id AS query_id, least(CASE WHEN ok THEN CAST(json_extract(sr, '$.course_k') AS INTEGER) ELSE 5 END, {ADJUSTED_CAP}) AS course_k,
+  least(CASE WHEN ok THEN CAST(json_extract(sr, '$.review_k') AS INTEGER) ELSE 5 END, {ADJUSTED_CAP}) AS review_k FROM kk""")
+def capped_k(spark, sf_dir):
+    """Each query's k for either source, limited to the cap of an adjusted retrieval."""
+    q = benchmark_queries(spark, sf_dir)
+    strat = q.select("query_id", F.when(F.col("query_id") % 5 == 0, F.lit("not json")).otherwise(
+        F.concat(F.lit('{"course_k": '), (F.col("query_id") % 7 + 1).cast("string"), F.lit(', "review_k": 3}')))
+        .alias("response")).withColumn("stage", F.lit("strategy")).withColumn("attempt", F.lit(0))
+    return G.strategy(q.select("query_id"), strat, 0, cap=ADJUSTED_CAP).select("query_id", "course_k", "review_k")
+
+
 ERR = "'I apologize, but I encountered an error: ' || {m} || '. Please try rephrasing your question.'"
 
 

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import dense, lexical, rerank
+from tessera.plans.q_filters import course_docs
+from tessera.plans.q_guard import INPUT_REASON_SQL, input_flags_sql
 from tessera.plans.q_lexical import TFIDF_TOPK_SQL
+from tessera.plans.q_rerank import course_retrieve_sql
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import tfidf_ctes, tokens_sql
 from tessera.session import materialize, work_path
-from tessera.sources.tables import benchmark_queries, load
+from tessera.sources.tables import as_course_queries, benchmark_queries, course_queries_sql, load
 from tessera.streaming import ingest
 from tessera.streaming import queries as ST
 
 
+STREAM_K = 5
+
+
 @register("stream_topk", sql=TFIDF_TOPK_SQL)
 def stream_topk(spark, sf_dir):
     """ST1: benchmark items arrive as a file stream; each micro-batch is answered
@@ -25,6 +31,20 @@ def stream_topk(spark, sf_dir):
     return spark.read.parquet(sink).select("query_id", "doc_id", "score", "rank")
 
 
+@register("stream_courses", sql=f"""WITH {course_retrieve_sql(STREAM_K)},
+g AS (SELECT query_id, g_ok AND b_ok AND p_ok AND t_ok AS ok, {INPUT_REASON_SQL} AS reason FROM (
+  SELECT query_id, {input_flags_sql('query')} FROM {course_queries_sql()}))
+SELECT cr.query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS reason FROM cr JOIN g ON g.query_id = cr.query_id WHERE ok
+UNION ALL SELECT query_id, NULL, NULL, NULL, reason FROM g WHERE NOT ok""")
+def stream_courses(spark, sf_dir):
+    """ST1: course questions arrive as a file stream and take the whole path (guard, parts,
+    enhancement, search, post-filter); equals the batch path."""
+    docs = course_docs(spark, sf_dir)
+    index = lexical.fit_tfidf(docs, persist=True)
+    sink = ST.stream_courses(spark, f"{sf_dir}/benchmark.parquet", docs, index, STREAM_K, as_course_queries)
+    return spark.read.parquet(sink).select("query_id", "doc_id", "score", "rank", "reason")
+
+
 def landings(spark, sf_dir, sink, key, delay):
     """Events land in four parts by time, each with every seventh event of the part before once
     more (so rows come again, and late), and are ingested as they land: the state carries over."""

@@ -105,7 +105,11 @@ COURSE_QUESTION_SUFFIXES = [
 
 
 def course_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = load(spark, sf_dir, "benchmark")
+    return as_course_queries(load(spark, sf_dir, "benchmark"))
+
+
+def as_course_queries(b: DataFrame) -> DataFrame:
+    """(query_id, query) from benchmark rows (a table or a batch of a stream)."""
     n = len(COURSE_QUESTION_SUFFIXES)
     suffix = F.element_at(F.array(*[F.lit(s) for s in COURSE_QUESTION_SUFFIXES]),
                           (F.col("item_id") % n + 1).cast("int"))

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import lexical
-from tessera.session import work_path
+from tessera.operators import guard, lexical
+from tessera.plans import pipelines
+from tessera.session import materialize, work_path
 
 
 def _batch_writer(path: str, fn):
@@ -57,3 +58,18 @@ def stream_topk(spark: SparkSession, table: str, index: lexical.TfidfIndex, k: i
         q = prepare(batch) if prepare else batch
         return lexical.search(index, q, k).select("query_id", index.id_col, "score", "rank")
     return _run(src, sink or work_path(spark, "stream-topk"), answer)
+
+
+def stream_courses(spark: SparkSession, table: str, docs: DataFrame, index: lexical.TfidfIndex, k: int, as_queries,
+                   sink: str | None = None, max_files: int = 1) -> str:
+    """ST1, the whole query path: each batch goes through the input guard, is structured and
+    enhanced, searched, and post-filtered, as ``course_retrieve`` does for a table; a blocked
+    query gets one row with its reason. ``as_queries`` turns a batch into (query_id, query)."""
+    def answer(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+        # a replayed batch may read its files anew, so the verdict is written once
+        checked = materialize(guard.verdict(as_queries(batch), guard.input_scanners(F.col("query"))).drop("guard_results"), "stream-checked")
+        hits = pipelines.course_retrieve(docs, checked.where("guard_valid").select("query_id", "query"), k, index)
+        blocked = checked.where(~F.col("guard_valid")).select("query_id", F.col("guard_reason").alias("reason"))
+        return hits.select("query_id", index.id_col, "score", "rank", F.lit(None).cast("string").alias("reason")).unionByName(
+            blocked, allowMissingColumns=True)
+    return _run(_source(spark, table, max_files), sink or work_path(spark, "stream-courses"), answer)
