@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Longest phrase in words; words of a shard (a longer text makes a larger one) and of a group of shards.
-DEPTH, SHARD_TOKENS, GROUP_TOKENS = 5, 3_000_000, 12_000_000
+DEPTH, SHARD_TOKENS, GROUP_TOKENS = 5, 2_000_000, 6_000_000
 #: Bytes of a text that are cut into words at a time.
 SLICE_BYTES = 1_000_000
 #: A place is shard (or a group's first shard) << PLACE_BITS | row; a shard is task << SHARD_BITS | its number there.
@@ -109,15 +109,20 @@ def _ahead(x: np.ndarray, by: int) -> np.ndarray:
 
 def suffix_order(a: np.ndarray) -> np.ndarray:
     """Positions of ``a`` sorted by the ``DEPTH`` numbers from there on, by doubling."""
-    rank, width = a, 1
+    rank, width, order = a, 1, None
     while width < DEPTH:
         step = min(width, DEPTH - width)
-        key = rank * (int(rank.max()) + 1) + _ahead(rank, step)  # windows may overlap: together they span width + step
+        key = rank * (int(rank.max()) + 1)
+        key += _ahead(rank, step)  # windows may overlap: together they span width + step
+        del rank, order
         order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        rank = np.empty(len(a), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
         width += step
+        key = key[order]
+        new = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        del key
+        rank = np.empty(len(a), np.int64)
+        rank[order] = new
+        del new
     return order
 
 
@@ -232,6 +237,7 @@ def _extend(level: int):
             levels.append(Level(known["number"][own], levels[-1].code(k1, k2)))
         counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {level: [], 5: []}
         for shard, packed in zip(left.column("shard").to_pylist(), left.column("transform"), strict=True):
+            pa.default_memory_pool().release_unused()
             index, own = Index(packed.as_py()), of[0] & (known["shard"] == shard)
             at = index.owners(known["start"][own], known["n"][own], levels[0].ranks(known["number"][own]))
             for before, here in zip(levels, levels[1:], strict=False):
@@ -274,13 +280,13 @@ def frequent(documents: DataFrame, least: int = 100, text_column: str = "text",
     groups = index.select("shard", "lang", F.floor(so_far / GROUP_TOKENS).alias("run"))
     groups = stored(groups.select("shard", F.min("shard").over(Window.partitionBy("lang", "run")).alias("home")), "fm-groups")
     entry = F.arrays_zip("words", "starts", "sizes")
-    words = index.select("shard", "lang", F.explode(entry).alias("e")).select(
-        "shard", "lang", F.col("e.words").alias("word"), F.col("e.starts").cast("bigint").alias("start"), F.col("e.sizes").cast("bigint").alias("n"))
+    words = index.join(groups, "shard").select("shard", "home", "lang", F.explode(entry).alias("e")).select(
+        "shard", "home", "lang", F.col("e.words").alias("word"), F.col("e.starts").cast("bigint").alias("start"), F.col("e.sizes").cast("bigint").alias("n"))
     words = words.withColumn("place", F.shiftleft("shard", PLACE_BITS) + F.col("start"))
     words = stored(_summed(words, ["lang", "word"], least), "fm-words")
     held = index.select("shard", "transform").join(groups, "shard").select(F.col("home").alias("group"), "shard", "transform")
     nothing = F.lit(-1).cast("bigint")
-    known = words.select("shard", F.lit(1).alias("size"), "start", "n", nothing.alias("k1"), nothing.alias("k2"), "number").join(groups, "shard")
+    known = words.select("shard", F.lit(1).alias("size"), "start", "n", nothing.alias("k1"), nothing.alias("k2"), "number", "home")
 
     def meet(level: int) -> DataFrame:
         return held.groupBy("group").cogroup(known.groupBy("home")).applyInArrow(
