@@ -4,11 +4,17 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``documents``.
 
-1. language ID: documents without a determined language go;
+1. language ID: documents without a letter, or whose words have no certain language, go;
 2. MinHash near-dedup: one document of each group of copies stays;
 3. secret scans: secret values in the texts are replaced by marks;
 4. mixing: rows are repeated or left out so that sources meet their targets;
 5. SentencePiece: ids of every text, checked by decoding them.
+
+Defined results: null and empty texts go in the first stage (no letter); null ids, langs
+and sources are kept as they are (a null source is a source of its own, a null lang never
+trains); repeated rows are copies, of which one stays; extra columns, whatever their names,
+go along to the fourth stage; without a labelled row the first stage keeps every text with
+a letter; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -53,8 +59,9 @@ STAGES = [
     ("sentencepiece", encode_texts),
 ]
 
-#: SQL can't express the fitted model, the sketches and the lexer; tests hold the
-#: pipeline against the stages' brute-force versions.
+#: SQL can't express the fitted model, the sketches and the lexer; tests hold each stage
+#: against a plain version of its own (all pairs by edit distance, the base patterns, the
+#: targets by water filling, the library).
 ORACLE_SQL = None
 
 
