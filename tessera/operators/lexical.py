@@ -100,6 +100,11 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # cf (collection frequency) reads tf, so this branch keeps the same tf
     # aggregate as the weight branch and the shuffle of tf is reused, not redone.
     counts = tf_all.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index_of_counts(tf_all, counts, id_col, ngram_max, persist)
+
+
+def index_of_counts(tf_all: DataFrame, counts: DataFrame, id_col: str, ngram_max: int = 2, persist: bool = False) -> TfidfIndex:
+    """The index of written term counts (id, term, tf, with sentinels) and their (term, df, cf)."""
     n_docs = counts.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("double")).scalar()
     vocab = (counts.where(F.col("term") != DOC_SENTINEL)
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
