@@ -29,6 +29,7 @@ _MODULES = [
     "tessera.plans.q_ann",
     "tessera.plans.q_needles",
     "tessera.plans.q_models",
+    "tessera.plans.q_plugins",
 ]
 
 
