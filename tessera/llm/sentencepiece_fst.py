@@ -320,7 +320,7 @@ class Fst:
             return ""
         first = ids[0]
         try:  # most often all bytes are whole characters and the first piece is an ordinary one
-            if self.kinds[first] in (NORMAL, USER) and self.surface[first] != b" ":
+            if self.kinds[first] in (NORMAL, USER) and (self.surface[first] != b" " or not self.collapse):
                 text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8")
                 return text[1:] if (self.dummy_prefix or self.collapse) and text.startswith(" ") else text
         except UnicodeDecodeError:
