@@ -9,6 +9,8 @@ go to the lower id, so the result does not depend on partitioning."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.lexical import term_counts
+from tessera.operators.lexical import counted, sliced, token_rows
 from tessera.operators.topk import top_k
 from tessera.session import materialize
 
@@ -117,36 +119,51 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 # --------------------------------------------------------------------------- embedder
 
 
+def _hashed(df: DataFrame, id_col: str, text_col: str, dim: int, ngram_max: int) -> DataFrame:
+    """(id, idx array, value array): a row's signed feature hashes, L2-normalised, where any is not 0.
+    A task holds one slice of whole texts, in which every distinct gram is hashed once."""
+    rows = token_rows(df, id_col, text_col)
+    out = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("idx", T.ArrayType(T.IntegerType())),
+                        T.StructField("value", T.ArrayType(T.DoubleType()))])
+    schema = to_arrow_schema(out)
+
+    def embed(batches):
+        for table in sliced(batches, ngram_max):
+            ids, terms, term, doc, tf = counted(table, ngram_max)
+            own, at = np.unique(term, return_inverse=True)
+            digests = [hashlib.md5(t.encode()).digest() for t in terms.take(pa.array(own)).to_pylist()]
+            heads = np.frombuffer(b"".join(d[:5] for d in digests), np.uint8).reshape(-1, 5).astype(np.int64)
+            idx = (heads[:, :4] @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) % dim
+            sign = np.where((heads[:, 4] >> 4) % 2 == 0, 1, -1)
+            key, place = np.unique(doc * dim + idx[at], return_inverse=True)
+            v = np.bincount(place, weights=sign[at] * tf, minlength=len(key))
+            key, v = key[v != 0], v[v != 0]
+            doc = key // dim
+            v = v / np.sqrt(np.bincount(doc, weights=v * v))[doc] if len(v) else v
+            starts = np.flatnonzero(np.diff(doc, prepend=-1))
+            offsets = pa.array(np.append(starts, len(doc)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[starts])), pa.ListArray.from_arrays(offsets, pa.array((key % dim).astype(np.int32))),
+                                              pa.ListArray.from_arrays(offsets, pa.array(v))], names=schema.names).cast(schema)
+
+    return rows.mapInArrow(embed, out)
+
+
 def hash_features(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
                   ngram_max: int = 2) -> DataFrame:
     """Signed feature hashing of the 1- and 2-grams: (id, idx, value), L2-normalised.
 
     Bucket = first 8 hex digits of md5(gram) mod dim; sign from the 9th hex
-    digit's low bit. Sparse long form; ``to_dense`` builds the array."""
-    tf = term_counts(df, id_col, text_col, ngram_max)
-    h = F.md5(F.col("term"))
-    feats = (tf.select(id_col,
-                       (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("idx"),
-                       (F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-                        * F.col("tf")).alias("v"))
-             .groupBy(id_col, "idx").agg(F.sum("v").cast("double").alias("v"))
-             .where(F.col("v") != 0))
-    nrm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(id_col)))
-    return feats.select(id_col, "idx", (F.col("v") / nrm).alias("value"))
-
-
-def to_dense(sparse: DataFrame, id_col: str, dim: int, out: str = "embedding") -> DataFrame:
-    """(id, idx, value) -> (id, array<double>[dim]); a row holds at most dim entries."""
-    m = (sparse.groupBy(id_col)
-         .agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_m")))
-    return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(out))
+    digit's low bit. Sparse long form; ``hash_embed`` builds the array."""
+    return _hashed(df, id_col, text_col, dim, ngram_max).select(id_col, F.inline(F.arrays_zip("idx", "value")))
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
                out: str = "embedding") -> DataFrame:
-    """R7 built-in embedder: dense hashed vectors; rows without grams get none."""
-    return to_dense(hash_features(df, id_col, text_col, dim), id_col, dim, out)
+    """R7 built-in embedder: dense hashed vectors, written once (a search counts its corpus
+    before it reads it); rows without grams get none."""
+    m = _hashed(df, id_col, text_col, dim, 2).select(id_col, F.map_from_arrays("idx", "value").alias("_m"))
+    return materialize(m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(out)),
+                       "hash-vectors")
 
 
 # --------------------------------------------------------------------------- collection

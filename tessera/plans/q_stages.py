@@ -13,7 +13,6 @@ from tessera.config import (CONTEXT_MAX_ITERATIONS, MAX_ATTEMPTS, MSG_CONTEXT_MA
                             MSG_RESPONSE_PARSE, MSG_RESPONSE_PARSE_ERROR, MSG_VALIDATION_PARSE, TOTAL_K)
 from tessera.operators import lexical
 from tessera.operators import stages as G
-from tessera.operators.topk import top_k
 from tessera.plans.q_filters import COURSE_DOCS_SQL, course_docs
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sq, tfidf_ctes
@@ -337,9 +336,8 @@ def dynamic_k_topk(spark, sf_dir):
         F.concat(F.lit('{"course_k": '), (F.col("query_id") % 7 + 1).cast("string"), F.lit(', "review_k": 3}')))
         .alias("response")).withColumn("stage", F.lit("strategy")).withColumn("attempt", F.lit(0))
     ks = G.strategy(q.select("query_id"), strat, 0).select("query_id", "course_k")
-    s = lexical.score(lexical.fit_tfidf(load(spark, sf_dir, "documents")), q).where(F.col("score") > 0)
-    # both sources together never ask for more than TOTAL_K: a partial top-k by that bound first
-    s = top_k(s, "query_id", [F.col("score").desc(), F.col("doc_id")], TOTAL_K).join(ks, "query_id")
+    # both sources together never ask for more than TOTAL_K: a top-k by that bound first
+    s = lexical.search(lexical.fit_tfidf(load(spark, sf_dir, "documents")), q, TOTAL_K).join(ks, "query_id")
     return s.where(F.col("rank") <= F.col("course_k")).select(
         "query_id", "doc_id", "score", "rank", "course_k")
 
