@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Longest phrase in words; words of a shard (a longer text makes a larger one) and of a group of shards.
-DEPTH, SHARD_TOKENS, GROUP_TOKENS = 5, 2_000_000, 6_000_000
+DEPTH, SHARD_TOKENS, GROUP_TOKENS = 5, 1_500_000, 4_000_000
 #: Bytes of a text that are cut into words at a time.
 SLICE_BYTES = 1_000_000
 #: A place is shard (or a group's first shard) << PLACE_BITS | row; a shard is task << SHARD_BITS | its number there.
