@@ -8,24 +8,32 @@ the result depends neither on how files fall into batches nor on the order of
 rows in them. Only a row that comes more than ``lateness`` late can't be placed
 any more; such rows are kept in ``late`` beside the sink, none is lost.
 
-A key's state is its last kept time and its waiting rows, which span at most
-``lateness``; rows that share a time wait as one. The state and the sink live in
-the shared folder: the same ``sink`` continues where it stopped, and a replayed
-batch overwrites its own folder."""
+Keys are dealt into ``BUCKETS`` buckets, so a batch calls the rule once a bucket
+and not once a key. A bucket's state is the last kept times of its keys, as long
+as they matter, and its waiting rows, which span at most ``lateness``; rows that
+share key and time wait as one. The state and the sink live in the shared folder:
+the same ``sink`` continues where it stopped, and a replayed batch overwrites its
+own folder."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: A key's state: last kept time (microseconds, -1 for none) and waiting rows as JSON [[time, row], ...].
-STATE = "kept bigint, waiting string"
+#: Buckets of keys (a checkpoint's state is made for this number).
+BUCKETS = 512
+#: A bucket's state: last kept times (microseconds) of its keys and its waiting rows, as Arrow streams.
+STATE = "kept binary, waiting binary"
+KEPT = pa.schema([("_key", pa.string()), ("_at", pa.int64())])
+WAITING = KEPT.append(pa.field("_row", pa.string()))
 #: Rows keep the microseconds of their times.
 FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -56,6 +64,39 @@ def _merged(waiting: list, rows: list) -> list:
     return [[at, row] for at, row in sorted(first.items())]
 
 
+def _pack(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(packed))).read_all()
+
+
+def merged(rows: pa.Table) -> pa.Table:
+    """The rows of a bucket by key and time, one for each (``_merged`` for all keys at once)."""
+    rows = rows.sort_by([(name, "ascending") for name in ("_key", "_at", "_row")]).combine_chunks()
+    key, at = rows.column("_key").combine_chunks().dictionary_encode().indices.to_numpy(), rows.column("_at").to_numpy()
+    first = np.ones(len(at), bool)
+    first[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    return rows.filter(pa.array(first))
+
+
+def settled(kept: pa.Table, waiting: pa.Table, until: int, delay: int) -> tuple[list, pa.Table, pa.Table]:
+    """``settle`` for all keys of a bucket; kept times that no later row can meet go."""
+    last = dict(zip(kept.column("_key").to_pylist(), kept.column("_at").to_pylist(), strict=True))
+    final = waiting.column("_at").to_numpy() < until
+    rows, out = waiting.filter(pa.array(final)), []
+    each = zip(*(rows.column(c).to_pylist() for c in ("_key", "_at", "_row")), strict=True)
+    for key, own in groupby(each, lambda r: r[0]):
+        found, last[key], _ = settle(last.get(key, -1), [[at, row] for _, at, row in own], until, delay)
+        out += found
+    last = {key: at for key, at in last.items() if until <= at + delay}
+    return out, pa.table([pa.array(last.keys(), pa.string()), pa.array(last.values(), pa.int64())], schema=KEPT), waiting.filter(pa.array(~final))
+
+
 def dedupe(stream: DataFrame, key: str, ts: str, delay: str, lateness: str) -> DataFrame:
     """The kept rows of a stream, as they become final, and late ones: the stream's columns and
     ``is_late``. ``ts`` must be a timestamp after 1970; rows without a key or a time are passed on as kept."""
@@ -67,35 +108,33 @@ def dedupe(stream: DataFrame, key: str, ts: str, delay: str, lateness: str) -> D
     mark = F.lit(None).cast("timestamp").alias("_mark", metadata={"spark.watermarkDelayMs": _ms(lateness, spark)})
     packed = stream.withWatermark(ts, lateness).select(
         F.col(key).cast("string").alias("_key"), mark, F.unix_micros(ts).alias("_at"), F.to_json(F.struct(*columns), {**FORMAT, "ignoreNullFields": "false"}).alias("_row"))
+    packed = packed.withColumn("_bucket", F.pmod(F.xxhash64(F.coalesce("_key", "_row")), F.lit(BUCKETS)).cast("int"))
     out = T.StructType([T.StructField("_row", T.StringType()), T.StructField("is_late", T.BooleanType())])
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = state.get if state.exists else (-1, "[]")
-        waiting = json.loads(waiting)
+        kept, held = map(_unpack, state.get) if state.exists else (KEPT.empty_table(), WAITING.empty_table())
         mark = 1_000 * state.getCurrentWatermarkMs()
-        late = []
+        parts, late = [held], []
         for frame in frames:
-            if group[0] is None:
-                yield pd.DataFrame({"_row": frame["_row"], "is_late": False})
-                continue
-            none = frame["_at"].isna()
-            if none.any():
-                yield pd.DataFrame({"_row": frame.loc[none, "_row"], "is_late": False})
-            rows = [(int(a), r) for a, r in zip(frame.loc[~none, "_at"], frame.loc[~none, "_row"], strict=True)]
-            late += [r for a, r in rows if a < mark]
-            waiting = _merged(waiting, [x for x in rows if x[0] >= mark])
-        out_rows, kept, waiting = settle(kept, waiting, mark, delay_us)
-        if group[0] is not None:
-            state.update((kept, json.dumps(waiting)))
-            if waiting:
-                state.setTimeoutTimestamp(waiting[0][0] // 1_000 + 1)
-            elif kept >= 0 and mark <= kept + delay_us:
-                state.setTimeoutTimestamp((kept + delay_us) // 1_000 + 1)  # what it kept still matters
-            else:
-                state.remove()
+            free = frame["_key"].isna() | frame["_at"].isna()
+            if free.any():
+                yield pd.DataFrame({"_row": frame.loc[free, "_row"], "is_late": False})
+            rows = frame.loc[~free, WAITING.names].astype({"_at": "int64"})
+            now = rows["_at"] < mark
+            late += rows.loc[now, "_row"].tolist()
+            parts.append(pa.Table.from_pandas(rows.loc[~now], WAITING, preserve_index=False))
+        out_rows, kept, waiting = settled(kept, merged(pa.concat_tables(parts)), mark, delay_us)
+        state.update((_pack(kept), _pack(waiting)))
+        # the next time that matters: the first waiting row's, or when a kept time doesn't any more
+        ends = [(at + more) // 1_000 + 1 for times, more in ((waiting, 0), (kept, delay_us)) if times.num_rows
+                for at in [int(times.column("_at").to_numpy().min())]]
+        if ends:
+            state.setTimeoutTimestamp(min(ends))
+        else:
+            state.remove()
         yield pd.DataFrame({"_row": out_rows + late, "is_late": [False] * len(out_rows) + [True] * len(late)})
 
-    found = packed.groupBy("_key").applyInPandasWithState(step, out, T._parse_datatype_string(STATE), "append", GroupStateTimeout.EventTimeTimeout)
+    found = packed.groupBy("_bucket").applyInPandasWithState(step, out, T._parse_datatype_string(STATE), "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(F.from_json("_row", stream.schema, FORMAT).alias("r"), "is_late").select("r.*", "is_late")
 
 
@@ -122,12 +161,10 @@ def waiting_rows(spark: SparkSession, sink: str, schema: T.StructType, delay: st
     values = state.select(F.col("value.groupState.kept").alias("kept"), F.col("value.groupState.waiting").alias("waiting"))
 
     def finish(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            rows = [r for kept, waiting in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    if waiting for r in settle(kept, json.loads(waiting), 1 << 62, delay_us)[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["_row"])
+            for kept, waiting in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = settled(_unpack(kept), _unpack(waiting), 1 << 62, delay_us)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["_row"])
 
     return values.mapInArrow(finish, "_row string").select(F.from_json("_row", schema, FORMAT).alias("r")).select("r.*")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,29 @@ def test_late_rows_are_kept_apart_and_nothing_is_lost(spark):
 def test_settle():
     assert ingest.settle(-1, [[0, "a"], [50, "b"], [100, "c"], [200, "d"]], 150, 60) == (["a", "c"], 100, [[200, "d"]])
     assert ingest._merged([[5, "b"]], [(5, "a"), (7, "c")]) == [[5, "a"], [7, "c"]]
+
+
+def test_buckets_follow_the_rule():
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(9)}", rng.randrange(400), rng.choice("ab")) for _ in range(300)]
+    table = ingest.merged(pa.Table.from_pylist([dict(zip(ingest.WAITING.names, r, strict=True)) for r in rows], ingest.WAITING))
+    out, kept, rest = ingest.settled(ingest.KEPT.empty_table(), table, 250, 60)
+    last = dict(zip(*kept.to_pydict().values(), strict=True))
+    want, left = [], []
+    for key in sorted({r[0] for r in rows}):
+        own, at, waiting = ingest.settle(-1, ingest._merged([], [r[1:] for r in rows if r[0] == key]), 250, 60)
+        want += own
+        left += [(key, *w) for w in waiting]
+        assert last.get(key, -1) == (at if at + 60 >= 250 else -1)
+    assert out == want and list(zip(*rest.to_pydict().values(), strict=True)) == left
+
+
+def test_many_keys_take_one_call_a_bucket(spark):
+    """The rule is called once a bucket, and a bucket's state is one row, however many keys there are."""
+    rows = [(f"k{i}" if i % 50 else None, 1_700_000_000 + i, i) for i in range(3_000)]
+    path, sink = work_path(spark, "landed"), work_path(spark, "sink")
+    land(spark, path, rows, 2)
+    source, schema = stream(spark, path, 1)
+    ingest.run(source, sink, "key", "ts", lateness="1 day")
+    assert result(spark, sink, schema) == sorted(rows, key=repr)
+    assert spark.read.format("statestore").load(f"{sink}/checkpoint").count() <= ingest.BUCKETS
