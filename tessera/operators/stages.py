@@ -62,10 +62,12 @@ def is_object(response) -> Column:
     return F.coalesce(F.trim(_c(response)).startswith("{"), F.lit(False))
 
 
-def parse(response, schema: T.StructType) -> Column:
-    """from_json with a fixed schema; NULL unless strict JSON object."""
-    r = _c(response)
-    return F.when(strict_json(r) & is_object(r), F.from_json(r, schema))
+def parsed(x: DataFrame, schema: T.StructType) -> DataFrame:
+    """``x`` with its ``response`` read once: ``_json`` (strict JSON) and ``_p`` (the object, NULL
+    if malformed). Both are projections of their own: a column that is used several times
+    isn't inlined, so the parsers run once a row however many fields are taken."""
+    x = x.withColumn("_json", strict_json("response"))
+    return x.withColumn("_p", F.when(F.col("_json") & is_object("response"), F.from_json("response", schema)))
 
 
 OUTPUTS = "_outputs"
@@ -90,8 +92,8 @@ def with_response(state: DataFrame, outputs: DataFrame | None, stage: str, attem
 
 
 def missing_key(response, present: list[tuple[str, Column]], prefix: str) -> Column:
-    """Error of valid JSON that lacks a key: the first one missing, as a lookup would say."""
-    out = F.when(strict_json(response) & ~is_object(response), F.lit(prefix + MSG_JSON_ARRAY))
+    """Error of valid JSON (of ``parsed`` rows) that lacks a key: the first one missing, as a lookup would say."""
+    out = F.when(F.col("_json") & ~is_object(response), F.lit(prefix + MSG_JSON_ARRAY))
     for key, value in present:
         out = out.when(value.isNull(), F.lit(f"{prefix}'{key}'"))
     return out
@@ -99,9 +101,9 @@ def missing_key(response, present: list[tuple[str, Column]], prefix: str) -> Col
 
 def validation(state: DataFrame, outputs: DataFrame) -> DataFrame:
     """G1: valid/reason; malformed -> invalid + fixed message; key missing -> 'Validation error: ...'."""
-    x = with_response(state, outputs, "validation", 0)
-    p = parse("response", VALIDATION)
-    ok = strict_json("response") & is_object("response")
+    x = parsed(with_response(state, outputs, "validation", 0), VALIDATION)
+    p = F.col("_p")
+    ok = F.col("_json") & is_object("response")
     return x.select(*state.columns,
                     F.when(~ok, F.lit(False)).otherwise(F.coalesce(p["is_valid"], F.lit(False))).alias("valid"),
                     F.when(~ok, F.lit(MSG_VALIDATION_PARSE))
@@ -111,8 +113,8 @@ def validation(state: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def intent(state: DataFrame, outputs: DataFrame) -> DataFrame:
     """G2 + G3: intent analysis and routing facts; malformed output or a missing key -> NULL + error."""
-    x = with_response(state, outputs, "intent", 0)
-    p = parse("response", INTENT)
+    x = parsed(with_response(state, outputs, "intent", 0), INTENT)
+    p = F.col("_p")
     cw, rw = p["priority"]["course_info_weight"], p["priority"]["review_info_weight"]
     complete = p.isNotNull() & p["required_fields"]["course_db"].isNotNull() & \
         p["required_fields"]["review_db"].isNotNull() & cw.isNotNull() & rw.isNotNull()
@@ -121,7 +123,7 @@ def intent(state: DataFrame, outputs: DataFrame) -> DataFrame:
                     F.when(complete, F.size(p["required_fields"]["review_db"]) > 0).alias("needs_reviews"),
                     F.when(complete, F.when(cw > rw, F.lit("course_db")).otherwise(F.lit("review_db")))
                     .alias("priority_source"),
-                    F.when(~strict_json("response"), F.lit(MSG_INTENT_PARSE)).otherwise(missing_key(
+                    F.when(~F.col("_json"), F.lit(MSG_INTENT_PARSE)).otherwise(missing_key(
                         "response", [("required_fields", p["required_fields"]), ("course_db", p["required_fields"]["course_db"]),
                                      ("review_db", p["required_fields"]["review_db"]), ("priority", p["priority"]),
                                      ("course_info_weight", cw), ("review_info_weight", rw)],
@@ -133,8 +135,8 @@ def enhancement(state: DataFrame, outputs: DataFrame | None = None, attempt: int
     -> no sub-queries and ``error``. G5 (later attempts): refined sub-queries and one more
     iteration; malformed output keeps the old ones and sets ``error``, which ends the
     query after the loop."""
-    x = with_response(state, outputs, "enhancement", attempt)
-    p = parse("response", ENHANCEMENT)
+    x = parsed(with_response(state, outputs, "enhancement", attempt), ENHANCEMENT)
+    p = F.col("_p")
     ok = p.isNotNull()
     new = ["course_db_query", "review_db_query", "focus_aspects", "enhancement_iteration", "error"]
     keep = [c for c in state.columns if c not in new]
@@ -151,8 +153,8 @@ def enhancement(state: DataFrame, outputs: DataFrame | None = None, attempt: int
 def strategy(state: DataFrame, outputs: DataFrame, attempt: int = 0, cap: int | None = None) -> DataFrame:
     """Per-query k for each source; any failure -> 5/5 balanced.
     G8: with ``cap`` (adjusted retrieval), each k is limited to the cap."""
-    x = with_response(state, outputs, "strategy", attempt)
-    p = parse("response", STRATEGY)
+    x = parsed(with_response(state, outputs, "strategy", attempt), STRATEGY)
+    p = F.col("_p")
     ok = p["course_k"].isNotNull() & p["review_k"].isNotNull()
     keep = [c for c in state.columns if c not in ("course_k", "review_k", "strategy_reasoning")]
     ck = F.when(ok, p["course_k"]).otherwise(F.lit(DEFAULT_COURSE_K))
@@ -168,8 +170,8 @@ def context_verdict(state: DataFrame, outputs: DataFrame, attempt: int,
     """No retrieved info -> pass through (NULL verdict); iteration >= bound ->
     forced sufficient; malformed -> sufficient; needs_improvement = NOT sufficient
     AND NOT unanswerable."""
-    x = with_response(state, outputs, "context", attempt)
-    p = parse("response", CONTEXT)
+    x = parsed(with_response(state, outputs, "context", attempt), CONTEXT)
+    p = F.col("_p")
     has_info = F.col("n_retrieved") > 0
     forced = F.lit(attempt) >= F.lit(max_iterations)
     bad = p.isNull()
@@ -244,10 +246,10 @@ def retriever(course_hits: DataFrame, review_hits: DataFrame):
 def response(state: DataFrame, outputs: DataFrame) -> DataFrame:
     """Body, optional 'Note: a, b', optional suggestion bullets; missing inputs ->
     fixed apology; malformed output or a missing key -> its own apology and error."""
-    x = with_response(state, outputs, "response", 0)
-    p = parse("response", RESPONSE)
+    x = parsed(with_response(state, outputs, "response", 0), RESPONSE)
+    p = F.col("_p")
     missing = ~(F.coalesce(F.col("n_retrieved"), F.lit(0)) > 0) | F.col("is_sufficient").isNull()
-    bad = ~strict_json("response")
+    bad = ~F.col("_json")
     lacking = missing_key("response", [("response", p["response"])], "Response generation error: ")
     notes = F.when(F.coalesce(p["has_limitations"], F.lit(False)),
                    F.concat(F.lit("\n\nNote: "), F.array_join(F.coalesce(p["limitation_notes"],

@@ -261,8 +261,8 @@ ended AS (SELECT st.*, attempt > 0 AND user_id % 17 = 0 AS refine_failed FROM st
 def _searched(spark, sf_dir, out):
     """``retrieve`` over both sources: the distinct sub-queries of all attempts are searched
     once in the course documents and once in the documents (TF-IDF, TOTAL_K hits each)."""
-    p = G.parse("response", G.ENHANCEMENT)
-    texts = out.where(F.col("stage") == "enhancement").select(p["course_db_query"].alias("c"), p["review_db_query"].alias("r"))
+    texts = G.parsed(out.where(F.col("stage") == "enhancement"), G.ENHANCEMENT)
+    texts = texts.select(F.col("_p")["course_db_query"].alias("c"), F.col("_p")["review_db_query"].alias("r"))
     texts = materialize(texts.distinct(), "sub-queries")
 
     def hits(docs, col):
@@ -279,7 +279,7 @@ def retry_loop(spark, sf_dir):
     """Enhanced queries through the bounded loop, each attempt searching both sources
     with its own k and refining the sub-queries of what stays open."""
     out = materialize(model_outputs(spark, sf_dir), "model-outputs")
-    q = G.enhancement(G.attach_outputs(agent_queries(spark, sf_dir), out))
+    q = materialize(G.enhancement(G.attach_outputs(agent_queries(spark, sf_dir), out)), "enhanced")
     res = G.retry_loop(q.where(F.col("error").isNull()), None, _searched(spark, sf_dir, out))
     return res.select("query_id", F.col("attempts").cast("int"), "course_k", "review_k", F.size("course_info").alias("n_course"),
                       F.size("review_info").alias("n_review"), "is_sufficient", "unanswerable",
@@ -395,13 +395,15 @@ def staged_pipeline(spark, sf_dir):
     error response and a history entry (G12, G13)."""
     out = materialize(model_outputs(spark, sf_dir), "model-outputs")
     state = agent_queries(spark, sf_dir).withColumn("processing_history", F.array().cast("array<string>"))
+    # the first stages read every query's outputs once; where a query ends is a filter on what they wrote
     v = G.validation(G.attach_outputs(state, out), None)
-    it = G.intent(v.where("valid"), None)
-    en = G.enhancement(it.where("error is null").drop("error"))
-    ends = [G.failed(v.where("not valid"), F.concat(F.lit("Invalid query: "), F.col("reason")), "validation"),
-            G.failed(it.where("error is not null"), "Error analyzing query intent", "intent_analysis"),
-            G.failed(en.where("error is not null"), "Error enhancing query", "query_enhancement")]
-    looped = G.retry_loop(en.where("error is null"), None, _searched(spark, sf_dir, out))
+    it = G.intent(v, None).withColumnRenamed("error", "intent_error")
+    en = materialize(G.enhancement(it), "staged")
+    understood = en.where("valid and intent_error is null").drop("intent_error")
+    ends = [G.failed(en.where("not valid"), F.concat(F.lit("Invalid query: "), F.col("reason")), "validation"),
+            G.failed(en.where("valid and intent_error is not null"), "Error analyzing query intent", "intent_analysis"),
+            G.failed(understood.where("error is not null"), "Error enhancing query", "query_enhancement")]
+    looped = G.retry_loop(understood.where("error is null"), None, _searched(spark, sf_dir, out))
     r = G.response(looped, None)
     bad = F.col("error").isNotNull() | F.col("response_error").isNotNull()
     m = F.lit("Error generating response")
