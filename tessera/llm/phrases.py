@@ -47,6 +47,8 @@ from .common import stored
 DEPTH, SHARD_TOKENS, GROUP_TOKENS = 5, 1_500_000, 4_000_000
 #: Bytes of a text that are cut into words at a time.
 SLICE_BYTES = 1_000_000
+#: Rows of a batch of counts.
+BATCH_ROWS = 100_000
 #: A place is shard (or a group's first shard) << PLACE_BITS | row; a shard is task << SHARD_BITS | its number there.
 PLACE_BITS, SHARD_BITS, TASK_BITS = 31, 12, 20
 
@@ -168,19 +170,19 @@ class Index:
     def __init__(self, packed: bytes):
         transform = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32)
         self.n = len(transform)
-        self.lf = np.empty(self.n, np.int64)
-        self.lf[np.argsort(transform, kind="stable")] = np.arange(self.n)
+        self.lf = np.empty(self.n, np.int32)
+        self.lf[np.argsort(transform, kind="stable")] = np.arange(self.n, dtype=np.int32)
 
     def owners(self, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Of each row, the number of the interval that holds it, or -1."""
-        out = np.full(self.n, -1, np.int64)
-        ends = np.cumsum(sizes)
-        out[np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)] = np.repeat(numbers, sizes)
+        out = np.full(self.n, -1, np.int32)
+        for start, size, number in zip(starts.tolist(), sizes.tolist(), numbers.tolist(), strict=True):
+            out[start:start + size] = number
         return out
 
     def left(self, owners: np.ndarray) -> np.ndarray:
         """Of each row, the owner of the rest after its first word: a left extension of all intervals at once."""
-        out = np.empty(self.n, np.int64)
+        out = np.empty(self.n, np.int32)
         out[self.lf] = owners
         return out
 
@@ -199,6 +201,16 @@ def extended(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins[own], sizes[own]
 
 
+def added(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes in order, sums) of several (codes, counts)."""
+    codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    del order
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
 class Level:
     """The frequent phrases of one length in a group; inside a group they go by their rank."""
 
@@ -212,12 +224,12 @@ class Level:
 
     def code(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """One integer for two phrases of this length."""
-        return first * len(self.numbers) + last
+        return first.astype(np.int64) * len(self.numbers) + last
 
     def found(self, codes: np.ndarray) -> np.ndarray:
         """Ranks of the phrases with these codes, or -1."""
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
+        return np.where(self.codes[at] == codes, at, -1).astype(np.int32)
 
 
 def _extend(level: int):
@@ -235,29 +247,32 @@ def _extend(level: int):
         for own in of[1:]:
             k1, k2 = (levels[-1].ranks(known[c][own]) for c in ("k1", "k2"))
             levels.append(Level(known["number"][own], levels[-1].code(k1, k2)))
-        counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {level: [], 5: []}
+        counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for shard, packed in zip(left.column("shard").to_pylist(), left.column("transform"), strict=True):
             pa.default_memory_pool().release_unused()
             index, own = Index(packed.as_py()), of[0] & (known["shard"] == shard)
             at = index.owners(known["start"][own], known["n"][own], levels[0].ranks(known["number"][own]))
             for before, here in zip(levels, levels[1:], strict=False):
                 rest = index.left(at)
-                at = np.where((at >= 0) & (rest >= 0), here.found(before.code(at, rest)), -1)
+                both = np.flatnonzero((at >= 0) & (rest >= 0))
+                found = here.found(before.code(at[both], rest[both]))
+                at = np.full(index.n, -1, np.int32)
+                at[both] = found
             parts = [at, index.left(at)] + ([index.left(index.left(at))] if level == 4 else [])
             for size, grams in ((level, parts[:2]), (5, parts[:3])):
                 if len(grams) == size - level + 2:
                     starts, sizes = extended(*grams)
-                    counts[size].append((levels[-1].code(grams[0][starts], grams[-1][starts]), sizes))
+                    new = (levels[-1].code(grams[0][starts], grams[-1][starts]), sizes)
+                    counts[size] = added(counts[size], new) if size in counts else added(new)
+            del index, at, parts, grams  # a shard at a time: its sums stay, sorted, its rows don't
         out, rows, first = [], 0, min(left.column("shard").to_pylist())
-        for size, found in counts.items():
-            if found:
-                codes, which = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                n = np.bincount(which, np.concatenate([x for _, x in found]), len(codes)).astype(np.int64)
-                k1, k2 = (levels[-1].numbers[x] for x in np.divmod(codes, len(levels[-1].numbers)))
-                place = (first << PLACE_BITS) + rows + np.arange(len(codes))
-                out.append(pa.table([np.full(len(codes), size, np.int32), k1, k2, place, n], names))
-                rows += len(codes)
-        return pa.concat_tables(out)
+        for size, (codes, n) in counts.items():
+            for a in range(0, len(codes), BATCH_ROWS):  # a batch's rows are what the other side holds at a time
+                k1, k2 = (levels[-1].numbers[x] for x in np.divmod(codes[a:a + BATCH_ROWS], len(levels[-1].numbers)))
+                place = (first << PLACE_BITS) + rows + np.arange(len(k1))
+                out.append(pa.table([np.full(len(k1), size, np.int32), k1, k2, place, n[a:a + BATCH_ROWS]], names))
+                rows += len(k1)
+        return pa.concat_tables(out) if out else none
 
     return run
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import CLASH
 
@@ -113,3 +114,25 @@ def test_intervals_of_a_shard(seed):
         begins, n = P.extended(*at)
         got = {tuple(words[x[b]] for x in at): int(c) for b, c in zip(begins, n, strict=True)}
         assert got == {p: c for p, c in plain.items() if len(p) == size}
+
+
+def test_shards_are_added_one_at_a_time_and_sent_in_batches(monkeypatch):
+    """A group's counts are the sums of its shards, in batches of bounded rows, and a shard's rows are small numbers."""
+    monkeypatch.setattr(P, "BATCH_ROWS", 3)
+    left, right, want = [], [], {}
+    texts = [b"a b c a b d", b"b a b c d c", b"d d a b c"]
+    for shard, text in enumerate(texts):
+        held = P.Builder()
+        held.add(text)
+        words, starts, sizes, transform = held.index()
+        packed = P.zstandard.ZstdCompressor().compress(transform.tobytes())
+        assert P.Index(packed).left(P.Index(packed).owners(starts, sizes, np.arange(len(words)))).dtype == np.int32
+        left.append({"shard": shard, "transform": packed})
+        right += [{"size": 1, "shard": shard, "start": s, "n": n, "k1": -1, "k2": -1, "number": ord(w)}
+                  for w, s, n in zip(words, starts.tolist(), sizes.tolist(), strict=True)]
+        split = text.decode().split(" ")
+        for pair in zip(split, split[1:], strict=False):
+            want[pair] = want.get(pair, 0) + 1
+    got = P._extend(2)(pa.Table.from_pylist(left), pa.Table.from_pylist(right))
+    assert {(chr(r["k1"]), chr(r["k2"])): r["n"] for r in got.to_pylist()} == want
+    assert len(set(got.column("place").to_pylist())) == got.num_rows and max(b.num_rows for b in got.to_batches()) <= 3
