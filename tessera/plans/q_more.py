@@ -11,7 +11,7 @@ from tessera.plans.q_dataset import VARIANTS_SQL, _variants
 from tessera.plans.q_guard import RELEVANCE_SQL, input_flags_sql, INPUT_REASON_SQL
 from tessera.plans.registry import register
 from tessera.plans.sqlfrag import sq
-from tessera.session import work_path
+from tessera.session import materialize, spread, work_path
 from tessera.sources import landed
 from tessera.sources.tables import PART_SUPPLIERS_SQL, load, part_suppliers
 
@@ -70,13 +70,14 @@ def guard_explanations(spark, sf_dir):
     lab = load(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, "relevant").when(F.col("quality") == 0, "NOT RELEVANT")
         .alias("response"))
-    g = G.gate(d.join(lab, "doc_id", "left"), "text", "response").where(F.col("gate") != "VALID")
+    g = G.gate(spread(d).join(lab, "doc_id", "left"), "text", "response")
     kind = F.when(~F.col("guard_valid"), F.lit("guard")).otherwise(F.lit("relevance"))
-    x = g.select("doc_id", kind.alias("kind"), "guard_reason", "text")
+    x = g.select("doc_id", "gate", kind.alias("kind"), "guard_reason", "text")
     prompt = F.when(F.col("kind") == "guard", G.explanation_prompt("guard", "text", "guard_reason")) \
         .otherwise(G.explanation_prompt("relevance", "text"))
     reply = F.concat(F.upper("kind"), F.lit("\nReason: "), F.coalesce("guard_reason", F.lit("")),
                      F.lit("\nAsk about a course."))
-    p = x.select("doc_id", "kind", F.length(prompt).alias("prompt_chars"),
-                 G.parse_explanation(reply).alias("e"))
+    p = x.select("doc_id", "gate", "kind", F.length(prompt).alias("prompt_chars"), G.parse_explanation(reply).alias("e"))
+    # written before the filter, which would run every scanner once more below the projections
+    p = materialize(p, "guard-explanations").where(F.col("gate") != "VALID")
     return p.select("doc_id", "kind", "prompt_chars", "e.status", "e.explanation", "e.suggestion")
