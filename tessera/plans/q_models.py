@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import charlm, classifier, guard
 from tessera.plans.q_dense import DIM, hash_features_sql
 from tessera.plans.registry import register
+from tessera.session import materialize
 from tessera.sources.tables import load
 
 
@@ -59,8 +60,10 @@ SELECT doc_id, round(1 / (1 + exp(-coalesce(m, 0))), 6) AS score FROM documents
 def linear_scores(spark, sf_dir):
     """V3, V6: every document scored from a table of weights (log-odds of the labelled documents' buckets)."""
     docs = load(spark, sf_dir, "documents")
-    features = classifier.features_of(docs, dim=DIM)
-    return classifier.scores(features, docs, log_odds(features, load(spark, sf_dir, "labels"), DIM), 0.0)
+    # written once each: the weights are counted and joined, and the features read for them and for the scores
+    features = materialize(classifier.features_of(docs, dim=DIM), "features")
+    weights = materialize(log_odds(features, load(spark, sf_dir, "labels"), DIM), "weights")
+    return classifier.scores(features, docs, weights, 0.0)
 
 
 def toxic_model(spark, sf_dir):
