@@ -6,13 +6,20 @@ finds all of its needles in one linear pass over a text, instead of one search
 per needle. Only a block (whose size is bounded) is on the driver or broadcast
 at a time; more needles mean more blocks, and so more passes over the texts.
 
+In ``word`` mode a needle of word characters only is found exactly where it is a
+whole run of them. More than ``BLOCK`` such needles are joined with the runs of
+the texts instead: one pass, however many there are, and nothing on the driver.
+
 Texts and needles are compared in lower case. ``word`` mode takes a needle only
 where neither neighbour is a letter, a digit or an underscore. Empty and null
 needles hit nothing; a null text has no hits."""
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +30,10 @@ from tessera.session import materialize
 
 #: Needles of an automaton, and characters of a needle block at most (about).
 BLOCK, MODES = 200_000, ("substring", "word")
+#: Characters of texts whose runs are gathered at a time (about).
+RUN_CHARS = 20_000_000
+
+_RUN = re.compile(r"\w+")  # the characters of ``_word``
 
 _held: dict = {}
 
@@ -57,14 +68,50 @@ def found_in(automaton, text: str, mode: str) -> list[int]:
     return sorted(out)
 
 
-def blocks(needles: DataFrame, needle_col: str = "needle"):
-    """Lists of distinct lower-case needles, each of about ``BLOCK``."""
+def lowered(needles: DataFrame, needle_col: str = "needle") -> DataFrame:
+    """needle, run: the distinct lower-case needles, and whether one is a single run of word characters."""
     low = needles.select(F.lower(F.col(needle_col)).alias("needle")).where("needle <> ''").distinct()
-    low = materialize(low, "needles")
+
+    def mark(batches):
+        for batch in batches:
+            run = [_RUN.fullmatch(n) is not None for n in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run, pa.bool_())], ["needle", "run"])
+
+    return materialize(low.mapInArrow(mark, "needle string, run boolean"), "needles")
+
+
+def blocks(low: DataFrame):
+    """Lists of the needles of ``lowered``, each of about ``BLOCK``."""
     count = max(1, -(-low.count() // BLOCK))
     for b in range(count):
         some = low if count == 1 else low.where(F.pmod(F.xxhash64("needle"), F.lit(count)) == b)
-        yield sorted(r["needle"] for r in some.collect())
+        yield sorted(r["needle"] for r in some.select("needle").collect())
+
+
+def _run_hits(rows: DataFrame, low: DataFrame, out: T.StructType) -> DataFrame:
+    """(_id, needle) for needles that are runs: each run of some texts is one row with their ids, joined by the run."""
+    sizes = low.agg(F.min(F.length("needle")).alias("least"), F.max(F.length("needle")).alias("most")).first()
+    least, most = sizes["least"] or 1, sizes["most"] or 0
+
+    def runs(batches):
+        for batch in batches:
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                found, ids, size = [], [], 0
+                while at < len(texts) and (not found or size < RUN_CHARS):
+                    own = [r for r in set(_RUN.findall(texts[at])) if least <= len(r) <= most]
+                    found += own
+                    ids.append(np.full(len(own), at))
+                    size, at = size + len(texts[at]), at + 1
+                names = pa.array(found, pa.string()).dictionary_encode()
+                run, ids = names.indices.to_numpy(), np.concatenate(ids)
+                order = np.argsort(run, kind="stable")
+                offsets = np.append(0, np.cumsum(np.bincount(run, minlength=len(names.dictionary)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), batch.column(0).take(pa.array(ids[order].astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([names.dictionary, lists], ["needle", "_ids"])
+
+    packed = rows.mapInArrow(runs, T.StructType([out["needle"], T.StructField("_ids", T.ArrayType(out["_id"].dataType))]))
+    return packed.join(low.select("needle"), "needle").select(F.explode("_ids").alias("_id"), "needle")
 
 
 def hits(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str = "text", needle_col: str = "needle", mode: str = "substring") -> DataFrame:
@@ -74,8 +121,12 @@ def hits(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str = "tex
     spark = texts.sparkSession
     rows = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_t")).where("_t is not null")
     out = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("needle", T.StringType())])
-    every = None
-    for block in blocks(needles, needle_col):
+    low, every = lowered(needles, needle_col), None
+    if mode == "word" and low.where("run").count() > BLOCK:
+        every, low = _run_hits(rows, low.where("run"), out), low.where("not run")
+    for block in blocks(low):
+        if every is not None and not block:
+            continue
         shipped = spark.sparkContext.broadcast(block)  # BLOCK needles
 
         def scan(batches, shipped=shipped):

@@ -9,6 +9,7 @@ from tessera.operators import needles
 from tessera.plans.q_filters import _NB
 from tessera.plans.q_guard import CORPUS_HITS_SQL, CORPUS_NEEDLES
 from tessera.plans.registry import register
+from tessera.session import spread
 from tessera.sources.tables import course_queries, course_queries_sql, load
 
 #: Letters of the words that serve as needles.
@@ -42,7 +43,7 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS needles FROM w WHERE len(words) > 0
 def needle_words(spark, sf_dir):
     """J7 with a large table: every word of six letters or more of all documents is a needle, looked for
     in every document as a whole word."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("needle"))
     words = words.where(F.length("needle") >= LEAST_LETTERS).distinct()
     found = needles.hits(docs, words, "doc_id", mode="word")
