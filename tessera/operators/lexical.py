@@ -107,7 +107,11 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def slice_terms(docs: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
     """(term, slice, ids, tfs, cf): the documents of a slice that hold a term, and how often. The
     row of ``DOC_SENTINEL`` lists all documents of its slice."""
-    rows = token_rows(docs, id_col, text_col)
+    return slice_counts(token_rows(docs, id_col, text_col), id_col, ngram_max)
+
+
+def slice_counts(rows: DataFrame, id_col: str, ngram_max: int) -> DataFrame:
+    """``slice_terms`` of rows (id, tokens), dealt and sorted by id."""
     out = T.StructType([T.StructField("term", T.StringType()), T.StructField("slice", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema[id_col].dataType)),
                         T.StructField("tfs", T.ArrayType(T.IntegerType())), T.StructField("cf", T.LongType())])
     schema = to_arrow_schema(out)
@@ -235,13 +239,18 @@ def slice_postings(rows: DataFrame, id_col: str) -> DataFrame:
     return packed(rows).groupBy("slice").applyInArrow(weigh, out)
 
 
-def index_of_slices(slices: DataFrame, id_col: str, ngram_max: int = 2, persist: bool = False) -> TfidfIndex:
-    """The index of ``slice_terms`` rows, written once, by term, with their df and cf."""
+def stored_slices(slices: DataFrame, name: str) -> DataFrame:
+    """``slice_terms`` rows, written once, by term, with their df and cf."""
     ordered = Window.partitionBy("term").orderBy("slice")  # one order for all three: one sort
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stored = (slices.withColumn("df", F.sum(F.size("ids")).over(whole)).withColumn("cf", F.sum("cf").over(whole))
               .withColumn("head", F.row_number().over(ordered) == 1))
-    stored = materialize(stored, "tfidf-slices")
+    return materialize(stored, name)
+
+
+def index_of_slices(slices: DataFrame, id_col: str, ngram_max: int = 2, persist: bool = False) -> TfidfIndex:
+    """The index of ``slice_terms`` rows."""
+    stored = stored_slices(slices, "tfidf-slices")
     n_docs = stored.where(F.col("head") & (F.col("term") == DOC_SENTINEL)).select(F.col("df").cast("double")).scalar()
     real = stored.where(F.col("term") != DOC_SENTINEL)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
@@ -420,35 +429,29 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_
     ``docs(id, terms array)`` and ``queries(qid, q_terms array)``; repeated query
     terms count once each time they appear. idf = ln((N - df + 0.5)/(df + 0.5));
     negative idf is replaced by ``epsilon * mean idf``."""
-    # The document term arrays feed the statistics, lengths and counts: write them
-    # once to the shared folder instead of re-deriving them in every branch.
-    d = materialize(docs.select(id_col, F.col(doc_terms_col).alias("terms")), "bm25-doc-terms")
-    # Corpus statistics as scalar subqueries: they share the plan's scans and
-    # shuffles instead of running separate jobs that tokenise everything again.
-    stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select(F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))).scalar()
-    # the length travels with the terms, so no join brings it back
-    tf = (d.select(id_col, F.size("terms").alias("dl"), explode_nonempty("terms", "term")).where(F.col("term").isNotNull())
-          .groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = dfs.withColumn("idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # a term that starts with the sentinel's character gets one more, so none is the sentinel
+    plain = lambda c: F.transform(c, lambda t: F.when(t.startswith(DOC_SENTINEL), F.concat(F.lit(DOC_SENTINEL), t)).otherwise(t))
+    terms = docs.select(id_col, plain(doc_terms_col).alias("_t"))
+    rows = terms.repartition(dealt_parts(docs.sparkSession), id_col).sortWithinPartitions(id_col)
+    stored = stored_slices(slice_counts(rows, id_col, 1), "bm25-slices")
+    # Corpus statistics as scalar subqueries of the stored slices: no separate jobs
+    heads = stored.where("head")
+    n_docs = heads.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("double")).scalar()
+    raw = heads.where(F.col("term") != DOC_SENTINEL).select(
+        "term", "cf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    avgdl = raw.agg(F.coalesce(F.nullif(F.sum("cf") / n_docs, F.lit(0.0)), F.lit(1.0)).alias("avgdl")).scalar()
     mean_idf = raw.agg(F.coalesce(F.avg("idf"), F.lit(0.0))).scalar()
-    vocab = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon) * mean_idf)
-                           .otherwise(F.col("idf")))
-    q = (queries.select(qid, explode_nonempty(q_terms_col, "term")).where(F.col("term").isNotNull())
+    idf = F.when(F.col("idf") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("idf"))
+    q = (queries.select(qid, explode_nonempty(plain(q_terms_col), "term")).where(F.col("term").isNotNull())
          .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    small = fits(q)
-    # the query side is weighted first: the documents' terms then meet one join
-    q = (F.broadcast(q) if small else q).join(vocab.select("term", "idf"), "term").select(
+    qv = (F.broadcast(q) if fits(q) else q).join(raw.select("term", idf.alias("idf")), "term").select(
         qid, "term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    denom_norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
-    part = tf.join(F.broadcast(q) if small else q, "term").withColumn(
-        "c", F.col("qw") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + denom_norm))
-    s = part.groupBy(qid, id_col).agg(F.round(F.sum("c"), digits).alias("score"))
+    lengths = (stored.where(F.col("term") != DOC_SENTINEL).select("slice", F.inline(F.arrays_zip("ids", "tfs"))).withColumnRenamed("ids", id_col)
+               .groupBy("slice", id_col).agg(F.sum("tfs").alias("dl")))
+    norms = lengths.select("slice", id_col, (F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)).alias("norm"))
     # every document with a query term is ranked: in small corpora the floor of the idf,
     # and with it a true hit's score, can be negative
-    return top_k(s, qid, [F.col("score").desc(), F.col(id_col)], k)
+    return sliced_search(stored, norms, qv, k, qid, id_col, lambda tf, norm: tf * (k1 + 1) / (tf + norm), False, digits)
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", doc_terms_col: str = "terms", k1: float = BM25_K1,

@@ -12,7 +12,7 @@ from tessera.config import COURSE_K, COURSE_LABEL, FINAL_K, REVIEW_K, REVIEW_LAB
 from tessera.operators import dense, filters, lexical, rerank
 from tessera.operators.fuse import context_lists, dedupe_best_rank
 from tessera.operators.topk import top_k
-from tessera.session import DEFAULT_BROADCAST_ROWS, fits
+from tessera.session import DEFAULT_BROADCAST_ROWS, fits, materialize
 
 DIM = 64
 
@@ -135,7 +135,9 @@ def retrieve(corpus: DataFrame, queries: DataFrame, k: int, method: str = "tfidf
 
 
 def compare(corpus: DataFrame, queries: DataFrame, k: int, methods=METHODS) -> DataFrame:
-    """R15 side-by-side: the union of every method's results, tagged by method."""
+    """R15 side-by-side: the union of every method's results, tagged by method. The corpus is
+    written once: each method reads it several times, and its texts may be costly to render."""
+    corpus = materialize(corpus.select("doc_id", "text"), "compare-corpus")
     res = [retrieve(corpus, queries, k, m) for m in methods]
     out = res[0]
     for r in res[1:]:
