@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.lexical import counted, sliced, token_rows
+from tessera.operators.lexical import counted, sliced, text_rows, token_patterns, tokenized
 from tessera.operators.topk import top_k
 from tessera.session import materialize
 
@@ -122,13 +122,13 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 def _hashed(df: DataFrame, id_col: str, text_col: str, dim: int, ngram_max: int) -> DataFrame:
     """(id, idx array, value array): a row's signed feature hashes, L2-normalised, where any is not 0.
     A task holds one slice of whole texts, in which every distinct gram is hashed once."""
-    rows = token_rows(df, id_col, text_col)
+    rows, patterns = text_rows(df, id_col, text_col), token_patterns(df.sparkSession)
     out = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("idx", T.ArrayType(T.IntegerType())),
                         T.StructField("value", T.ArrayType(T.DoubleType()))])
     schema = to_arrow_schema(out)
 
     def embed(batches):
-        for table in sliced(batches, ngram_max):
+        for table in sliced(tokenized(batches, patterns), ngram_max):
             ids, terms, term, doc, tf = counted(table, ngram_max)
             own, at = np.unique(term, return_inverse=True)
             digests = [hashlib.md5(t.encode()).digest() for t in terms.take(pa.array(own)).to_pylist()]
