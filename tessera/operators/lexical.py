@@ -166,7 +166,7 @@ def term_hash(terms: pa.Array) -> np.ndarray:
 def stream(table: pa.Table) -> bytes:
     """A table as one compressed Arrow stream."""
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
         writer.write_table(table)
     return out.getvalue().to_pybytes()
 
@@ -176,13 +176,24 @@ def streams(column: pa.ChunkedArray) -> list[pa.Table]:
     return [pa.ipc.open_stream(s.as_buffer()).read_all() for s in column]
 
 
-BLOCK_SCHEMA = "slice bigint, block int, docs bigint, grams bigint, size bigint, names binary, lists binary, ids binary"
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of them, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+BLOCK_SCHEMA = "slice bigint, block int, docs bigint, grams bigint, size bigint, names binary, sizes binary, lists binary, ids binary"
 
 
 def slice_blocks(rows: DataFrame, id_col: str, ngram_max: int, name: str, patterns: list[str] | None = None) -> DataFrame:
-    """The counts of rows (id, text, with the patterns of its tokens; or id, tokens), dealt and sorted by id, written once, a row a slice and block:
-    ``names`` (term, n: its documents, cf) in the order of the terms' hash, of ``size`` bytes, and
-    ``lists`` (the term's documents as numbers, tfs). Block 0 has the slice's documents: how many, how
+    """``slice_rows``, written once."""
+    return materialize(slice_rows(rows, ngram_max, patterns), name)
+
+
+def slice_rows(rows: DataFrame, ngram_max: int, patterns: list[str] | None = None) -> DataFrame:
+    """The counts of rows (id, text, with the patterns of its tokens; or id, tokens), dealt and sorted by id, a row a slice and block:
+    ``names`` (term, n: its documents, cf) in the order of the terms' hash, of ``size`` bytes, ``sizes`` (n) and
+    ``lists`` (doc, tf: the terms' documents as numbers, one term after the other). Block 0 has the slice's documents: how many, how
     many grams, and ``ids`` (id, length), in the order of their numbers."""
     schema = to_arrow_schema(T._parse_datatype_string(BLOCK_SCHEMA))
     edges = np.arange(1, 1 << BLOCK_BITS, dtype=np.uint64) << np.uint64(64 - BLOCK_BITS)
@@ -202,19 +213,16 @@ def slice_blocks(rows: DataFrame, id_col: str, ngram_max: int, name: str, patter
                 if a == b and block:
                     continue
                 of, n = order[a:b], sizes[order[a:b]]
-                offsets = np.append(0, np.cumsum(n))
-                own = np.arange(offsets[-1]) + np.repeat(starts[of] - offsets[:-1], n)
-                offsets = pa.array(offsets.astype(np.int32))
+                own = ranges(starts[of], n)
                 named = pa.table({"term": names.take(pa.array(of)), "n": pa.array(n.astype(np.int32)), "cf": pa.array(cf[of])})
-                lists = pa.table({"docs": pa.ListArray.from_arrays(offsets, pa.array(doc[own].astype(np.int32))),
-                                  "tfs": pa.ListArray.from_arrays(offsets, pa.array(tf[own].astype(np.int32)))})
+                lists = pa.table({"doc": pa.array(doc[own].astype(np.int32)), "tf": pa.array(tf[own].astype(np.int32))})
                 head = [len(ids), int(lengths.sum())] if block == 0 else [0, 0]
                 yield pa.RecordBatch.from_pylist([{
                     "slice": (part << 32) + at, "block": block, "docs": head[0], "grams": head[1], "size": named.nbytes,
-                    "names": stream(named), "lists": stream(lists),
+                    "names": stream(named), "sizes": stream(named.select(["n"])), "lists": stream(lists),
                     "ids": stream(pa.table({"id": ids, "length": pa.array(lengths)})) if block == 0 else None}], schema=schema)
 
-    return materialize(rows.mapInArrow(count, BLOCK_SCHEMA), name)
+    return rows.mapInArrow(count, BLOCK_SCHEMA)
 
 
 SUM_SCHEMA = "slice bigint, block int, first int, data binary"
@@ -311,11 +319,14 @@ def block_hits(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
                 names = streams(one.column("names"))[0].column("term").combine_chunks()
                 at, numbers = found_terms(one.column("wanted")[0], names)
                 if len(at):
-                    lists = streams(one.column("lists"))[0].take(pa.array(at)).combine_chunks()
+                    n = streams(one.column("sizes"))[0].column("n").to_numpy().astype(np.int64)
+                    lists = streams(one.column("lists"))[0].take(pa.array(ranges((np.cumsum(n) - n)[at], n[at]))).combine_chunks()
+                    offsets = pa.array(np.append(0, np.cumsum(n[at])).astype(np.int32))
+                    each = [pa.ListArray.from_arrays(offsets, lists.column(c).combine_chunks()) for c in ("doc", "tf")]
                     slice_ = pa.array([one.column("slice")[0].as_py()] * len(at), pa.int64())
-                    yield from pa.Table.from_arrays([slice_, numbers, lists.column("docs"), lists.column("tfs")], names=schema.names).cast(schema).to_batches()
+                    yield from pa.Table.from_arrays([slice_, numbers, *each], names=schema.names).cast(schema).to_batches()
 
-    return blocks.select("slice", "block", "names", "lists").join(wanted, "block").drop("block").mapInArrow(run, out)
+    return blocks.select("slice", "block", "names", "sizes", "lists").join(wanted, "block").drop("block").mapInArrow(run, out)
 
 
 def looked_up(sums: DataFrame, terms: DataFrame) -> DataFrame:
@@ -397,25 +408,54 @@ def fit_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return index_of_blocks(blocks, id_col, docs.schema[id_col].dataType, ngram_max, persist)
 
 
+def without(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (slice_rows and ``dead``: a bit a document) with the documents that aren't dead, numbered anew."""
+    columns = [c for c in blocks.columns if c != "dead"]
+    schema = to_arrow_schema(T.StructType([blocks.schema[c] for c in columns]))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                dead = np.unpackbits(np.frombuffer(row.pop("dead"), np.uint8), bitorder="little").astype(bool)
+                before = np.append(0, np.cumsum(dead))  # dead documents with a lower number
+                named, lists = (pa.ipc.open_stream(row[c]).read_all().combine_chunks() for c in ("names", "lists"))
+                doc, tf = lists.column("doc").to_numpy(), lists.column("tf").to_numpy()
+                keep = ~np.append(dead, False)[np.minimum(doc, len(dead))]
+                term = np.repeat(np.arange(named.num_rows), named.column("n").to_numpy())[keep]
+                doc, tf = doc[keep], tf[keep]
+                n, cf = (np.bincount(term, weights, named.num_rows).astype(np.int64) for weights in (None, tf))
+                of = np.flatnonzero(n)
+                named = pa.table({"term": named.column("term").take(pa.array(of)), "n": pa.array(n[of].astype(np.int32)), "cf": pa.array(cf[of])}).combine_chunks()
+                if row["ids"] is not None:
+                    ids = pa.ipc.open_stream(row["ids"]).read_all().combine_chunks()
+                    ids = ids.filter(pa.array(~np.append(dead, np.zeros(max(0, ids.num_rows - len(dead)), bool))[:ids.num_rows]))
+                    row |= {"ids": stream(ids), "docs": ids.num_rows, "grams": pc.sum(ids.column("length")).as_py() or 0}
+                if len(of) or row["docs"]:
+                    lists = pa.table({"doc": pa.array((doc - before[np.minimum(doc, len(dead))]).astype(np.int32)), "tf": pa.array(tf)})
+                    row |= {"size": named.nbytes, "names": stream(named), "sizes": stream(named.select(["n"])), "lists": stream(lists)}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return blocks.mapInArrow(run, T.StructType([blocks.schema[c] for c in columns]))
+
+
 def by_slice(blocks: DataFrame, sums: DataFrame, *columns: str):
     """The blocks of a slice and the sums that came back to it, grouped by one shuffle of both."""
     return blocks.select("slice", "block", *columns).unionByName(sums.where("slice >= 0"), allowMissingColumns=True).groupBy("slice")
 
 
-def slice_counts(rows: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
-    """Documents (id, length), lists (docs, tfs) and the terms' df of one slice."""
+def slice_counts(rows: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Table, np.ndarray]:
+    """Documents (id, length), the terms' numbers of documents, lists (doc, tf) and the terms' df of one slice."""
     own = rows.filter(pc.is_valid(rows.column("lists"))).sort_by("block")
     sums = rows.filter(pc.is_valid(rows.column("data"))).sort_by([("block", "ascending"), ("first", "ascending")])
     df = pa.concat_tables(streams(sums.column("data"))).column("df").to_numpy() if sums.num_rows else np.zeros(0, np.int64)
-    return streams(own.column("ids").slice(0, 1))[0], pa.concat_tables(streams(own.column("lists"))).combine_chunks(), df
+    sizes = pa.concat_tables(streams(own.column("sizes"))).column("n").to_numpy()
+    return streams(own.column("ids").slice(0, 1))[0], sizes, pa.concat_tables(streams(own.column("lists"))).combine_chunks(), df
 
 
 def slice_weights(rows: pa.Table, n_texts: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a slice, and per posting its term's place, document and tf * idf, with the documents' norms and tfs."""
-    docs, lists, df = slice_counts(rows)
-    column = lists.column("docs").combine_chunks()
-    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    doc, tf = column.flatten().to_numpy(), lists.column("tfs").combine_chunks().flatten().to_numpy()
+    docs, sizes, lists, df = slice_counts(rows)
+    doc, tf = lists.column("doc").to_numpy(), lists.column("tf").to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
     weight = tf * (np.log((1.0 + n_texts) / (1.0 + df)) + 1.0)[row]
     norm = np.sqrt(np.bincount(doc, weight * weight, minlength=docs.num_rows))
@@ -434,7 +474,7 @@ def slice_documents(blocks: DataFrame, sums: DataFrame, id_type: T.DataType, n_t
         each = [ids, pa.array(norm), pa.array(np.bincount(doc, minlength=len(ids)).astype(np.int64))]
         return pa.Table.from_arrays([rows.column("slice").slice(0, 1), *(pa.ListArray.from_arrays(offsets, x) for x in each)], names=schema.names).cast(schema)
 
-    return by_slice(blocks, sums, "lists", "ids").applyInArrow(run, out)
+    return by_slice(blocks, sums, "sizes", "lists", "ids").applyInArrow(run, out)
 
 
 def slice_postings(blocks: DataFrame, sums: DataFrame, id_col: str, id_type: T.DataType, n_texts: int) -> DataFrame:
@@ -453,7 +493,7 @@ def slice_postings(blocks: DataFrame, sums: DataFrame, id_col: str, id_type: T.D
                                        pa.array(weight[b] / norm[doc[b]])], names=schema.names).cast(schema) for b in batches]
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
-    return by_slice(blocks, sums, "names", "lists", "ids").applyInArrow(run, out)
+    return by_slice(blocks, sums, "names", "sizes", "lists", "ids").applyInArrow(run, out)
 
 
 def block_totals(blocks: DataFrame) -> tuple[int, int, int]:
@@ -475,28 +515,6 @@ def index_of_blocks(blocks: DataFrame, id_col: str, id_type: T.DataType, ngram_m
     return TfidfIndex(postings, vocab, norms.select(id_col, "norm", "n_terms"), None, id_col, ngram_max, norms, blocks, sums, docs, n_texts)
 
 
-def index_of_counts(tf_all: DataFrame, counts: DataFrame, id_col: str, ngram_max: int = 2, persist: bool = False) -> TfidfIndex:
-    """The index of written term counts (id, term, tf, with sentinels) and their (term, df, cf)."""
-    n_docs = counts.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("double")).scalar()
-    vocab = (counts.where(F.col("term") != DOC_SENTINEL)
-             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
-    tf = tf_all.where(F.col("term") != DOC_SENTINEL)
-    w = tf.join(vocab.select("term", "idf"), "term").withColumn(
-        "w", F.col("tf") * F.col("idf"))
-    per_doc = Window.partitionBy(id_col)
-    w = (w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
-         .withColumn("n_terms", F.count(F.lit(1)).over(per_doc)))
-    postings = w.select(id_col, "term", "tf", (F.col("w") / F.col("norm")).alias("w"),
-                        "norm", "n_terms")
-    if persist:
-        postings = materialize(postings, "tfidf-postings")
-        vocab = materialize(vocab, "tfidf-vocab")
-    norms = postings.groupBy(id_col).agg(F.first("norm").alias("norm"),
-                                         F.first("n_terms").alias("n_terms"))
-    return TfidfIndex(postings.select(id_col, "term", "tf", "w"), vocab, norms, None,
-                      id_col, ngram_max)
-
-
 def query_vectors(index: TfidfIndex, queries: DataFrame, qid: str = "query_id",
                   qtext: str = "query", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
     """(qid, term, qw, idf): L2-normalised query weights over in-vocabulary grams.
